@@ -47,6 +47,11 @@ def business_domain(name: ColumnLike, columns: ColumnLike) -> Column:
     return F.when(best["score"] > 0, best["domain"]).otherwise(rules.DEFAULT_DOMAIN)
 
 
+def _matching(cols: Column, words: list[str]) -> Column:
+    """For each column name whether it holds one of the words."""
+    return F.transform(cols, lambda c: has_any(c, words))
+
+
 def domain_scores(name: ColumnLike, columns: ColumnLike) -> Column:
     """One struct per domain: a point per keyword in the name, half a point per matching column.
 
@@ -57,8 +62,8 @@ def domain_scores(name: ColumnLike, columns: ColumnLike) -> Column:
     found = []
     for i, (domain, words) in enumerate(rules.DOMAINS):
         in_name = sum((F.when(n.contains(w), 1).otherwise(0) for w in words), F.lit(0))
-        in_cols = F.size(F.filter(cols, lambda c, words=words: has_any(c, words)))
-        hits = F.transform(cols, lambda c, words=words: has_any(c, words))
+        hits = _matching(cols, words)
+        in_cols = F.size(F.filter(hits, lambda h: h))
         found.append(
             F.struct(
                 (in_name + in_cols * 0.5).cast("double").alias("score"),

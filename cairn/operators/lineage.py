@@ -57,7 +57,7 @@ def _target_side(targets: DataFrame) -> DataFrame:
 
 
 def _asset_side(assets: DataFrame) -> DataFrame:
-    return assets.select(
+    return assets.filter("is_active").select(
         F.col("fingerprint").alias("id"),
         "name",
         "type",
@@ -96,12 +96,12 @@ _RELATED = ["target_id", "target_name", "target_type", "id", "name", "type", "so
 def _grams(c: Column) -> Column:
     """Distinct substrings of one to GRAM characters, and the empty one."""
     n = F.length(c)
-    sized = [
-        F.when(n >= q, F.transform(F.sequence(F.lit(1), n - q + 1), lambda i, q=q: F.substring(c, i, F.lit(q))))
-        .otherwise(F.array().cast("array<string>"))
-        for q in range(1, GRAM + 1)
-    ]
-    return F.array_distinct(F.concat(F.array(F.lit("")), *sized))
+
+    def of_size(q: int) -> Column:
+        cut = F.transform(F.sequence(F.lit(1), n - q + 1), lambda i: F.substring(c, i, F.lit(q)))
+        return F.when(n >= q, cut).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.concat(F.array(F.lit("")), *[of_size(q) for q in range(1, GRAM + 1)]))
 
 
 def _evidence_pairs(t: DataFrame, o: DataFrame) -> DataFrame:
@@ -148,90 +148,82 @@ def related_assets(targets: DataFrame, assets: DataFrame, broadcast_targets: int
 # --- levels -------------------------------------------------------------------
 
 
-def _levels(related: DataFrame, standing: Column, near: Column, depth: int) -> DataFrame:
-    """Greedy levels in closed form.
+def _eligible() -> dict[str, tuple[Column, Column]]:
+    """Per direction: whether a related asset stands at any level, or only near (level 1)."""
+    t_name, t_type = F.lower("target_name"), F.col("target_type")
+    name, type_, score = low("name"), low("type"), F.col("score")
+    bigquery = type_ == "bigquery_table"
+    upstream = (
+        has_any(name, rules.UPSTREAM_WORDS)
+        | (type_.contains("dataset") & t_type.contains("table"))
+        | (has_any(t_name, rules.UPSTREAM_TARGET_WORDS) & bigquery)
+    )
+    downstream = (
+        has_any(name, rules.DOWNSTREAM_WORDS)
+        | (type_.contains("view") & t_type.contains("table"))
+        | (has_any(t_name, rules.DOWNSTREAM_TARGET_WORDS) & bigquery)
+        | (has_any(name, rules.MODEL_WORDS) & (score >= 3))
+    )
+    return {
+        "upstream": (upstream, score >= 4),
+        "downstream": (downstream, (score >= 3) & (F.length(name) > F.length(t_name))),
+    }
+
+
+def lineage_levels(related: DataFrame, direction: str = "both", depth: int = 3) -> DataFrame:
+    """Related assets with direction and level (negative upstream), in one pass over `related`.
 
-    Level 1 takes the first three of standing or near candidates, every further level the
-    next three standing ones.  At most 3 * depth rows per target and kind can matter.
+    Greedy levels in closed form: level 1 takes the first three standing or near assets, each
+    further level the next three standing ones.  At most 3 * depth rows per target, direction
+    and kind can matter; the row_number filter drops the others before the shuffle.
     """
+    sides = {d: e for d, e in _eligible().items() if direction in ("both", d)}
+    if not sides:
+        raise ValueError("direction is one of both, upstream, downstream")
+    votes = F.array_compact(
+        F.array(
+            *[
+                F.when(standing | near, F.struct(F.lit(d).alias("direction"), standing.alias("q")))
+                for d, (standing, near) in sides.items()
+            ]
+        )
+    )
     order = [F.desc("score"), F.desc("last_scanned"), F.asc("id")]
     kept = (
-        related.withColumn("q", standing)
-        .filter(F.col("q") | near)
-        .withColumn("rn", F.row_number().over(Window.partitionBy("target_id", "q").orderBy(*order)))
+        related.withColumn("v", F.explode(votes))
+        .select(*_RELATED, "v.direction", "v.q")
+        .withColumn("rn", F.row_number().over(Window.partitionBy("target_id", "direction", "q").orderBy(*order)))
         .filter(F.col("rn") <= PER_LEVEL * depth)
     )
-    first = F.row_number().over(Window.partitionBy("target_id").orderBy(*order)) <= PER_LEVEL
-    ranked = kept.withColumn("is_first", first).filter("is_first or q")
-    rest = F.row_number().over(Window.partitionBy("target_id", "is_first").orderBy(*order))
+    first = F.row_number().over(Window.partitionBy("target_id", "direction").orderBy(*order)) <= PER_LEVEL
+    rest = F.row_number().over(Window.partitionBy("target_id", "direction", "is_first").orderBy(*order))
+    level = F.when(F.col("is_first"), 1).otherwise(2 + F.floor((F.col("rest") - 1) / PER_LEVEL)).cast("int")
     return (
-        ranked.withColumn("rest", rest)
-        .withColumn(
-            "level",
-            F.when(F.col("is_first"), 1).otherwise(2 + F.floor((F.col("rest") - 1) / PER_LEVEL)).cast("int"),
-        )
+        kept.withColumn("is_first", first)
+        .filter("is_first or q")
+        .withColumn("rest", rest)
+        .withColumn("level", level)
         .filter(F.col("level") <= depth)
-        .select(*_RELATED, "level")
+        .withColumn("level", F.when(F.col("direction") == "upstream", -F.col("level")).otherwise(F.col("level")))
+        .select(*_RELATED, "direction", "level")
     )
 
 
 def upstream_levels(related: DataFrame, depth: int = 3) -> DataFrame:
-    t_name, t_type = F.lower("target_name"), F.col("target_type")
-    type_ = low("type")
-    standing = (
-        has_any(low("name"), rules.UPSTREAM_WORDS)
-        | (type_.contains("dataset") & t_type.contains("table"))
-        | (has_any(t_name, rules.UPSTREAM_TARGET_WORDS) & (type_ == "bigquery_table"))
-    )
-    found = _levels(related, standing, F.col("score") >= 4, depth)
-    return found.withColumn("level", -F.col("level"))
+    return lineage_levels(related, "upstream", depth)
 
 
 def downstream_levels(related: DataFrame, depth: int = 3) -> DataFrame:
-    t_name, t_type = F.lower("target_name"), F.col("target_type")
-    name, type_ = low("name"), low("type")
-    standing = (
-        has_any(name, rules.DOWNSTREAM_WORDS)
-        | (type_.contains("view") & t_type.contains("table"))
-        | (has_any(t_name, rules.DOWNSTREAM_TARGET_WORDS) & (type_ == "bigquery_table"))
-        | (has_any(name, rules.MODEL_WORDS) & (F.col("score") >= 3))
-    )
-    near = (F.col("score") >= 3) & (F.length(name) > F.length(t_name))
-    return _levels(related, standing, near, depth)
+    return lineage_levels(related, "downstream", depth)
 
 
 # --- graph --------------------------------------------------------------------
 
 
-def _node(target_id: str, id_: str, level: Column, direction: str, custom: bool) -> list[Column]:
-    return [
-        F.col(target_id).alias("target_id"),
-        F.col(id_).alias("id"),
-        "name",
-        "type",
-        "source",
-        level.cast("int").alias("level"),
-        F.lit(direction).alias("direction"),
-        F.lit(custom).alias("custom"),
-    ]
-
-
-def _edge(source: str, target: str) -> list[Column]:
-    return [
-        "target_id",
-        F.col(source).alias("source_id"),
-        F.col(target).alias("sink_id"),
-        F.lit("feeds_into").alias("relationship"),
-        F.lit(0.8).alias("confidence"),
-        F.lit(False).alias("custom"),
-        F.lit("").alias("description"),
-    ]
-
-
 def custom_edges(targets: DataFrame, assets: DataFrame, rel: DataFrame) -> DataFrame:
     """Declared relationships of the targets whose other end the catalog knows, with that end."""
     t = targets.select(F.col("fingerprint").alias("target_id"))
-    known = assets.select(F.col("fingerprint").alias("id"), "name", "type", "source")
+    known = assets.filter("is_active").select(F.col("fingerprint").alias("id"), "name", "type", "source")
     up = rel.join(t, F.col("target_asset") == F.col("target_id")).withColumns(
         {"id": F.col("source_asset"), "direction": F.lit("upstream")}
     )
@@ -297,22 +289,29 @@ def lineage_graph(
 
     Guessed nodes of any level are linked straight to the target.
     """
-    related = related_assets(targets, assets)
-    nodes = targets.select(
-        *_node("fingerprint", "fingerprint", F.lit(0), "target", False),
+    levels = lineage_levels(related_assets(targets, assets), direction, depth)
+    shape = ["target_id", "id", "name", "type", "source", "level", "direction", "custom"]
+    own = targets.select(
+        F.col("fingerprint").alias("target_id"),
+        F.col("fingerprint").alias("id"),
+        "name",
+        "type",
+        "source",
+        F.lit(0).alias("level"),
+        F.lit("target").alias("direction"),
+        F.lit(False).alias("custom"),
+    )
+    nodes = own.unionByName(levels.withColumn("custom", F.lit(False)).select(*shape))
+    up = F.col("direction") == "upstream"
+    edges = levels.select(
+        "target_id",
+        F.when(up, F.col("id")).otherwise(F.col("target_id")).alias("source_id"),
+        F.when(up, F.col("target_id")).otherwise(F.col("id")).alias("sink_id"),
+        F.lit("feeds_into").alias("relationship"),
+        F.lit(0.8).alias("confidence"),
+        F.lit(False).alias("custom"),
+        F.lit("").alias("description"),
     )
-    edges = None
-    if direction in ("both", "upstream"):
-        up = upstream_levels(related, depth)
-        nodes = nodes.unionByName(up.select(*_node("target_id", "id", F.col("level"), "upstream", False)))
-        edges = up.select(*_edge("id", "target_id"))
-    if direction in ("both", "downstream"):
-        down = downstream_levels(related, depth)
-        nodes = nodes.unionByName(down.select(*_node("target_id", "id", F.col("level"), "downstream", False)))
-        found = down.select(*_edge("target_id", "id"))
-        edges = found if edges is None else edges.unionByName(found)
-    if edges is None:
-        raise ValueError("direction is one of both, upstream, downstream")
     if rel is not None:
         nodes, edges = merge_custom(nodes, edges, targets, assets, rel)
     label = F.when(F.col("level") == 0, "Target").when(F.col("level") < 0, "Upstream").otherwise("Downstream")

@@ -37,6 +37,10 @@ def quality_metrics(assets: DataFrame, as_of: str | Column) -> DataFrame:
     )
 
 
+def _any_contains(strings: Column, word: str) -> Column:
+    return F.exists(strings, lambda s: s.contains(word))
+
+
 def with_schema_analysis(assets: DataFrame) -> DataFrame:
     """Add field counts, description coverage, quality score, glossary terms and tags.
 
@@ -49,9 +53,7 @@ def with_schema_analysis(assets: DataFrame) -> DataFrame:
     )
     glossary = [w for group in rules.GLOSSARY_WORDS for w in group]
     held = names("columns")
-    tags = [
-        F.when(F.exists(held, lambda n, w=word: n.contains(w)), F.lit(tag)) for word, tag in rules.SCHEMA_TAGS
-    ]
+    tags = [F.when(_any_contains(held, word), F.lit(tag)) for word, tag in rules.SCHEMA_TAGS]
     return (
         assets.withColumns(
             {
@@ -160,8 +162,13 @@ _SCAN = T.StructType(
 
 def unfence(answer: ColumnLike) -> Column:
     """Answer text without a surrounding ```json fence."""
-    body = F.regexp_replace(F.trim(col(answer)), r"^```json", "")
-    return F.trim(F.regexp_replace(body, r"```$", ""))
+    body = F.regexp_replace(_strip(col(answer)), r"^```json", "")
+    return _strip(F.regexp_replace(body, r"```$", ""))
+
+
+def _strip(c: Column) -> Column:
+    """Without white space of any kind around it."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
 def _literal(value) -> Column:

@@ -76,9 +76,9 @@ def _(i):
 
 
 def _kinds_sql(value: str) -> str:
-    return "array_to_string(list_filter([" + ", ".join(
+    return "array_to_string([x for x in [" + ", ".join(
         f"case when regexp_matches({value}, '(?i){p}') then '{k}' end" for k, p in rules.PII_VALUE_PATTERNS.items()
-    ) + "], x -> x is not null), ',')"
+    ) + "] if x is not null], ',')"
 
 
 @query(
@@ -155,9 +155,9 @@ def _(i):
 
 
 _GLOSSARY = any_of(COL, [w for g in rules.GLOSSARY_WORDS for w in g])
-_TAGS = "list_filter([" + ", ".join(
+_TAGS = "[x for x in [" + ", ".join(
     f"case when bool_or(contains({COL}, '{w}')) then '{t}' end" for w, t in rules.SCHEMA_TAGS
-) + "], x -> x is not null)"
+) + "] if x is not null]"
 SCHEMA = f"""select fingerprint, cast(count(*) as integer) as total_fields,
     cast(count(*) filter (trim(coalesce(description, '')) <> '') as integer) as fields_with_descriptions,
     round(count(*) filter (trim(coalesce(description, '')) <> '') * 100.0 / count(*), 4) as completeness,
@@ -280,10 +280,10 @@ _DOMAIN_ROWS = " union all ".join(
     for n, (d, w) in enumerate(rules.DOMAINS)
 )
 DOMAIN = f"""domains as ({_DOMAIN_ROWS}),
-  by_name as (select fingerprint, idx, domain, len(list_filter(words, w -> contains(lower(name), w))) as pts
-              from catalog, domains where len(list_filter(words, w -> contains(lower(name), w))) > 0),
+  by_name as (select fingerprint, idx, domain, len([w for w in words if contains(lower(name), w)]) as pts
+              from catalog, domains where len([w for w in words if contains(lower(name), w)]) > 0),
   by_col as (select fingerprint, idx, domain, count(*) * 0.5 as pts, min(ordinal) as first
-             from columns_long, domains where len(list_filter(words, w -> contains({COL}, w))) > 0
+             from columns_long, domains where len([w for w in words if contains({COL}, w)]) > 0
              group by fingerprint, idx, domain),
   scored as (select coalesce(n.fingerprint, c.fingerprint) as fingerprint, coalesce(n.idx, c.idx) as idx,
                coalesce(n.domain, c.domain) as domain, coalesce(n.pts, 0) + coalesce(c.pts, 0) as score,
@@ -331,15 +331,15 @@ def _(i):
 
 
 COMPLIANCE = f"""select c.fingerprint,
-    list_filter([case when s.high_risk_pii_count > 0 then 'GDPR' end, case when s.high_risk_pii_count > 0 then 'CCPA' end,
+    [x for x in [case when s.high_risk_pii_count > 0 then 'GDPR' end, case when s.high_risk_pii_count > 0 then 'CCPA' end,
       case when pci then 'PCI-DSS' end, case when {any_of("lower(name)", rules.HIPAA_WORDS)} then 'HIPAA' end,
       case when {any_of("lower(name)", rules.SOX_WORDS)} then 'SOX' end,
-      case when {any_of("lower(name)", rules.SOX_WORDS)} then 'Basel III' end], x -> x is not null) as required,
-    list_filter([case when s.high_risk_pii_count > 0 then 'gdpr' end, case when s.high_risk_pii_count > 0 then 'ccpa' end,
+      case when {any_of("lower(name)", rules.SOX_WORDS)} then 'Basel III' end] if x is not null] as required,
+    [x for x in [case when s.high_risk_pii_count > 0 then 'gdpr' end, case when s.high_risk_pii_count > 0 then 'ccpa' end,
       case when s.high_risk_pii_count > 0 then 'privacy' end, case when pci then 'pci-dss' end,
       case when {any_of("lower(name)", rules.HIPAA_WORDS)} then 'hipaa' end,
       case when {any_of("lower(name)", rules.SOX_WORDS)} then 'sox' end,
-      case when {any_of("lower(name)", rules.SOX_WORDS)} then 'basel' end], x -> x is not null) as tags
+      case when {any_of("lower(name)", rules.SOX_WORDS)} then 'basel' end] if x is not null] as tags
   from catalog c join pii s using (fingerprint)
   join (select fingerprint, bool_or({any_of(COL, rules.PCI_WORDS)}) as pci from columns_long group by fingerprint) p
     using (fingerprint)"""
@@ -383,8 +383,8 @@ def _(i):
     )
 
 
-_ALL_TAGS = """array_to_string(list_sort(list_distinct(list_filter(list_concat(string_split(sc.schema_tags, ','),
-   string_split(p.pii_tags, ','), c.tags), x -> x <> ''))), ',')"""
+_ALL_TAGS = """array_to_string(list_sort(list_distinct([x for x in list_concat(string_split(sc.schema_tags, ','),
+   string_split(p.pii_tags, ','), c.tags) if x <> ''])), ',')"""
 
 
 @query(

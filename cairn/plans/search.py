@@ -126,11 +126,11 @@ def _(i):
 
 @query(
     "qry8_pick_assets",
-    "select origin, row_id from mixed where contains(lower(name || ' ' || type || ' ' || source), 'text_file web')",
+    "select origin, row_id from mixed where contains(lower(name || ' ' || type || ' ' || source), 'text_file src1')",
     ["mixed"],
 )
 def _(i):
-    return Q.pick_assets(i.projection("mixed"), "Text_file web").select("origin", "row_id")
+    return Q.pick_assets(i.projection("mixed"), "Text_file Src1").select("origin", "row_id")
 
 
 @query(
@@ -220,9 +220,9 @@ def _(i):
 
 
 def _categories_sql() -> str:
-    return "list_filter([" + ", ".join(
+    return "[x for x in [" + ", ".join(
         f"case when {any_of('lower(column_name)', words)} then '{label}' end" for label, words in rules.PII_CATEGORIES
-    ) + "], x -> x is not null)"
+    ) + "] if x is not null]"
 
 
 @query(
