@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -25,8 +24,16 @@ def low(c: ColumnLike) -> Column:
 
 
 def has_any(c: ColumnLike, words: Iterable[str]) -> Column:
-    """True if the string contains any of the literal words."""
-    return col(c).rlike("|".join(re.escape(w).replace(r"\_", "_") for w in words))
+    """True if the string contains any of the literal words.
+
+    Plain contains tests: several times cheaper than one regular expression of
+    alternatives, above all inside array functions.
+    """
+    value, out = col(c), None
+    for w in words:
+        hit = value.contains(w)
+        out = hit if out is None else out | hit
+    return out if out is not None else F.lit(False)
 
 
 def lits(words: Iterable[str]) -> Column:

@@ -41,39 +41,46 @@ def importance(domain: ColumnLike, size: ColumnLike) -> Column:
     )
 
 
-def business_domain(name: ColumnLike, columns: ColumnLike) -> Column:
-    """Best scoring domain; see domain_scores for the tie order."""
-    best = F.array_max(domain_scores(name, columns))
-    return F.when(best["score"] > 0, best["domain"]).otherwise(rules.DEFAULT_DOMAIN)
+def with_business_domain(assets: DataFrame) -> DataFrame:
+    """Add the best scoring domain: a point per keyword in the name, half a point per matching column.
 
+    Among equal scores the domain met first wins: name hits in list order, then columns by
+    ordinal.  Each column name is tested once and leaves a bit per domain; the steps are kept
+    apart so that no step is evaluated twice.
+    """
+    all_words = [w for _, words in rules.DOMAINS for w in words]
 
-def _matching(cols: Column, words: list[str]) -> Column:
-    """For each column name whether it holds one of the words."""
-    return F.transform(cols, lambda c: has_any(c, words))
+    def bits(name: Column) -> Column:
+        each = [F.when(has_any(name, words), 1 << i).otherwise(0) for i, (_, words) in enumerate(rules.DOMAINS)]
+        return F.when(has_any(name, all_words), sum(each[1:], each[0])).otherwise(0)
 
+    scored = F.array(
+        *[_domain_entry(i, domain, words) for i, (domain, words) in enumerate(rules.DOMAINS)]
+    )
+    return (
+        assets.withColumn("_bits", F.transform(names("columns"), bits))
+        .withColumn("_best", F.array_max(scored))
+        .withColumn(
+            "business_domain",
+            F.when(F.col("_best.score") > 0, F.col("_best.domain")).otherwise(rules.DEFAULT_DOMAIN),
+        )
+        .drop("_bits", "_best")
+    )
 
-def domain_scores(name: ColumnLike, columns: ColumnLike) -> Column:
-    """One struct per domain: a point per keyword in the name, half a point per matching column.
 
-    Structs compare field by field, so their maximum is the highest score and, among
-    equals, the domain met first: name hits in list order, then columns by ordinal.
-    """
-    n, cols = low(name), names(columns)
-    found = []
-    for i, (domain, words) in enumerate(rules.DOMAINS):
-        in_name = sum((F.when(n.contains(w), 1).otherwise(0) for w in words), F.lit(0))
-        hits = _matching(cols, words)
-        in_cols = F.size(F.filter(hits, lambda h: h))
-        found.append(
-            F.struct(
-                (in_name + in_cols * 0.5).cast("double").alias("score"),
-                F.when(in_name > 0, 1).otherwise(0).alias("by_name"),
-                F.when(in_name > 0, F.lit(0)).otherwise(-F.array_position(hits, True)).cast("bigint").alias("first"),
-                F.lit(-i).alias("rank"),
-                F.lit(domain).alias("domain"),
-            )
-        )
-    return F.array(*found)
+def _domain_entry(i: int, domain: str, words: list[str]) -> Column:
+    """Score of one domain; structs compare field by field, so their maximum is the winner."""
+    n = low("name")
+    in_name = sum((F.when(n.contains(w), 1).otherwise(0) for w in words), F.lit(0))
+    hits = F.transform("_bits", lambda b: b.bitwiseAND(1 << i) > 0)
+    in_columns = F.size(F.filter("_bits", lambda b: b.bitwiseAND(1 << i) > 0))
+    return F.struct(
+        (in_name + in_columns * 0.5).cast("double").alias("score"),
+        F.when(in_name > 0, 1).otherwise(0).alias("by_name"),
+        F.when(in_name > 0, F.lit(0)).otherwise(-F.array_position(hits, True)).cast("bigint").alias("first"),
+        F.lit(-i).alias("rank"),
+        F.lit(domain).alias("domain"),
+    )
 
 
 def size_category(size: ColumnLike) -> Column:
@@ -210,11 +217,8 @@ def business_metadata(assets: DataFrame, as_of: str | Column) -> DataFrame:
     """Full business metadata of every asset."""
     wide = with_pii_summary(with_schema_analysis(assets))
     wide = wide.withColumns({**_volume(), **_usage(as_of), **compliance("name", "columns", "high_risk_pii_count")})
-    wide = wide.withColumns(
-        {
-            "business_domain": business_domain("name", "columns"),
-            "sensitivity_level": sensitivity("high_risk_pii_count", "medium_risk_pii_count"),
-        }
+    wide = with_business_domain(wide).withColumn(
+        "sensitivity_level", sensitivity("high_risk_pii_count", "medium_risk_pii_count")
     )
     return wide.select(
         "fingerprint",

@@ -52,10 +52,11 @@ def with_schema_analysis(assets: DataFrame) -> DataFrame:
         F.size(F.filter(cols, lambda c: F.trim(F.coalesce(c["description"], F.lit(""))) != "")), F.lit(0)
     )
     glossary = [w for group in rules.GLOSSARY_WORDS for w in group]
-    held = names("columns")
+    held = F.col("_names")
     tags = [F.when(_any_contains(held, word), F.lit(tag)) for word, tag in rules.SCHEMA_TAGS]
     return (
-        assets.withColumns(
+        assets.withColumn("_names", names("columns"))
+        .withColumns(
             {
                 "total_fields": total,
                 "fields_with_descriptions": F.greatest(described, F.lit(0)),
@@ -77,6 +78,7 @@ def with_schema_analysis(assets: DataFrame) -> DataFrame:
                 F.least(F.lit(100), F.greatest(F.lit(60), F.floor("completeness").cast("int")))
             ),
         )
+        .drop("_names")
     )
 
 

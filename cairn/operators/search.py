@@ -168,16 +168,15 @@ def fuzzy_join(terms: DataFrame, candidates: DataFrame) -> DataFrame:
         .withColumn("cpos", F.explode(F.sequence(F.lit(0), F.col("clen") - F.col("q"))))
         .select("candidate", "clen", "cpos", F.expr("substring(candidate, cpos + 1, q)").alias("piece"))
     )
-    pairs = (
-        pieces.join(grams, "piece")
-        .filter((F.abs(F.col("clen") - F.col("len")) <= F.col("d")) & (F.abs(F.col("cpos") - F.col("pos")) <= F.col("d")))
-        .select("term", "d", "candidate")
-        .distinct()
-    )
+    near = (F.abs(F.col("clen") - F.col("len")) <= F.col("d")) & (F.abs(F.col("cpos") - F.col("pos")) <= F.col("d"))
+    # the distance is tested inside the join, so only true matches are shuffled for the distinct
     return (
-        pairs.withColumn("distance", F.levenshtein("term", "candidate"))
-        .filter((F.col("distance") > 0) & (F.col("distance") <= F.col("d")))
+        pieces.join(grams, "piece")
+        .filter(near)
+        .withColumn("distance", F.expr("levenshtein(term, candidate, d)"))
+        .filter("distance > 0")
         .select("term", "candidate", "distance")
+        .distinct()
     )
 
 

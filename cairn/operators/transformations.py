@@ -81,12 +81,15 @@ def _case(cond: Column, kind: str, description: Column | str, confidence: float)
 
 def schema_transformations(nodes: DataFrame, assets: DataFrame) -> DataFrame:
     """Projection, expansion and mapping per upstream node, from column counts and names."""
-    cols = assets.select(F.col("fingerprint").alias("id"), names("columns").alias("cols"))
+    held = assets.select("fingerprint", "columns")
+    upstream = held.select(F.col("fingerprint").alias("id"), F.col("columns").alias("u_columns"))
+    target = held.select(F.col("fingerprint").alias("target_id"), F.col("columns").alias("t_columns"))
+    # names are cut out after the joins, for the few joined rows only
     pairs = (
         _against_target(nodes)
-        .join(cols.withColumnRenamed("cols", "u_cols"), "id")
-        .join(cols.select(F.col("id").alias("target_id"), F.col("cols").alias("t_cols")), "target_id")
-        .filter((F.size("u_cols") > 0) & (F.size("t_cols") > 0))
+        .join(upstream, "id")
+        .join(target, "target_id")
+        .withColumns({"u_cols": names("u_columns"), "t_cols": names("t_columns")})
         .withColumns(
             {
                 "u": F.size("u_cols"),
@@ -94,6 +97,7 @@ def schema_transformations(nodes: DataFrame, assets: DataFrame) -> DataFrame:
                 "common": F.size(F.array_intersect("u_cols", "t_cols")),
             }
         )
+        .filter((F.col("u") > 0) & (F.col("t") > 0))
     )
     u, t = F.col("u"), F.col("t")
     counts = lambda word: F.format_string(f"Column {word} from %d to %d columns", u, t)

@@ -6,8 +6,6 @@ from the same rows.  All of them read whole tables.
 
 from __future__ import annotations
 
-from functools import cached_property
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -123,11 +121,15 @@ _USES = {
 }
 
 
+_SHAPES: dict[str, list[list[tuple[str, str]]]] = {}
+
+
 class Inputs:
     """The driver tables of one folder and the projections over them."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir.rstrip("/")
+        self._made: dict[str, DataFrame] = {}
 
     def path(self, name: str) -> str:
         return f"{self.sf_dir}/{name}.parquet"
@@ -139,19 +141,40 @@ class Inputs:
         sql, tables = _USES[name]
         return self.spark.sql(sql, **{t: self.table(t) for t in tables})
 
-    @cached_property
-    def table_columns(self) -> DataFrame:
-        """One row per driver table: its number and its columns, from the table schemas."""
-        rows = []
-        for i, name in enumerate(TABLES):
-            fields = self.table(name).schema.fields
-            rows.append((i, [(j + 1, f.name, f.dataType.simpleString()) for j, f in enumerate(fields)]))
-        return self.spark.createDataFrame(rows, "t int, cols array<struct<ordinal:int,name:string,type:string>>")
+    def table_columns(self):
+        """Columns of the driver table numbered row_id % 14, read from the table schemas."""
+        if self.sf_dir not in _SHAPES:
+            _SHAPES[self.sf_dir] = [
+                [(f.name, f.dataType.simpleString()) for f in self.table(name).schema.fields] for name in TABLES
+            ]
+        shapes = ", ".join(
+            "array("
+            + ", ".join(f"named_struct('ordinal', {j + 1}, 'name', '{n}', 'type', '{t}')" for j, (n, t) in enumerate(fields))
+            + ")"
+            for fields in _SHAPES[self.sf_dir]
+        )
+        return F.expr(f"element_at(array({shapes}), cast(row_id % 14 + 1 as int))")
+
+    def spread(self, df: DataFrame) -> DataFrame:
+        """Rows dealt out to all cores where a small input arrives as fewer splits than that.
+
+        An input of many splits is left alone, so nothing is shuffled at scale.
+        """
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+    def _once(self, name: str, make) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = make()
+        return self._made[name]
 
     def catalog(self) -> DataFrame:
         """Assets of projection kw with the columns of the driver tables and one more."""
-        kw = self.projection("kw")
-        joined = kw.join(F.broadcast(self.table_columns), (F.col("row_id") % 14) == F.col("t"))
+        return self._once("catalog", self._catalog)
+
+    def _catalog(self) -> DataFrame:
+        kw = self.spark.sql(KW, orders=self.spread(self.table("orders")))
+        joined = kw.withColumn("cols", self.table_columns())
         every = F.concat(
             "cols",
             F.array(
@@ -199,6 +222,9 @@ class Inputs:
 
     def targets(self) -> DataFrame:
         """The newest asset of every source."""
+        return self._once("targets", self._targets)
+
+    def _targets(self) -> DataFrame:
         w = Window.partitionBy("source").orderBy(F.desc("last_scanned"), "fingerprint")
         return (
             self.catalog()
@@ -210,6 +236,9 @@ class Inputs:
 
     def asset_relationships(self) -> DataFrame:
         """Declared edges between catalog assets: each customer's orders in a chain."""
+        return self._once("asset_relationships", self._asset_relationships)
+
+    def _asset_relationships(self) -> DataFrame:
         w = Window.partitionBy("owner_id").orderBy("created_date", "row_id")
         kinds = "derived_from,transforms_to,aggregates_to,joins_with,filters_to,enriches_to,feeds_into,copied_to"
         chained = self.catalog().select(

@@ -301,7 +301,7 @@ DOMAIN = f"""domains as ({_DOMAIN_ROWS}),
     ["columns_long"],
 )
 def _(i):
-    return i.catalog().select("fingerprint", G.business_domain("name", "columns").alias("business_domain"))
+    return G.with_business_domain(i.catalog()).select("fingerprint", "business_domain")
 
 
 _GROWN = "floor((epoch_us(modified_date) - epoch_us(created_date)) / 86400000000.0)"
@@ -433,11 +433,11 @@ _PROCESS = sql_case(
     ["columns_long"],
 )
 def _(i):
-    a = i.catalog().select("fingerprint", G.business_domain("name", "columns").alias("d"))
-    return a.select(
+    d = "business_domain"
+    return G.with_business_domain(i.catalog()).select(
         "fingerprint",
-        G.retention_policy("d").alias("retention_policy"),
-        join(G.related_processes("d")).alias("related_processes"),
+        G.retention_policy(d).alias("retention_policy"),
+        join(G.related_processes(d)).alias("related_processes"),
     )
 
 
@@ -454,13 +454,11 @@ _PURPOSE = """case when high_risk_pii_count > 0 then 'Data asset containing pers
     ["columns_long"],
 )
 def _(i):
-    a = P.with_pii_summary(i.catalog()).withColumns(
-        {"d": G.business_domain("name", "columns"), "large": G._volume()["is_large_dataset"]}
-    )
+    a = G.with_business_domain(P.with_pii_summary(i.catalog())).withColumn("large", G._volume()["is_large_dataset"])
     return a.select(
         "fingerprint",
         ts(G.last_review()).alias("last_business_review"),
-        G.purpose("d", "high_risk_pii_count", "large").alias("business_purpose"),
+        G.purpose("business_domain", "high_risk_pii_count", "large").alias("business_purpose"),
     )
 
 

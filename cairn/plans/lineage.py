@@ -344,11 +344,9 @@ EDGE_T = f"""edge_t as (select e.target_id, e.relationship as type,
 _PAIRS = """pairs_u as (select u.target_id, u.id, u.name as u_name, u.type as u_type, t.name as t_name, t.type as t_type
   from nodes u join nodes t on t.target_id = u.target_id and t.level = 0 where u.level < 0)"""
 
-SCHEMA_T = """wide as (select p.*, u.n as un, t.n as tn,
-      (select count(distinct lower(a.column_name)) from columns_long a join columns_long b on lower(a.column_name) = lower(b.column_name)
-        where a.fingerprint = p.id and b.fingerprint = p.target_id) as common
-    from pairs_u p join (select fingerprint, count(*) as n from columns_long group by 1) u on u.fingerprint = p.id
-      join (select fingerprint, count(*) as n from columns_long group by 1) t on t.fingerprint = p.target_id),
+SCHEMA_T = """lists as (select fingerprint, count(*) as n, list(distinct lower(column_name)) as l from columns_long group by 1),
+  wide as (select p.*, u.n as un, t.n as tn, len(list_intersect(u.l, t.l)) as common
+    from pairs_u p join lists u on u.fingerprint = p.id join lists t on t.fingerprint = p.target_id),
   schema_t as (
     select target_id, 'column_projection' as type, 'Column reduction from ' || un || ' to ' || tn || ' columns' as description,
       cast(0.85 as double) as confidence, u_name as source, t_name as target from wide where tn * 10 < un * 7

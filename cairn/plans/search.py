@@ -108,19 +108,22 @@ def _(i):
 
 @query(
     "qry7_fuzzy_join",
-    """with terms as (select distinct lower(substr(p_name, 2)) as term from part
-                      union select distinct lower(replace(url, 'e', '')) from pages),
-         cands as (select distinct lower(p_name) as candidate from part union select distinct lower(url) from pages)
+    """with terms as (select distinct lower(substr(name, 2)) as term from mixed where origin = 'part'
+                      union select distinct lower(n_name || 's') from nation),
+         cands as (select distinct lower(name) as candidate from mixed union select distinct lower(n_name) from nation)
        select term, candidate, cast(levenshtein(term, candidate) as integer) as distance from terms, cands
        where abs(length(term) - length(candidate)) <= length(term) // 3
          and levenshtein(term, candidate) between 1 and length(term) // 3""",
+    ["mixed"],
 )
 def _(i):
-    part, pages = i.table("part"), i.table("pages")
-    terms = part.select(F.expr("substring(p_name, 2)").alias("term")).unionAll(
-        pages.select(F.replace("url", F.lit("e"), F.lit("")).alias("term"))
+    mixed, nations = i.projection("mixed"), i.table("nation")
+    terms = (
+        mixed.filter("origin = 'part'")
+        .select(F.expr("substring(name, 2)").alias("term"))
+        .unionAll(nations.select(F.concat("n_name", F.lit("s")).alias("term")))
     )
-    names = part.select(F.col("p_name").alias("candidate")).unionAll(pages.select(F.col("url").alias("candidate")))
+    names = mixed.select(F.col("name").alias("candidate")).unionAll(nations.select(F.col("n_name").alias("candidate")))
     return Q.fuzzy_join(terms, names)
 
 

@@ -348,18 +348,18 @@ def _asset(platform: str, rule: Rule, as_of: Column) -> Column:
 
 
 def normalise_listing(df: DataFrame, as_of: str | Column, platforms: list[str] | None = None) -> DataFrame:
-    """Assets of a listing dump; rows of unknown platforms or dropped by a rule vanish."""
+    """Assets of a listing dump; rows of unknown platforms or dropped by a rule vanish.
+
+    Dropped rows leave as empty arrays of a generator.  A filter on the built asset would be
+    pushed below the projection and parse the JSON once per field.
+    """
     picked = platforms or list(RULES)
     now = moment(as_of)
-    made = first_case(
-        [(F.col("platform") == p, _asset(p, RULES[p], now)) for p in picked], F.lit(None)
-    )
+    made = first_case([(F.col("platform") == p, _asset(p, RULES[p], now)) for p in picked], F.lit(None))
     return as_assets(
         df.filter(F.col("platform").isin(picked))
         .withColumn("_v", F.try_parse_json("payload"))
-        .select(made.alias("a"))
-        .filter("a is not null")
-        .select("a.*")
+        .select(F.inline(F.array_compact(F.array(made))))
     )
 
 
@@ -411,27 +411,31 @@ def _fields(line: str) -> Column:
     return F.split(F.trim(F.col(line)), r"\s+")
 
 
-def _size_field(parts: Column, i: int) -> Column:
-    return F.when(parts[i].rlike(r"^\d+$"), parts[i].cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+def _at_field(parts: str, i: int) -> Column:
+    """Field i of a line, null where the line is shorter."""
+    return F.get(F.col(parts), F.lit(i))
+
+
+def _size_field(parts: str, i: int) -> Column:
+    field_ = _at_field(parts, i)
+    return F.when(field_.rlike(r"^\d+$"), F.coalesce(field_.try_cast("bigint"), F.lit(0))).otherwise(F.lit(0))
 
 
 def hdfs_ls_assets(lines: DataFrame, column: str, namenode: str, as_of: str | Column) -> DataFrame:
     """Assets of recursive `ls` text lines: file or directory lines with eight fields or more."""
-    p = F.col("_p")
+    p = lambda i: _at_field("_p", i)
     return as_assets(
         lines.filter(F.col(column).rlike("^[d-]"))
         .withColumn("_p", _fields(column))
         .filter(F.size("_p") >= 8)
         .select(
-            _last(p[7]).alias("name"),
-            F.when(p[0].startswith("d"), "hdfs_directory").otherwise("hdfs_file").alias("type"),
+            _last(p(7)).alias("name"),
+            F.when(p(0).startswith("d"), "hdfs_directory").otherwise("hdfs_file").alias("type"),
             F.lit("hdfs").alias("source"),
-            F.concat(F.lit(f"hdfs://{namenode}"), p[7]).alias("location"),
-            _size_field(p, 4).alias("size"),
+            F.concat(F.lit(f"hdfs://{namenode}"), p(7)).alias("location"),
+            _size_field("_p", 4).alias("size"),
             moment(as_of).alias("created_date"),
-            F.create_map(
-                F.lit("owner"), p[2], F.lit("group"), p[3], F.lit("permissions"), p[0]
-            ).alias("metadata"),
+            F.create_map(F.lit("owner"), p(2), F.lit("group"), p(3), F.lit("permissions"), p(0)).alias("metadata"),
         )
     )
 
@@ -450,7 +454,7 @@ def ftp_list_assets(
     files = (
         lines.withColumn("_p", _fields(column))
         .filter(F.size("_p") >= 9)
-        .select(name.alias("name"), _size_field(F.col("_p"), 4).alias("size"), F.col("_p")[0].alias("mode"))
+        .select(name.alias("name"), _size_field("_p", 4).alias("size"), _at_field("_p", 0).alias("mode"))
         .filter(~F.col("name").isin(".", "..") & F.col("mode").startswith("-"))
         .filter(F.col("size") <= max_mb * 1024 * 1024)
     )
