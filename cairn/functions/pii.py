@@ -32,10 +32,27 @@ def sensitive_matches(column_name: ColumnLike) -> Column:
     return compact(*[F.when(n.rlike("^" + p), F.lit(p)) for p in rules.SENSITIVE_COLUMN_PATTERNS])
 
 
+# Every match of the kind holds this character, so a text without it needs no regular expression.
+_MARK = {"email": "@", "ssn": "-", "ip_address": "."}
+
+
+def _possible(value: Column, kind: str) -> Column:
+    return value.contains(_MARK[kind]) if kind in _MARK else F.lit(True)
+
+
 def pii_types_in_text(value: ColumnLike) -> Column:
     """Kinds of personal data present in a text, case-insensitive."""
     v = col(value)
-    return compact(*[F.when(v.rlike("(?i)" + p), F.lit(k)) for k, p in rules.PII_VALUE_PATTERNS.items()])
+    return compact(
+        *[F.when(_possible(v, k) & v.rlike("(?i)" + p), F.lit(k)) for k, p in rules.PII_VALUE_PATTERNS.items()]
+    )
+
+
+def pii_match_count(value: ColumnLike, kind: str) -> Column:
+    """Matches of one kind in a text; 0 for null."""
+    v = col(value)
+    n = F.regexp_count(v, F.lit("(?i)" + rules.PII_VALUE_PATTERNS[kind]))
+    return F.coalesce(F.when(_possible(v, kind), n).otherwise(0), F.lit(0))
 
 
 def privacy_risk(pii_types: ColumnLike, sensitive_entries: ColumnLike) -> Column:
@@ -61,5 +78,6 @@ def redact(value: ColumnLike, kinds: list[str] | None = None) -> Column:
     out = col(value)
     for kind in order:
         if kinds is None or kind in kinds:
-            out = F.regexp_replace(out, "(?i)" + rules.PII_VALUE_PATTERNS[kind], f"[{kind}]")
+            cut = F.regexp_replace(out, "(?i)" + rules.PII_VALUE_PATTERNS[kind], f"[{kind}]")
+            out = F.when(out.contains(_MARK[kind]), cut).otherwise(out) if kind in _MARK else cut
     return out

@@ -255,7 +255,8 @@ def merge_custom(
     nodes: DataFrame, edges: DataFrame, targets: DataFrame, assets: DataFrame, rel: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
     """Add declared relationships, one hop, to a graph; a node already present is not added again."""
-    declared = custom_edges(targets, assets, rel)
+    # read for nodes and for edges: the joins run once
+    declared = cut_lineage(custom_edges(targets, assets, rel))
     level = F.when(F.col("direction") == "upstream", -1).otherwise(1)
     fresh = (
         declared.filter(F.col("id") != F.col("target_id"))
@@ -287,9 +288,12 @@ def lineage_graph(
 ) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of the targets: guessed levels plus declared relationships.
 
-    Guessed nodes of any level are linked straight to the target.
+    Guessed nodes of any level are linked straight to the target.  The pass over the catalog
+    runs once, here: its result, a few rows per target, is kept in the shared checkpoint
+    folder and read for the nodes and for the edges.
     """
-    levels = lineage_levels(related_assets(targets, assets), direction, depth)
+    targets = cut_lineage(targets)
+    levels = cut_lineage(lineage_levels(related_assets(targets, assets), direction, depth))
     shape = ["target_id", "id", "name", "type", "source", "level", "direction", "custom"]
     own = targets.select(
         F.col("fingerprint").alias("target_id"),

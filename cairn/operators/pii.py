@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from cairn import rules
 from cairn.functions.pii import (
     pii_categories,
+    pii_match_count,
     pii_risks,
     pii_types_in_text,
     privacy_risk,
@@ -118,14 +119,7 @@ def pii_scan(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """
     cols = cols or text_columns(df)
     pairs = [(c, kind) for c in cols for kind in rules.PII_VALUE_PATTERNS]
-    counts = df.select(
-        *[
-            F.coalesce(
-                F.regexp_count(F.col(c), F.lit("(?i)" + rules.PII_VALUE_PATTERNS[kind])), F.lit(0)
-            ).alias(f"m{i}")
-            for i, (c, kind) in enumerate(pairs)
-        ]
-    )
+    counts = df.select(*[pii_match_count(c, kind).alias(f"m{i}") for i, (c, kind) in enumerate(pairs)])
     one = counts.agg(
         *[F.coalesce(F.sum(f"m{i}"), F.lit(0)).alias(f"s{i}") for i in range(len(pairs))],
         *[F.count_if(F.col(f"m{i}") > 0).alias(f"r{i}") for i in range(len(pairs))],

@@ -1,4 +1,4 @@
-"""Session helpers: settings, shared scratch space and lineage cutting."""
+"""Session helpers: settings, the shared scratch folder and cutting of long plans."""
 
 from __future__ import annotations
 
@@ -55,9 +55,10 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared checkpoint folder, so lost executors can re-read it."""
-    spark = df.sparkSession
-    root = shared_root(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(root)
-    return df.checkpoint(eager=True)
+    """Write df to a table in the shared folder and read it back.
+
+    The plan is computed once and ends here; executors lost later re-read the files.
+    """
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
