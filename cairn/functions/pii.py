@@ -26,6 +26,12 @@ def pii_risks(column_name: ColumnLike) -> Column:
     )
 
 
+def risk_bits(lower_name: Column) -> Column:
+    """The rules of pii_risks a lower-cased column name meets, as one bit each in list order."""
+    bits = [F.when(has_any(lower_name, words), 1 << i).otherwise(0) for i, (_, _, words) in enumerate(rules.PII_RISKS)]
+    return sum(bits[1:], bits[0])
+
+
 def sensitive_matches(column_name: ColumnLike) -> Column:
     """Every sensitive pattern matched by a column name, in list order."""
     n = low(column_name)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairn import rules
+from cairn.functions.expr import compact, names
 from cairn.functions.pii import (
     pii_categories,
     pii_match_count,
@@ -14,6 +15,7 @@ from cairn.functions.pii import (
     pii_types_in_text,
     privacy_risk,
     redact,
+    risk_bits,
     sensitive_matches,
 )
 
@@ -40,26 +42,27 @@ def pii_findings(columns_long: DataFrame) -> DataFrame:
 
 
 def with_pii_summary(assets: DataFrame) -> DataFrame:
-    """Add high/medium/low counts, risk and tags, read from the columns array (no shuffle)."""
-    found = F.coalesce(
-        F.flatten(F.transform("columns", lambda c: pii_risks(c["name"]))),
-        F.array().cast("array<struct<risk:string,pii_type:string>>"),
-    )
-    tier = lambda risk: F.size(F.filter("_found", lambda r: r["risk"] == risk))
+    """Add high/medium/low counts, risk and tags, read from the columns array (no shuffle).
+
+    Each column name is tested once and leaves one bit per (risk, type) rule.
+    """
+    tiers = {t: sum(1 << i for i, (risk, _, _) in enumerate(rules.PII_RISKS) if risk == t) for t in ("High", "Medium", "Low")}
+    tagged = sorted((f"{risk.lower()}-risk-{kind}", 1 << i) for i, (risk, kind, _) in enumerate(rules.PII_RISKS))
+
+    def counted(tier: str) -> Column:
+        return F.aggregate(
+            "_pii", F.lit(0), lambda n, b: n + F.bit_count(b.bitwiseAND(tiers[tier])).cast("int")
+        )
+
     return (
-        assets.withColumn("_found", found)
+        assets.withColumn("_pii", F.transform(names("columns"), risk_bits))
+        .withColumn("_any", F.aggregate("_pii", F.lit(0), lambda a, b: a.bitwiseOR(b)))
         .withColumns(
             {
-                "high_risk_pii_count": tier("High"),
-                "medium_risk_pii_count": tier("Medium"),
-                "low_risk_pii_count": tier("Low"),
-                "pii_tags": F.array_sort(
-                    F.array_distinct(
-                        F.transform(
-                            "_found", lambda r: F.concat(F.lower(r["risk"]), F.lit("-risk-"), r["pii_type"])
-                        )
-                    )
-                ),
+                "high_risk_pii_count": counted("High"),
+                "medium_risk_pii_count": counted("Medium"),
+                "low_risk_pii_count": counted("Low"),
+                "pii_tags": compact(*[F.when(F.col("_any").bitwiseAND(bit) > 0, F.lit(tag)) for tag, bit in tagged]),
             }
         )
         .withColumn(
@@ -68,7 +71,7 @@ def with_pii_summary(assets: DataFrame) -> DataFrame:
             .when(F.col("medium_risk_pii_count") > 0, "Medium")
             .otherwise("Low"),
         )
-        .drop("_found")
+        .drop("_pii", "_any")
     )
 
 

@@ -85,54 +85,63 @@ def facets(assets: DataFrame) -> DataFrame:
     )
 
 
+def _profiled_columns() -> Column:
+    return F.transform(
+        "columns",
+        lambda c: F.struct(
+            c["name"].alias("name"),
+            F.coalesce(c["type"], F.lit("unknown")).alias("type"),
+            F.coalesce(c["mode"], F.when(c["nullable"] == F.lit(False), "REQUIRED").otherwise("NULLABLE")).alias("mode"),
+            pii_categories(c["name"]).alias("pii"),
+        ),
+    )
+
+
+def _shares(types: str) -> Column:
+    """(type, count, percentage) of an array of type names, percentages half-even to one decimal."""
+    kinds = F.array_sort(F.array_distinct(types))
+
+    def share(k: Column) -> Column:
+        n = F.size(F.filter(types, lambda t: t == k))
+        return F.struct(
+            k.alias("type"), n.alias("count"), F.bround(n / F.size(types) * 100, 1).alias("percentage")
+        )
+
+    return F.transform(kinds, share)
+
+
 def profile_assets(assets: DataFrame) -> DataFrame:
-    """Column profile of every asset.
+    """Column profile of every asset with columns.
 
     Works on the columns array inside the row: no explode, no shuffle.  Returns counts, the
     type distribution (type, count, percentage), PII columns and distinct PII types.
     """
-    base = assets.select(
-        "fingerprint",
-        "num_rows",
-        F.transform(
-            "columns",
-            lambda c: F.struct(
-                c["name"].alias("name"),
-                F.coalesce(c["type"], F.lit("unknown")).alias("type"),
-                F.coalesce(c["mode"], F.when(c["nullable"] == F.lit(False), "REQUIRED").otherwise("NULLABLE")).alias(
-                    "mode"
-                ),
-                pii_categories(c["name"]).alias("pii"),
-            ),
-        ).alias("cols"),
-    )
-    total = F.size("cols")
-    kinds = F.array_sort(F.array_distinct(F.transform("cols", lambda c: c["type"])))
-    shares = F.transform(
-        kinds,
-        lambda k: F.struct(
-            k.alias("type"),
-            F.size(F.filter("cols", lambda c: c["type"] == k)).alias("count"),
-            F.bround(F.size(F.filter("cols", lambda c: c["type"] == k)) / total * 100, 1).alias("percentage"),
-        ),
-    )
+    held = F.col("columns").isNotNull()
+    base = assets.filter(held).select("fingerprint", "num_rows", _profiled_columns().alias("cols"))
+    base = base.withColumn("types", F.transform("cols", lambda c: c["type"]))
     with_pii = F.filter("cols", lambda c: F.size(c["pii"]) > 0)
-    return base.filter(F.col("cols").isNotNull()).select(
+    return base.select(
         "fingerprint",
-        total.alias("total_columns"),
+        F.size("cols").alias("total_columns"),
         F.size(F.filter("cols", lambda c: c["mode"] == "NULLABLE")).alias("nullable_columns"),
         F.coalesce("num_rows", F.lit(0)).alias("estimated_rows"),
-        shares.alias("type_distribution"),
+        _shares("types").alias("type_distribution"),
         F.transform(with_pii, lambda c: c["name"]).alias("pii_columns"),
         F.array_sort(F.array_distinct(F.flatten(F.transform("cols", lambda c: c["pii"])))).alias("pii_types"),
     )
 
 
 def type_distribution(assets: DataFrame) -> DataFrame:
-    """profile_assets' type distribution as rows."""
+    """The type distribution of profile_assets as rows.
+
+    The list is built inside the generator: exploding a column that a projection builds would
+    add a filter on it below that projection and build it twice.
+    """
+    types = F.transform("columns", lambda c: F.coalesce(c["type"], F.lit("unknown")))
     return (
-        profile_assets(assets)
-        .select("fingerprint", F.explode("type_distribution").alias("t"))
+        assets.filter(F.col("columns").isNotNull())
+        .select("fingerprint", types.alias("types"))
+        .select("fingerprint", F.explode(_shares("types")).alias("t"))
         .select("fingerprint", F.col("t.type").alias("column_type"), F.col("t.count").alias("n"), "t.percentage")
     )
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cairn import rules
 from cairn.functions.expr import compact, first_case, has_any, low, names
 
-_OUT = ["target_id", "type", "description", "confidence", "source", "target"]
+NAMES_PER_LIST = 10_000
 
 
 def edge_text(kind: Column, source: Column, target: Column) -> Column:
@@ -137,13 +137,16 @@ def type_transformations(nodes: DataFrame) -> DataFrame:
 def pattern_transformations(nodes: DataFrame) -> DataFrame:
     """From the target's name, if it has an upstream node; source lists the upstream names.
 
-    Names of guessed nodes are at most 3 * depth per target; only targets with a matching
-    name are gathered.
+    A list holds about NAMES_PER_LIST names: a target with more upstream nodes gets one row per
+    part of them, so no task gathers all names of a hot target.
     """
     words = [w for group, _, _, _ in rules.NAME_TRANSFORMATIONS for w in group]
     ups = _against_target(nodes).filter(has_any(low("t_name"), words))
-    listed = ups.groupBy("target_id", "t_name").agg(
-        F.array_join(F.sort_array(F.collect_list("u_name")), ", ").alias("u_name")
+    parts = ups.groupBy("target_id").agg(F.ceil(F.count("*") / NAMES_PER_LIST).alias("parts"))
+    listed = (
+        ups.join(parts, "target_id")
+        .groupBy("target_id", "t_name", F.pmod(F.xxhash64("id"), "parts").alias("part"))
+        .agg(F.array_join(F.sort_array(F.collect_list("u_name")), ", ").alias("u_name"))
     )
     n = low("t_name")
     return _found(

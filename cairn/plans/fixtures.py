@@ -235,14 +235,16 @@ class Inputs:
         )
 
     def asset_relationships(self) -> DataFrame:
-        """Declared edges between catalog assets: each customer's orders in a chain."""
+        """Declared edges between catalog assets: a binary tree over the order keys."""
         return self._once("asset_relationships", self._asset_relationships)
 
     def _asset_relationships(self) -> DataFrame:
-        w = Window.partitionBy("owner_id").orderBy("created_date", "row_id")
         kinds = "derived_from,transforms_to,aggregates_to,joins_with,filters_to,enriches_to,feeds_into,copied_to"
-        chained = self.catalog().select(
-            F.lag("fingerprint").over(w).alias("source_asset"),
+        child = self.catalog().select("row_id", "fingerprint", "created_date")
+        parent = child.select(F.col("row_id").alias("parent_id"), F.col("fingerprint").alias("source_asset"))
+        tree = child.filter("row_id > 0").withColumn("parent_id", F.expr("row_id div 2")).join(parent, "parent_id")
+        return tree.select(
+            "source_asset",
             F.col("fingerprint").alias("target_asset"),
             F.split_part(F.lit(kinds), F.lit(","), (F.col("row_id") % 8 + 1).cast("int")).alias("relationship_type"),
             ((F.col("row_id") % 6 + 5).cast("double") / 10).alias("confidence"),
@@ -251,10 +253,7 @@ class Inputs:
             .alias("description"),
             F.lit("user").alias("created_by"),
             F.col("created_date").alias("created_at"),
-        )
-        return chained.filter("source_asset is not null").select(
-            F.concat_ws("-", "source_asset", "target_asset", "relationship_type").alias("id"), "*"
-        )
+        ).select(F.concat_ws("-", "source_asset", "target_asset", "relationship_type").alias("id"), "*")
 
 
 # --- the same in DuckDB ------------------------------------------------------------
@@ -334,14 +333,13 @@ CTES: dict[str, tuple[str, list[str]]] = {
     ),
     "asset_rel": (
         """select concat(source_asset, '-', target_asset, '-', relationship_type) as id, * from (
-             select lag(fingerprint) over (partition by owner_id order by created_date, row_id) as source_asset,
-               fingerprint as target_asset,
+             select p.fingerprint as source_asset, c.fingerprint as target_asset,
                split_part('derived_from,transforms_to,aggregates_to,joins_with,filters_to,enriches_to,feeds_into,copied_to',
-                          ',', cast(row_id % 8 + 1 as int)) as relationship_type,
-               cast(row_id % 6 + 5 as double) / 10 as confidence,
-               case when row_id % 4 = 0 then 'declared ' || row_id else '' end as description,
-               'user' as created_by, created_date as created_at
-             from catalog) where source_asset is not null""",
+                          ',', cast(c.row_id % 8 + 1 as int)) as relationship_type,
+               cast(c.row_id % 6 + 5 as double) / 10 as confidence,
+               case when c.row_id % 4 = 0 then 'declared ' || c.row_id else '' end as description,
+               'user' as created_by, c.created_date as created_at
+             from catalog c join catalog p on p.row_id = c.row_id // 2 where c.row_id > 0)""",
         ["catalog"],
     ),
 }

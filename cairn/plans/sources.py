@@ -18,10 +18,25 @@ from cairn.sources import objects as O
 # --- files ---------------------------------------------------------------------------
 
 
-@query("src1_scan_files")
+def event_files(i, label: str) -> str:
+    """The events table written as files of at most 500 rows, one folder per kind."""
+    path = scratch_path(i.spark, label)
+    i.table("events").write.partitionBy("event_type").option("maxRecordsPerFile", 500).parquet(path)
+    return path
+
+
+@query(
+    "src1_scan_files",
+    """select 'event_type=' || event_type as folder, 'parquet_file' as type, true as sized, 'ext_parquet,size_small' as tags
+       from events group by event_type""",
+)
 def _(i):
-    found = S.scan_files(i.spark, i.sf_dir, exts=[".parquet"])
-    return S.file_assets(found).select("name", "type", "size", F.array_join("tags", ",").alias("tags"))
+    found = S.file_assets(S.scan_files(i.spark, event_files(i, "scan"), exts=[".parquet"]))
+    return found.groupBy(
+        F.regexp_extract("location", r"(event_type=[a-z]+)/", 1).alias("folder"),
+        "type",
+        F.array_join("tags", ",").alias("tags"),
+    ).agg(F.bool_and(F.col("size") > 0).alias("sized"))
 
 
 def _located(i):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cairn.plans.fixtures import AS_OF
 from cairn.plans.maintenance import ts
 from cairn.plans.registry import query
+from cairn.plans.sources import event_files
 from cairn.session import scratch_path
 from cairn.streaming import ingest as I
 
@@ -46,10 +47,17 @@ def _changes(events):
     )
 
 
-@query("str1_stream_files")
+@query(
+    "str1_stream_files",
+    """select 'event_type=' || event_type as folder, 'parquet_file' as type, true as once from events group by event_type""",
+)
 def _(i):
-    files = I.stream_files(i.spark, i.sf_dir, glob="*.parquet").select("fingerprint", "name", "type", "size")
-    return drained(i, files, "files")
+    files = I.stream_files(i.spark, event_files(i, "stream"), glob="*.parquet").select("fingerprint", "location", "type")
+    return (
+        drained(i, files, "files")
+        .groupBy(F.regexp_extract("location", r"(event_type=[a-z]+)/", 1).alias("folder"), "type")
+        .agg((F.count("*") == F.count_distinct("fingerprint")).alias("once"))
+    )
 
 
 def _as_asset_rows(events):
