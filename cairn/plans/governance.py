@@ -202,7 +202,7 @@ def _(i):
 @query(
     "dq5_parse_analysis",
     """select event_id, case when value < 2 then 'AI analysis completed but response format was invalid' else event_type end as summary,
-         case when value < 2 then 50.0 when value < 10 then 75.0 else least(100, greatest(0, user_id * 3 - 40)) end as quality_score,
+         cast(case when value < 2 then 50 when value < 10 then 75 else least(100, greatest(0, user_id * 3 - 40)) end as double) as quality_score,
          case when value < 2 then 'Response parsing failed' else '' end as issues
        from events""",
 )
