@@ -54,30 +54,34 @@ def with_business_domain(assets: DataFrame) -> DataFrame:
         each = [F.when(has_any(name, words), 1 << i).otherwise(0) for i, (_, words) in enumerate(rules.DOMAINS)]
         return F.when(has_any(name, all_words), sum(each[1:], each[0])).otherwise(0)
 
-    scored = F.array(
-        *[_domain_entry(i, domain, words) for i, (domain, words) in enumerate(rules.DOMAINS)]
-    )
+    def points(words: list[str]) -> Column:
+        return sum((_one("_name", w) for w in words[1:]), _one("_name", words[0]))
+
     return (
-        assets.withColumn("_bits", F.transform(names("columns"), bits))
-        .withColumn("_best", F.array_max(scored))
+        assets.withColumns({"_name": low("name"), "_bits": F.transform(names("columns"), bits)})
+        .withColumn("_points", F.array(*[points(words) for _, words in rules.DOMAINS]))
+        .withColumn("_best", F.array_max(F.array(*[_domain_entry(i, d) for i, (d, _) in enumerate(rules.DOMAINS)])))
         .withColumn(
             "business_domain",
             F.when(F.col("_best.score") > 0, F.col("_best.domain")).otherwise(rules.DEFAULT_DOMAIN),
         )
-        .drop("_bits", "_best")
+        .drop("_name", "_bits", "_points", "_best")
     )
 
 
-def _domain_entry(i: int, domain: str, words: list[str]) -> Column:
+def _one(column: str, word: str) -> Column:
+    return F.when(F.col(column).contains(word), 1).otherwise(0)
+
+
+def _domain_entry(i: int, domain: str) -> Column:
     """Score of one domain; structs compare field by field, so their maximum is the winner."""
-    n = low("name")
-    in_name = sum((F.when(n.contains(w), 1).otherwise(0) for w in words), F.lit(0))
-    hits = F.transform("_bits", lambda b: b.bitwiseAND(1 << i) > 0)
-    in_columns = F.size(F.filter("_bits", lambda b: b.bitwiseAND(1 << i) > 0))
+    in_name = F.get("_points", F.lit(i))
+    in_columns = F.aggregate("_bits", F.lit(0), lambda n, b: n + F.getbit(b, F.lit(i)).cast("int"))
+    first = F.array_position(F.transform("_bits", lambda b: F.getbit(b, F.lit(i)).cast("int")), 1)
     return F.struct(
         (in_name + in_columns * 0.5).cast("double").alias("score"),
         F.when(in_name > 0, 1).otherwise(0).alias("by_name"),
-        F.when(in_name > 0, F.lit(0)).otherwise(-F.array_position(hits, True)).cast("bigint").alias("first"),
+        F.when(in_name > 0, F.lit(0)).otherwise(-first).cast("bigint").alias("first"),
         F.lit(-i).alias("rank"),
         F.lit(domain).alias("domain"),
     )
@@ -136,7 +140,7 @@ def compliance(name: ColumnLike, columns: ColumnLike, high_risk: ColumnLike) ->
     """required_compliance and compliance_tags from PII tier, column names and asset name."""
     n = low(name)
     privacy = col(high_risk) > 0
-    cards = has_any(F.array_join(names(columns), " "), rules.PCI_WORDS)
+    cards = F.exists(names(columns), lambda c: has_any(c, rules.PCI_WORDS))
     health, finance = has_any(n, rules.HIPAA_WORDS), has_any(n, rules.SOX_WORDS)
     when = lambda cond, word: F.when(cond, F.lit(word))
     return {

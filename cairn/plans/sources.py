@@ -8,7 +8,6 @@ from cairn.operators import sinks
 from cairn.plans.fixtures import AS_OF, TABLES, _COLUMNS
 from cairn.plans.maintenance import sql_ts, ts
 from cairn.plans.registry import query
-from cairn.schema import columns_long
 from cairn.session import scratch_path
 from cairn.sources import databases as DB
 from cairn.sources import files as S
@@ -177,17 +176,13 @@ def _metadata(i):
     """Metadata tables of a database holding every catalog asset: tables, views, columns, counts."""
     assets = i.catalog().withColumns({"table_name": F.col("name"), "schema_name": _schema_of()})
     keyed = assets.select("fingerprint", "table_name", "schema_name", "row_id", "num_rows", "size", "type")
-    columns = (
-        columns_long(assets)
-        .join(keyed.select("fingerprint", "table_name", "schema_name"), "fingerprint")
-        .select(
-            "schema_name",
-            "table_name",
-            "ordinal",
-            "column_name",
-            F.col("column_type").alias("data_type"),
-            (F.col("mode") == "NULLABLE").alias("nullable"),
-        )
+    columns = assets.select("schema_name", "table_name", F.explode("columns").alias("c")).select(
+        "schema_name",
+        "table_name",
+        F.col("c.ordinal").alias("ordinal"),
+        F.col("c.name").alias("column_name"),
+        F.col("c.type").alias("data_type"),
+        F.col("c.nullable").alias("nullable"),
     )
     is_view = F.col("type").contains("view")
     return keyed.filter(~is_view), keyed.filter(is_view), columns
