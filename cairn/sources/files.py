@@ -90,16 +90,17 @@ def directories(files: DataFrame, root: str, max_depth: int | None = None) -> Da
 def storage_info(files: DataFrame, root: str = "") -> DataFrame:
     """Files, directories and bytes in total."""
     dirs = directories(files, root).agg(F.count("*").alias("total_directories"))
-    totals = files.agg(
-        F.count("*").alias("total_files"), F.coalesce(F.sum("size"), F.lit(0)).alias("total_size_bytes")
-    )
-    # two single-row tables
-    return totals.join(F.broadcast(dirs)).select(
-        "total_files",
-        "total_directories",
-        "total_size_bytes",
-        F.round(F.col("total_size_bytes") / (1024 * 1024), 2).alias("total_size_mb"),
-        F.round(F.col("total_size_bytes") / (1024 * 1024 * 1024), 2).alias("total_size_gb"),
+    totals = files.agg(F.count("*").alias("total_files"), F.sum("size").alias("total_size_bytes"))
+    # two single rows with different columns, folded into one
+    return (
+        totals.unionByName(dirs, allowMissingColumns=True)
+        .agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total_files", "total_directories", "total_size_bytes")])
+        .withColumns(
+            {
+                "total_size_mb": F.round(F.col("total_size_bytes") / (1024 * 1024), 2),
+                "total_size_gb": F.round(F.col("total_size_bytes") / (1024 * 1024 * 1024), 2),
+            }
+        )
     )
 
 

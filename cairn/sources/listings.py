@@ -33,7 +33,7 @@ def _last(c: Column) -> Column:
 
 
 def _count(path: str) -> Column:
-    return F.coalesce(F.size(get(path, "array<variant>")), F.lit(0))
+    return F.greatest(F.coalesce(F.size(get(path, "array<variant>")), F.lit(0)), F.lit(0))
 
 
 def _epoch_ms(path: str) -> Column:
@@ -82,9 +82,7 @@ RULES: dict[str, Rule] = {
         _at("kafka://%s/%s", _e, _topic),
         extras={
             "partitions": lambda: _count("partitions"),
-            "replication_factor": lambda: F.coalesce(
-                F.size(get("partitions[0].replicas", "array<variant>")), F.lit(0)
-            ),
+            "replication_factor": lambda: _count("partitions[0].replicas"),
         },
     ),
     "pulsar": Rule(

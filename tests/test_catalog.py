@@ -247,3 +247,39 @@ def test_trace_survives_cycles_and_diamonds(spark):
     assert got == {("a", 0), ("b", 1), ("c", 1), ("d", 2), ("e", 3)}
     up = {(r["id"], r["level"]) for r in L.trace(rel, start, "upstream", 10).collect()}
     assert up == {("a", 0), ("c", -1), ("b", -2)}
+
+
+def hub(spark, n):
+    """A graph whose one target has n upstream nodes."""
+    nodes = [("t", "t", "agg_total", "v", 0)] + [("t", f"u{i:03d}", f"up{i:03d}", "table", -1) for i in range(n)]
+    return spark.createDataFrame(nodes, "target_id string, id string, name string, type string, level int")
+
+
+def test_name_lists_of_a_hot_target_are_split(spark, monkeypatch):
+    whole = T.pattern_transformations(hub(spark, 40)).collect()
+    assert len(whole) == 1 and whole[0]["source"] == ", ".join(f"up{i:03d}" for i in range(40))
+    monkeypatch.setattr(T, "NAMES_PER_LIST", 10)
+    parts = T.pattern_transformations(hub(spark, 40)).collect()
+    assert 1 < len(parts) <= 4
+    assert sorted(n for r in parts for n in r["source"].split(", ")) == [f"up{i:03d}" for i in range(40)]
+
+
+def test_complexity_and_counts(spark):
+    from cairn.operators.stats import lineage_counts
+
+    nodes = hub(spark, 2)
+    edges = spark.createDataFrame([("t",)] * 9, "target_id string")
+    got = T.lineage_complexity(nodes, edges).first()
+    assert (got["nodes"], got["edges"], got["cyclomatic"], got["complexity"], got["performance"]) == (3, 9, "High", "High", "High")
+    assert lineage_counts(nodes).first()["upstream"] == 2
+
+
+def test_recommendation_defaults(spark):
+    targets = spark.createDataFrame(
+        [("t", "file", [(1,)], {"a": "1", "b": "2", "c": "3"})],
+        "fingerprint string, type string, columns array<struct<ordinal:int>>, metadata map<string,string>",
+    )
+    out = T.lineage_recommendations(targets, hub(spark, 1)).orderBy("position").collect()
+    assert [r["severity"] for r in out] == ["success", "info"]
+    out = T.lineage_recommendations(targets.withColumn("type", F.lit("view table")), hub(spark, 6)).orderBy("position").collect()
+    assert [r["severity"] for r in out] == ["warning", "success", "info"]

@@ -159,6 +159,13 @@ def test_exports(spark, tmp_path):
     assert spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "c")).first()["tags"] == '["x"]'
 
 
+def test_lineage_export(spark, tmp_path):
+    one = spark.createDataFrame([("t", "x")], "target_id string, id string")
+    sinks.export_lineage(one, one, one, str(tmp_path / "l"))
+    back = spark.read.json(str(tmp_path / "l"))
+    assert sorted(r["kind"] for r in back.collect()) == ["column", "edge", "node"]
+
+
 def test_snapshots_never_overwrite(spark, tmp_path):
     root = str(tmp_path / "s")
     assert sinks.read_snapshot(spark, root, ASSETS).count() == 0
