@@ -88,10 +88,10 @@ with facts as (
   select h, min(page_id) as first_id from facts group by h
 )
 select page_id, payload_bytes,
-  array_to_string(list_transform(range(8), i ->
-    array_to_string(list_transform(range(4), k ->
+  array_to_string([array_to_string([
       substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
-        ((('0x' || substr(facts.h, (i * 5 + 1)::bigint, 5))::bigint >> (15 - 5 * k)::bigint) & 31) + 1, 1)), '')), '')
+        ((('0x' || substr(facts.h, (i * 5 + 1)::bigint, 5))::bigint >> (15 - 5 * k)::bigint) & 31) + 1, 1)
+      for k in range(4)], '') for i in range(8)], '')
     as payload_digest,
   case when page_id = first_id then 'response' else 'revisit' end as record_type,
   case when page_id = first_id then null else first_id end as refers_to
@@ -99,10 +99,10 @@ from facts join first on facts.h = first.h
 """,
     "op3_lsh_forest_join": r"""
 with recursive words as (
-  select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\s+'), x -> x <> '') as w from documents
+  select doc_id, [x for x in regexp_split_to_array(lower(coalesce(text, '')), '\s+') if x <> ''] as w from documents
 ), shingles as (
   select distinct doc_id, unnest(case when len(w) >= 5
-    then list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))
+    then [array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)]
     when len(w) > 0 then [array_to_string(w, ' ')] else ['<empty>'] end) as s
   from words
 ), sizes as (
