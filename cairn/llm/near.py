@@ -248,7 +248,8 @@ def _with_hashes(docs: DataFrame, placed: DataFrame) -> DataFrame:
 
     texts = pick(docs, id="doc_id", text="text")
     wanted = placed.select("doc_id", F.col("text_id").alias("wanted"))
-    sets = texts.join(wanted, texts["id"].eqNullSafe(wanted["doc_id"])).select("wanted", "text")
+    # Texts always move by key: the ids wanted grow with the input, so no plan may send them to every task.
+    sets = texts.hint("merge").join(wanted, texts["id"].eqNullSafe(wanted["doc_id"])).select("wanted", "text")
     return sets.mapInArrow(run, "text_id long, hashes binary").dropDuplicates(["text_id"])
 
 
