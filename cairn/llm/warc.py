@@ -20,7 +20,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import cut, partitions, scratch_path
+from cairn.llm.common import cut, scratch_path
 
 # Fixed values of the seekable format: magic numbers of the skippable frame and of its footer.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -228,8 +228,8 @@ def read_bundles(index: DataFrame, with_payload: bool = True) -> DataFrame:
                         raw = zstandard.ZstdDecompressor().decompress(source.read(packed), max_output_size=plain)
                         yield _rows(parse(raw), with_payload)
 
-    bundles = index.select("bundle").distinct()
-    return bundles.repartition(partitions(index.sparkSession), "bundle").mapInArrow(read, RECORD_TYPE)
+    bundles = cut(index.select("bundle").distinct())
+    return bundles.repartition(max(1, bundles.count())).mapInArrow(read, RECORD_TYPE)
 
 
 def fetch(index: DataFrame, wanted: DataFrame) -> DataFrame:
