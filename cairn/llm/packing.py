@@ -132,7 +132,8 @@ def pack(pieces: DataFrame, size: int = 1024) -> DataFrame:
         .join(offsets, ["length", "bucket"])
         .withColumn("rank", F.col("before") + F.col("row") - 1)
     )
-    return ranked.join(slots, ["length", "rank"]).select(
+    # There is a slot for each piece, though the plan they come from is small: they move by key.
+    return ranked.join(slots.hint("merge"), ["length", "rank"]).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
     )
 
