@@ -133,13 +133,18 @@ def with_next(docs: DataFrame, rows: int = 1500) -> DataFrame:
         F.lead("fp").over(order).alias("inner_fp"),
         F.lead(F.lit(True)).over(order).alias("inner"),
     )
-    heads = dealt.groupBy("range").agg(F.min(F.struct("doc_id", "text", "fp")).alias("head"))
+    heads = (
+        dealt.groupBy("range")
+        .agg(F.min(F.struct("doc_id", "text")).alias("head"))
+        .select("range", "head.doc_id", "head.text")
+        .select("range", F.struct("doc_id", "text", fingerprint(F.col("text")).alias("fp")).alias("head"))
+    )
     along = Window.partitionBy(F.lit(0)).orderBy("range")
     whole = Window.partitionBy(F.lit(0)).orderBy("range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     after = heads.select(
         F.col("range"), F.coalesce(F.lead("head").over(along), F.first("head").over(whole)).alias("after")
     )
-    return inside.join(F.broadcast(after), "range").select(
+    return inside.join(after, "range").select(
         "doc_id",
         "text",
         "fp",
