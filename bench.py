@@ -11,10 +11,11 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 from cairn.plans import catalogue
-from cairn.session import local_session
+from cairn.session import local_session, release_scratch
 
 HEADLINE = [
     "src3_is_data_file",
@@ -66,7 +67,8 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     runs = int(os.environ.get("BENCH_RUNS", "2"))
-    spark = local_session(cpus)
+    shared = tempfile.mkdtemp(prefix="cairn-bench-")
+    spark = local_session(cpus, shared=shared)
     queries = catalogue.spark_queries()
     names = list(queries) if os.environ.get("BENCH_ALL") else HEADLINE
     seconds: dict[str, float] = {}
@@ -75,6 +77,7 @@ def main() -> None:
         warm = [timed(queries[name], spark, sf_dir) for _ in range(runs)]
         seconds[name] = round(statistics.median(warm or [first]), 3)
         print(f"{name} first {first:.2f} warm {seconds[name]:.2f}", file=sys.stderr, flush=True)
+    release_scratch(spark)
     print(
         json.dumps(
             {

@@ -144,15 +144,15 @@ def vanished(current: DataFrame, batch: DataFrame) -> DataFrame:
     )
 
 
-def asset_history(history: DataFrame, key: str, limit: int = 50) -> DataFrame:
-    """Newest change records of one asset, JSON decoded into maps (a top-k, no full sort)."""
+def asset_history(history: DataFrame, key: str, limit: int | None = None) -> DataFrame:
+    """Change records of one asset, newest first, JSON decoded into maps; a top-k where a limit is given."""
     decoded = "map<string,string>"
-    return (
-        history.filter(F.col("asset_fingerprint") == key)
-        .orderBy(F.desc("change_date"), F.desc("change_type"), F.desc("new_values"))
-        .limit(limit)
-        .withColumns({c: F.from_json(F.col(c), decoded) for c in ("old_values", "new_values")})
+    records = history.filter(F.col("asset_fingerprint") == key).orderBy(
+        F.desc("change_date"), F.desc("change_type"), F.desc("new_values")
     )
+    if limit is not None:
+        records = records.limit(limit)
+    return records.withColumns({c: F.from_json(F.col(c), decoded) for c in ("old_values", "new_values")})
 
 
 def purge_history(history: DataFrame, days: int, as_of: str | Column) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import string
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.expr import low
@@ -26,9 +26,9 @@ def newest_first(df: DataFrame) -> DataFrame:
 
 
 def search_assets(
-    assets: DataFrame, query: str = "", type: str | None = None, source: str | None = None, limit: int | None = 100
+    assets: DataFrame, query: str = "", type: str | None = None, source: str | None = None, limit: int | None = None
 ) -> DataFrame:
-    """Active assets whose name or location holds the query, newest scan first (a top-k)."""
+    """Active assets whose name or location holds the query, newest scan first; a top-k where a limit is given."""
     hit = assets.filter("is_active")
     if query:
         hit = hit.filter(like_ascii("name", f"%{query}%") | like_ascii("location", f"%{query}%"))
@@ -184,7 +184,7 @@ def pick_assets(assets: DataFrame, term: str) -> DataFrame:
     return assets.filter(F.lower(F.concat_ws(" ", "name", "type", "source")).contains(term.lower()))
 
 
-def recent_activity(assets: DataFrame, n: int = 10, newest: int = 20) -> DataFrame:
+def recent_activity(assets: DataFrame, n: int, newest: int) -> DataFrame:
     """Activity feed: the newest scans, then the newest discoveries among them."""
     feed = search_assets(assets, limit=newest).select(
         "fingerprint",
@@ -194,13 +194,27 @@ def recent_activity(assets: DataFrame, n: int = 10, newest: int = 20) -> DataFra
     return feed.orderBy(F.desc("timestamp"), "fingerprint").limit(n)
 
 
-def assets_by_source_grouped(assets: DataFrame, newest: int = 1000) -> DataFrame:
-    """The newest assets listed under their source; the list is bounded by `newest`."""
-    recent = search_assets(assets, limit=newest).select(
-        F.coalesce("source", F.lit("unknown")).alias("source"), "last_scanned", "fingerprint", "name"
+def assets_by_source_grouped(assets: DataFrame) -> DataFrame:
+    """Every active asset under its source: (source, position, name), newest scan first.
+
+    A row per asset, so that a source of any size stays spread over many rows.  Positions are counted
+    in slices of a source by day of the scan, and each slice starts after the assets of later days.
+    """
+    rows = assets.filter("is_active").select(
+        F.coalesce("source", F.lit("unknown")).alias("source"),
+        F.to_date("last_scanned").alias("day"),
+        "last_scanned",
+        "fingerprint",
+        "name",
+    )
+    later = Window.partitionBy("source").orderBy(F.desc_nulls_last("day")).rowsBetween(Window.unboundedPreceding, -1)
+    before = (
+        rows.groupBy("source", "day")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .select("source", F.col("day").alias("on"), F.coalesce(F.sum("n").over(later), F.lit(0)).alias("before"))
     )
-    entry = F.struct((-F.unix_micros("last_scanned")).alias("age"), F.col("fingerprint"), F.col("name"))
-    return recent.groupBy("source").agg(
-        F.count("*").alias("assets"),
-        F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["name"]).alias("names"),
+    inside = Window.partitionBy("source", "day").orderBy(F.desc_nulls_last("last_scanned"), "fingerprint")
+    placed = rows.withColumn("row", F.row_number().over(inside)).withColumnRenamed("source", "of")
+    return placed.join(before, F.col("of").eqNullSafe(F.col("source")) & F.col("day").eqNullSafe(F.col("on"))).select(
+        "source", (F.col("before") + F.col("row")).alias("position"), "name"
     )

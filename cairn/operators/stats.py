@@ -9,7 +9,6 @@ from cairn import rules
 from cairn.functions.expr import days_between
 from cairn.functions.pii import pii_categories
 from cairn.operators.maintenance import moment
-from cairn.operators.search import search_assets
 
 
 def catalog_statistics(assets: DataFrame, as_of: str | Column) -> DataFrame:
@@ -41,10 +40,9 @@ def inventory(assets: DataFrame) -> DataFrame:
     return catalog_statistics(assets, F.lit("1970-01-01").cast("timestamp")).select("scope", "key", "assets")
 
 
-def discovered_today(assets: DataFrame, as_of: str | Column, newest: int = 1000) -> DataFrame:
-    """How many of the newest scans were discovered less than one day ago."""
-    recent = search_assets(assets, limit=newest)
-    return recent.agg(
+def discovered_today(assets: DataFrame, as_of: str | Column) -> DataFrame:
+    """How many active assets were discovered less than one day ago."""
+    return assets.filter("is_active").agg(
         F.count_if(days_between(moment(as_of), "discovered_date") < 1).alias("discovered_today")
     )
 

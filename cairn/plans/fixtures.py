@@ -155,14 +155,6 @@ class Inputs:
         )
         return F.expr(f"element_at(array({shapes}), cast(row_id % 14 + 1 as int))")
 
-    def spread(self, df: DataFrame) -> DataFrame:
-        """Rows dealt out to all cores where a small input arrives as fewer splits than that.
-
-        An input of many splits is left alone, so nothing is shuffled at scale.
-        """
-        cores = self.spark.sparkContext.defaultParallelism
-        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
     def _once(self, name: str, make) -> DataFrame:
         if name not in self._made:
             self._made[name] = make()
@@ -173,7 +165,7 @@ class Inputs:
         return self._once("catalog", self._catalog)
 
     def _catalog(self) -> DataFrame:
-        kw = self.spark.sql(KW, orders=self.spread(self.table("orders")))
+        kw = self.spark.sql(KW, orders=self.table("orders"))
         joined = kw.withColumn("cols", self.table_columns())
         every = F.concat(
             "cols",

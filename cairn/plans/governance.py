@@ -86,7 +86,7 @@ def _kinds_sql(value: str) -> str:
     f"select doc_id, pii_types from (select doc_id, {_kinds_sql('text')} as pii_types from documents) where pii_types <> ''",
 )
 def _(i):
-    return P.rows_with_pii(i.spread(i.table("documents").select("doc_id", "text")), "text").select("doc_id", join("pii_types").alias("pii_types"))
+    return P.rows_with_pii(i.table("documents").select("doc_id", "text"), "text").select("doc_id", join("pii_types").alias("pii_types"))
 
 
 _SCANNED = [("documents", "text"), ("conversations", "text"), ("pages", "html")]
@@ -105,7 +105,7 @@ _SCANNED = [("documents", "text"), ("conversations", "text"), ("pages", "html")]
 def _(i):
     out = None
     for t, c in _SCANNED:
-        found = P.pii_scan(i.spread(i.table(t).select(c)), [c]).withColumn("table_name", F.lit(t))
+        found = P.pii_scan(i.table(t).select(c), [c]).withColumn("table_name", F.lit(t))
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -133,7 +133,7 @@ def _redact_sql(c: str) -> str:
 
 @query("pii7_redact", f"select doc_id, md5({_redact_sql('text')}) as digest, lang from documents")
 def _(i):
-    return P.redact_columns(i.spread(i.table("documents").select("doc_id", "text", "lang")), ["text"]).select("doc_id", F.md5("text").alias("digest"), "lang")
+    return P.redact_columns(i.table("documents").select("doc_id", "text", "lang"), ["text"]).select("doc_id", F.md5("text").alias("digest"), "lang")
 
 
 # --- quality ------------------------------------------------------------------------

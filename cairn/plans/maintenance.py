@@ -213,7 +213,7 @@ def _history(i):
     "cat8_asset_history",
     f"""select asset_fingerprint, change_type, {sql_ts("change_date")} as change_date, new_values->>'$.k' as k
         from changes where asset_fingerprint = md5('7')
-        order by changes.change_date desc, change_type desc, new_values desc limit 50""",
+        order by changes.change_date desc, change_type desc, new_values desc""",
     ["changes"],
 )
 def _(i):

@@ -27,7 +27,7 @@ def _like(c: str, pattern: str) -> str:
     ["catalog"],
 )
 def _(i):
-    return Q.search_assets(i.catalog(), "Mart_c").select("fingerprint", "name", ts("last_scanned").alias("last_scanned"))
+    return Q.search_assets(i.catalog(), "Mart_c", limit=100).select("fingerprint", "name", ts("last_scanned").alias("last_scanned"))
 
 
 @query(
@@ -145,18 +145,28 @@ def _(i):
     ["catalog"],
 )
 def _(i):
-    return Q.recent_activity(i.catalog()).select("fingerprint", ts("timestamp").alias("at"), "message")
+    return Q.recent_activity(i.catalog(), 10, 20).select("fingerprint", ts("timestamp").alias("at"), "message")
+
+
+@query(
+    "qry1_search_whole",
+    f"""select fingerprint, name from catalog
+        where is_active and ({_like("name", "%Mart_c%")} or {_like("location", "%Mart_c%")})""",
+    ["catalog"],
+)
+def _(i):
+    return Q.search_assets(i.catalog(), "Mart_c").select("fingerprint", "name")
 
 
 @query(
     "qry10_grouped_by_source",
-    """with newest as (select * from catalog where is_active order by last_scanned desc, fingerprint limit 1000)
-       select coalesce(source, 'unknown') as source, count(*) as assets,
-         string_agg(name, ',' order by last_scanned desc, fingerprint) as names from newest group by 1""",
+    """select coalesce(source, 'unknown') as source, name,
+         row_number() over (partition by coalesce(source, 'unknown') order by last_scanned desc nulls last, fingerprint) as position
+       from catalog where is_active""",
     ["catalog"],
 )
 def _(i):
-    return Q.assets_by_source_grouped(i.catalog()).select("source", "assets", F.array_join("names", ",").alias("names"))
+    return Q.assets_by_source_grouped(i.catalog())
 
 
 _STATS = f"""select 'total' as scope, '' as key, * from (select count(*) as assets, cast(coalesce(sum(size), 0) as bigint) as bytes,
@@ -179,9 +189,8 @@ def _(i):
 
 @query(
     "agg3_discovered_today",
-    f"""with newest as (select * from catalog where is_active order by last_scanned desc, fingerprint limit 1000)
-        select count(*) filter (floor((epoch_us(timestamp '{AS_OF}') - epoch_us(discovered_date)) / 86400000000) < 1)
-          as discovered_today from newest""",
+    f"""select count(*) filter (floor((epoch_us(timestamp '{AS_OF}') - epoch_us(discovered_date)) / 86400000000) < 1)
+          as discovered_today from catalog where is_active""",
     ["catalog"],
 )
 def _(i):

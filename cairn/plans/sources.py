@@ -260,7 +260,7 @@ def _(i):
     f"""with {_META} select table_name as name, case when is_view then 'oracle_view' else 'oracle_table' end as type,
           'oracle://db:1521/shop/' || table_name as location, case when is_view then 0 else (num_rows + 3) * 8192 end as size,
           cols as columns, 'oracle,database,' || case when is_view then 'view' else 'table' end as tags,
-          case when is_view then 500 end as text_length
+          case when is_view then 900 end as text_length
         from meta join widths using (fingerprint)""",
     ["catalog", "columns_long"],
 )
@@ -337,7 +337,7 @@ def _capped(where: str, cap: int) -> str:
     ["files"],
 )
 def _(i):
-    return O.object_assets(i.projection("files"), "gcs").select("name", "type", "location", "size")
+    return O.object_assets(i.projection("files"), "gcs", cap=1000).select("name", "type", "location", "size")
 
 
 @query(
@@ -350,7 +350,7 @@ def _(i):
     ["files"],
 )
 def _(i):
-    return O.object_assets(i.projection("files"), "azure").select("name", "type", "size")
+    return O.object_assets(i.projection("files"), "azure", cap=50).select("name", "type", "size")
 
 
 @query(
@@ -359,6 +359,26 @@ def _(i):
         union all select regexp_extract(key, '([^/]*)$', 1), 'ceph_object', size from {_capped("", 100)} where {_DATA}""",
     ["files"],
 )
+def _(i):
+    return O.object_assets(i.projection("files"), "ceph", cap=100).select("name", "type", "size")
+
+
+@query(
+    "src14_gcs_objects_whole",
+    """select bucket as name, 'gcs_bucket' as type, 0 as size from (select distinct bucket from files)
+       union all select bucket || '/' || key, 'gcs_object', size from files where size > 1024""",
+    ["files"],
+)
+def _(i):
+    return O.object_assets(i.projection("files"), "gcs").select("name", "type", "size")
+
+
+@query(
+    "src14_ceph_objects_whole",
+    rf"""select bucket as name, 'ceph_bucket' as type, cast(sum(size) as bigint) as size from files group by bucket
+        union all select regexp_extract(key, '([^/]*)$', 1), 'ceph_object', size from files where {_DATA}""",
+    ["files"],
+)
 def _(i):
     return O.object_assets(i.projection("files"), "ceph").select("name", "type", "size")
 
@@ -369,7 +389,7 @@ def _(i):
     ["files"],
 )
 def _(i):
-    return O.bucket_rollup(i.projection("files"))
+    return O.bucket_rollup(i.projection("files"), cap=100)
 
 
 @query(
@@ -389,7 +409,7 @@ _PREFIX = {"F": "amq.", "O": "sys_", "P": "proj/"}
 
 def _dump(i):
     """One listing row per order; every platform gets a share and finds the fields it reads."""
-    o = i.spread(i.table("orders"))
+    o = i.table("orders")
     k = F.col("o_orderkey").cast("string")
     name = F.concat(
         F.element_at(F.create_map(*[F.lit(x) for kv in _PREFIX.items() for x in kv]), F.col("o_orderstatus")),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +14,10 @@ SETTINGS = {
 }
 
 
-def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "cairn") -> SparkSession:
-    """A session for tests and the bench; a cluster brings its own."""
+def local_session(
+    cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "cairn", shared: str | None = None
+) -> SparkSession:
+    """A session for tests and the bench, with its folder for intermediate tables; a cluster brings its own."""
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
@@ -24,6 +25,8 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
     )
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
@@ -31,27 +34,35 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
     return spark
 
 
-_LOCAL_ROOTS: dict[str, str] = {}
-
-
 def shared_root(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir.
 
-    Only where the session names none (tests, local runs) is a temporary folder made,
-    once per application.
+    Where a session names none, a local one (a single process, so that all tasks see one disk) uses
+    its warehouse; any other has to name a folder that all its machines share.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL_ROOTS:
-        _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="cairn-")
-    return _LOCAL_ROOTS[app]
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_intermediate"
+
+
+def release_scratch(spark: SparkSession) -> None:
+    """Removes the intermediate tables that this application has written; results read from them are gone too."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(path, True)
+
+
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_root(spark).rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path under the shared folder for a written intermediate table."""
-    return f"{shared_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return f"{_own_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

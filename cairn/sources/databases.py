@@ -14,7 +14,6 @@ SYSTEM_SCHEMAS = ["information_schema", "pg_catalog", "pg_toast"]
 SYSTEM_CATALOGS = ["system", "information_schema"]
 ORACLE_BLOCK = 8192
 BYTES_PER_CELL = 50
-VIEW_TEXT = 500
 
 
 def read_information_schema(spark: SparkSession, url: str, table: str, properties: dict | None = None) -> DataFrame:
@@ -130,7 +129,7 @@ def oracle_assets(
         F.lit(None).cast("bigint").alias("num_rows"),
         F.lit(0).cast("bigint").alias("size"),
         now.alias("modified_date"),
-        F.create_map(F.lit("view_text"), F.substring(text("text"), 1, VIEW_TEXT)).alias("metadata"),
+        F.create_map(F.lit("view_text"), text("text")).alias("metadata"),
     )
     both = _with_columns(t.unionByName(v), columns, ["table_name"])
     return as_assets(

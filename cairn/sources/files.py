@@ -21,18 +21,16 @@ def scan_files(
     spark: SparkSession,
     paths: str | list[str],
     exts: list[str] | None = None,
-    max_mb: int = 1000,
+    max_mb: int | None = None,
     glob: str | None = None,
 ) -> DataFrame:
-    """Recursive listing (location, size, modified_date), oversized files left out."""
+    """Recursive listing (location, size, modified_date); larger files are left out only where max_mb says so."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    files = (
-        reader.load(paths)
-        .select("path", "length", "modificationTime")
-        .filter(F.col("length") <= max_mb * 1024 * 1024)
-    )
+    files = reader.load(paths).select("path", "length", "modificationTime")
+    if max_mb is not None:
+        files = files.filter(F.col("length") <= max_mb * 1024 * 1024)
     if exts:
         wanted = [e.lower().lstrip(".") for e in exts]
         files = files.filter(F.lower(suffix("path")).isin(wanted))
@@ -70,7 +68,7 @@ def relative_path(location: ColumnLike, root: str) -> Column:
     )
 
 
-def limit_depth(files: DataFrame, root: str, max_depth: int = 5) -> DataFrame:
+def limit_depth(files: DataFrame, root: str, max_depth: int) -> DataFrame:
     """Files at most `max_depth` directories below the root, with their depth."""
     depth = F.size(F.split(relative_path("location", root), "/")) - 1
     return files.withColumn("depth", depth).filter(F.col("depth") <= max_depth)

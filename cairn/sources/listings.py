@@ -445,7 +445,7 @@ def ftp_list_assets(
     host: str,
     as_of: str | Column,
     exts: list[str] | None = None,
-    max_mb: int = 1000,
+    max_mb: int | None = None,
 ) -> DataFrame:
     """File assets of FTP LIST text lines; the name is everything from the ninth field on."""
     name = F.array_join(F.slice("_p", F.lit(9), F.greatest(F.size("_p") - 8, F.lit(0))), " ")
@@ -454,8 +454,9 @@ def ftp_list_assets(
         .filter(F.size("_p") >= 9)
         .select(name.alias("name"), _size_field("_p", 4).alias("size"), _at_field("_p", 0).alias("mode"))
         .filter(~F.col("name").isin(".", "..") & F.col("mode").startswith("-"))
-        .filter(F.col("size") <= max_mb * 1024 * 1024)
     )
+    if max_mb is not None:
+        files = files.filter(F.col("size") <= max_mb * 1024 * 1024)
     if exts:
         files = files.filter(F.lower("name").rlike("(" + "|".join(e.replace(".", r"\.") for e in exts) + ")$"))
     path = F.concat(F.lit(directory.rstrip("/") + "/"), "name")
@@ -474,14 +475,14 @@ def ftp_list_assets(
 
 
 def network_file_assets(
-    files: DataFrame, network: str, host: str, exts: list[str] | None = None, max_mb: int = 1000
+    files: DataFrame, network: str, host: str, exts: list[str] | None = None, max_mb: int | None = None
 ) -> DataFrame:
     """Assets of an sftp, smb, nfs or nas listing (path, size, created_date, modified_date, is_directory)."""
     rows = files
     if "is_directory" not in files.columns:
         rows = rows.withColumn("is_directory", F.lit(False))
     keep_dirs = F.lit(network == "nas")
-    good = F.col("size") <= max_mb * 1024 * 1024
+    good = F.lit(True) if max_mb is None else F.col("size") <= max_mb * 1024 * 1024
     name = _last(F.col("path"))
     if exts:
         good = good & F.lower("path").rlike("(" + "|".join(e.replace(".", r"\.") for e in exts) + ")$")

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from cairn.functions.classify import azure_blob_type, blob_tags, is_data_file, suffix
 from cairn.schema import as_assets
 
-# Caps and filters per platform are fixed values.
-CAPS = {"gcs": 1000, "azure": 50, "ceph": 100}
+# Filters per platform are fixed values.
+PLATFORMS = ["gcs", "azure", "ceph"]
 MIN_GCS_BYTES = 1024
 
 
@@ -25,15 +25,14 @@ def capped(listing: DataFrame, cap: int | None) -> DataFrame:
     return listing.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= cap).drop("_rn")
 
 
-def object_assets(listing: DataFrame, platform: str, cap: int | None = -1, endpoint: str = "store") -> DataFrame:
+def object_assets(listing: DataFrame, platform: str, cap: int | None = None, endpoint: str = "store") -> DataFrame:
     """Bucket assets and object assets of a listing (bucket, key, size, modified_date).
 
-    gcs caps before its size filter, azure after its data-file filter, ceph before it.
-    cap=None lists everything; the default is the platform's own cap.
+    Everything is listed unless a cap of objects per bucket is asked for: gcs caps before its
+    size filter, azure after its data-file filter, ceph before it.
     """
-    if platform not in CAPS:
-        raise ValueError(f"unknown platform {platform!r}; known: {sorted(CAPS)}")
-    cap = CAPS[platform] if cap == -1 else cap
+    if platform not in PLATFORMS:
+        raise ValueError(f"unknown platform {platform!r}; known: {sorted(PLATFORMS)}")
     base = F.regexp_extract("key", r"([^/]*)$", 1)
     if platform == "gcs":
         found = capped(listing, cap).filter(F.col("size") > MIN_GCS_BYTES)
@@ -80,7 +79,7 @@ def object_assets(listing: DataFrame, platform: str, cap: int | None = -1, endpo
     )
 
 
-def bucket_rollup(listing: DataFrame, cap: int | None = CAPS["ceph"]) -> DataFrame:
+def bucket_rollup(listing: DataFrame, cap: int | None = None) -> DataFrame:
     """Bytes and objects per bucket over the listed objects, data files or not."""
     return capped(listing, cap).groupBy("bucket").agg(
         F.coalesce(F.sum("size"), F.lit(0)).alias("total_size"), F.count("*").alias("object_count")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from cairn.operators.maintenance import change_log, dedupe_batch, upsert_assets, with_fingerprint
@@ -12,6 +15,9 @@ from cairn.schema import ASSETS, HISTORY, as_assets
 from cairn.sources.files import FILE_SCHEMA, file_assets
 
 
+REFRESHED = ["name", "type", "source", "location", "size", "modified_date", "columns", "num_rows", "tags", "metadata"]
+
+
 def stream_files(spark: SparkSession, path: str, glob: str | None = None, per_batch: int | None = None) -> DataFrame:
     """New files under a path as a stream of asset rows; file bytes are not read."""
     reader = (
@@ -27,30 +33,37 @@ def stream_files(spark: SparkSession, path: str, glob: str | None = None, per_ba
     return with_fingerprint(file_assets(files))
 
 
-def upsert_batch(batch: DataFrame, batch_id: int, root: str, order_col: str, as_of: Column | None = None) -> None:
+def upsert_batch(
+    batch: DataFrame, batch_id: int, root: str, order_col: str, as_of: Column | None = None, stream: str = "main"
+) -> None:
     """Fold one micro-batch into the catalog snapshot and its history.
 
-    A batch id that is already committed is skipped, so a replay after a failure changes
-    nothing.  History goes to a folder of the batch's own, before the commit.
+    A batch of a stream that is already committed is skipped, so a replay after a failure changes
+    nothing; `stream` tells apart streams whose batch ids start anew.  History goes to a folder of the
+    batch's own, before the commit, and counts once the batch is committed.
     """
     spark = batch.sparkSession
-    tag = f"batch{batch_id}"
+    tag = f"{stream}-{batch_id}"
     if any(t == tag for _, t in snapshot_versions(spark, f"{root}/assets")):
         return
     now = as_of if as_of is not None else F.current_timestamp()
-    latest = dedupe_batch(with_fingerprint(batch), order_col)
+    clean = as_assets(dedupe_batch(with_fingerprint(batch), order_col)).persist()
     current = read_snapshot(spark, f"{root}/assets", ASSETS)
-    clean = as_assets(latest)
-    change_log(current, clean, now).write.mode("overwrite").parquet(f"{root}/history/batch={batch_id}")
+    change_log(current, clean, now).write.mode("overwrite").parquet(f"{root}/history/{tag}")
     write_snapshot(upsert_assets(current, clean, now), f"{root}/assets", tag)
+    clean.unpersist()
 
 
 def stream_upsert(
     events: DataFrame, root: str, order_col: str = "seq", as_of: Column | None = None, checkpoint: str | None = None
 ) -> StreamingQuery:
-    """Run the upsert for everything available; `events` are asset rows with an order column."""
+    """Run the upsert for everything available; `events` are asset rows with an order column.
+
+    Streams with checkpoints of their own may share a root: each is named by its checkpoint.
+    """
+    stream = hashlib.md5(checkpoint.encode()).hexdigest() if checkpoint else "main"
     return (
-        events.writeStream.foreachBatch(lambda df, i: upsert_batch(df, i, root, order_col, as_of))
+        events.writeStream.foreachBatch(lambda df, i: upsert_batch(df, i, root, order_col, as_of, stream))
         .option("checkpointLocation", checkpoint or f"{root}/_stream")
         .trigger(availableNow=True)
         .start()
@@ -58,8 +71,11 @@ def stream_upsert(
 
 
 def stream_history(spark: SparkSession, root: str) -> DataFrame:
-    """All change records written by the stream."""
-    return spark.read.schema(HISTORY).parquet(f"{root}/history/*")
+    """All change records of committed batches."""
+    tags = [tag for _, tag in snapshot_versions(spark, f"{root}/assets")]
+    if not tags:
+        return spark.createDataFrame([], HISTORY)
+    return spark.read.schema(HISTORY).parquet(*(f"{root}/history/{tag}" for tag in tags))
 
 
 def stream_discovery_counts(
@@ -94,10 +110,18 @@ def stream_new_assets(
 def snapshot_diff(old: DataFrame, new: DataFrame, compared: list[str] | None = None) -> DataFrame:
     """(fingerprint, change) with added, removed or changed between two listings.
 
+    Every field that a scan refreshes is compared unless others are named; maps count as sorted entries.
     Compared fields are reduced to a hash before the join, so only key and hash are shuffled.
     """
-    compared = compared or ["name", "type", "source", "location", "size", "modified_date"]
-    digest = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00null")) for c in compared])
+    compared = compared or REFRESHED
+    kinds = {f.name: f.dataType for f in new.schema.fields}
+
+    def plain(c: str) -> Column:
+        if isinstance(kinds[c], T.MapType):
+            return F.to_json(F.array_sort(F.map_entries(c)))
+        return F.to_json(c) if isinstance(kinds[c], (T.ArrayType, T.StructType)) else F.col(c).cast("string")
+
+    digest = F.xxhash64(*[F.coalesce(plain(c), F.lit("\x00null")) for c in compared])
     o = old.select("fingerprint", digest.alias("old_hash"))
     n = new.select("fingerprint", digest.alias("new_hash"))
     return (

@@ -134,13 +134,14 @@ def test_nas_keeps_directories(spark):
 def test_object_caps_differ_in_order(spark):
     rows = [("b", f"k{i:03d}.{'csv' if i % 2 else 'bin'}", 2000 if i % 3 else 10, datetime(2024, 1, 1)) for i in range(300)]
     df = spark.createDataFrame(rows, "bucket string, key string, size bigint, modified_date timestamp")
-    count = lambda p: O.object_assets(df, p).filter("type not in ('gcs_bucket', 'azure_blob_container', 'ceph_bucket')").count()
+    caps = {"gcs": 1000, "azure": 50, "ceph": 100}
+    count = lambda p: O.object_assets(df, p, caps[p]).filter("type not in ('gcs_bucket', 'azure_blob_container', 'ceph_bucket')").count()
     assert count("azure") == 50  # filter, then cap
     assert count("ceph") == 50  # first 100 keys, half of them data
     assert count("gcs") == 200
-    assert O.object_assets(df, "azure", cap=None).count() == 151
-    roll = O.bucket_rollup(df).first()
-    assert roll["object_count"] == 100
+    assert O.object_assets(df, "azure").count() == 151
+    assert O.bucket_rollup(df, 100).first()["object_count"] == 100
+    assert O.bucket_rollup(df).first()["object_count"] == 300
 
 
 def test_a_failed_connector_yields_nothing(spark):
@@ -264,3 +265,46 @@ def test_new_assets_once(spark, tmp_path):
         q.awaitTermination()
     assert sorted(r["asset_fingerprint"] for r in spark.read.parquet(str(tmp_path / "o")).collect()) == ["a", "x1", "x2"]
     assert os.path.isdir(src)
+
+
+def test_streams_with_their_own_checkpoints_share_a_root(spark, tmp_path):
+    root, now = str(tmp_path / "cat"), F.lit(AS_OF).cast("timestamp")
+    for name, rows in (("one", [("a", 1, 1)]), ("two", [("b", 2, 2)])):
+        df = asset_events(spark, rows)
+        df.write.parquet(str(tmp_path / name))
+        events = spark.readStream.schema(df.schema).parquet(str(tmp_path / name))
+        I.stream_upsert(events, root, as_of=now, checkpoint=str(tmp_path / f"{name}-checkpoint")).awaitTermination()
+    got = I.read_snapshot(spark, f"{root}/assets", ASSETS)
+    assert sorted(r["name"] for r in got.collect()) == ["a", "b"]
+    assert I.stream_history(spark, root).count() == 2
+    asset_events(spark, [("c", 1, 1)]).write.parquet(f"{root}/history/main-99")  # not committed
+    assert I.stream_history(spark, root).count() == 2
+
+
+def test_a_renamed_column_is_a_change(spark):
+    def asset(column, tag):
+        rows = spark.range(1).select(
+            F.lit("f").alias("fingerprint"),
+            F.lit("n").alias("name"),
+            F.array(F.named_struct(F.lit("name"), F.lit(column))).alias("columns"),
+            F.create_map(F.lit("k"), F.lit(tag)).alias("metadata"),
+        )
+        return rows
+
+    fields = ["name", "columns", "metadata"]
+    assert I.snapshot_diff(asset("a", "x"), asset("b", "x"), fields).collect() == [("f", "changed")]
+    assert I.snapshot_diff(asset("a", "x"), asset("a", "y"), fields).collect() == [("f", "changed")]
+    assert I.snapshot_diff(asset("a", "x"), asset("a", "x"), fields).count() == 0
+    assert {"columns", "num_rows", "tags", "metadata"} <= set(I.REFRESHED)
+
+
+def test_listings_have_no_hidden_cap(spark):
+    keys = spark.range(1500).select(
+        F.lit("b").alias("bucket"),
+        F.format_string("k%05d.csv", "id").alias("key"),
+        F.lit(2000).cast("bigint").alias("size"),
+        F.lit("2024-01-01").cast("timestamp").alias("modified_date"),
+    )
+    for platform in ("gcs", "azure", "ceph"):
+        assert O.object_assets(keys, platform).count() == 1501
+    assert O.bucket_rollup(keys).first()["object_count"] == 1500
