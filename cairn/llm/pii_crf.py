@@ -150,7 +150,7 @@ def field_of(text: str) -> Field:
         near = set()
         for key in keys:
             if len(key) > 5:
-                if key in seen and seen[key] < node - 1:
+                if key in seen and (seen[key], node) not in made.chain[-1:]:
                     near.add((seen[key], node))
                 seen[key] = node
         made.skips += sorted(near)
