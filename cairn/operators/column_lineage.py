@@ -1,4 +1,4 @@
-"""Column-level lineage between targets and the newest assets with a schema."""
+"""Column-level lineage between targets and other assets with a schema."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cairn import rules
 from cairn.functions.expr import ColumnLike, col, first_case, has_any, lits, low
-from cairn.operators.lineage import is_upstream
+from cairn.operators.lineage import GRAM, grams, is_upstream
 
 
 def match_confidence(a: ColumnLike, a_type: ColumnLike, b: ColumnLike, b_type: ColumnLike) -> Column:
@@ -31,47 +31,83 @@ def match_confidence(a: ColumnLike, a_type: ColumnLike, b: ColumnLike, b_type: C
     return first_case([(x == y, 0.95), (near, 0.8), (topic, 0.6)], 0.0)
 
 
-def column_edges(targets: DataFrame, assets: DataFrame, limit: int = 5) -> DataFrame:
-    """Column matches of each target against the first `limit` other assets with a schema.
+def _columns(assets: DataFrame, asset: dict[str, str], column: str, type_: str, key: str) -> DataFrame:
+    """A row per column of an asset: the asset's fields as named in `asset`, ordinal, name, type and lower-cased name."""
+    return assets.select(*[F.col(old).alias(new) for new, old in asset.items()], F.explode("columns").alias("c")).select(
+        *asset,
+        F.col("c.ordinal").alias("ordinal"),
+        F.col("c.name").alias(column),
+        F.coalesce("c.type", F.lit("STRING")).alias(type_),
+        low("c.name").alias(key),
+    )
+
 
-    The partners are a top-k of the catalog: at most limit + 1 rows, the same for every
-    target, so they are broadcast and the columns are matched inside each task.
+def _name_pairs(mine: DataFrame, others: DataFrame) -> DataFrame:
+    """(x, y): names of the two sides that match with 0.8 or more.
+
+    Names are made distinct first, so one that every asset has is compared once.  Each way of
+    matching is an equi-join: if x stands in y, its first characters are among y's short substrings.
     """
-    partners = (
-        assets.filter(F.col("is_active") & (F.size("columns") > 0))
-        .orderBy(F.desc("last_scanned"), "fingerprint")
-        .limit(limit + 1)
-        .select(
-            F.col("fingerprint").alias("other_id"),
-            F.col("name").alias("other_asset"),
-            F.col("last_scanned").alias("o_scan"),
-            F.col("columns").alias("o_columns"),
-        )
-    )
-    t = targets.select(
-        F.col("fingerprint").alias("target_id"), F.col("name").alias("target_name"), F.col("columns").alias("t_columns")
+    x, y = mine.select("x").distinct(), others.select("y").distinct()
+    head = lambda c: F.substring(c, 1, GRAM)
+    bare = lambda c: F.replace(c, F.lit("_"), F.lit(""))
+    token = lambda c: F.when(c.endswith("_id"), F.substring_index(c, "_", 1))
+
+    def met(of_x, of_y) -> DataFrame:
+        return x.withColumn("key", of_x(F.col("x"))).join(y.withColumn("key", of_y(F.col("y"))), "key").select("x", "y")
+
+    inside = met(head, lambda c: F.explode(grams(c))).filter(F.col("y").contains(F.col("x")))
+    around = met(lambda c: F.explode(grams(c)), head).filter(F.col("x").contains(F.col("y")))
+    return inside.unionAll(around).unionAll(met(bare, bare)).unionAll(met(token, token)).distinct()
+
+
+def _of_all(mine: DataFrame, others: DataFrame) -> DataFrame:
+    """Matches with every other asset: by names alike, and of the same type by names on a topic."""
+    on_topic = lambda df, c: df.filter(has_any(F.col(c), rules.COLUMN_TOPIC_WORDS))
+    alike = mine.join(_name_pairs(mine, others), "x").join(others, "y")
+    topic = on_topic(mine, "x").filter(F.length("x") > 2).join(on_topic(others, "y"), F.col("t_type") == F.col("o_type"))
+    score = match_confidence("x", "t_type", "y", "o_type")
+    both = alike.withColumn("confidence", score).unionByName(
+        topic.withColumn("confidence", score).filter("confidence < 0.8")
     )
-    w = Window.partitionBy("target_id").orderBy(F.desc("o_scan"), "other_id")
-    paired = (
-        t.join(F.broadcast(partners), F.col("target_id") != F.col("other_id"))
+    return both.filter("target_id != other_id")
+
+
+def _of_newest(mine: DataFrame, others: DataFrame, partners: DataFrame, limit: int) -> DataFrame:
+    """Matches with the newest `limit` other assets of each target, out of limit + 1 that suffice for all of them."""
+    w = Window.partitionBy("target_id").orderBy(F.desc("last_scanned"), "other_id")
+    chosen = (
+        mine.select("target_id")
+        .distinct()
+        .join(F.broadcast(partners), F.col("target_id") != F.col("other_id"))
         .withColumn("rn", F.row_number().over(w))
         .filter(F.col("rn") <= limit)
+        .select("target_id", "other_id")
     )
-    return (
-        paired.withColumn("c", F.explode("t_columns"))
-        .withColumn("o", F.explode("o_columns"))
-        .withColumn("confidence", match_confidence("c.name", "c.type", "o.name", "o.type"))
-        .filter("confidence > 0.5")
-        .select(
-            "target_id",
-            F.col("c.ordinal").alias("ordinal"),
-            F.col("c.name").alias("column_name"),
-            "other_id",
-            "other_asset",
-            F.col("o.name").alias("other_column"),
-            F.when(is_upstream("target_name", "other_asset"), "upstream").otherwise("downstream").alias("direction"),
-            "confidence",
-        )
+    paired = mine.join(chosen, "target_id").join(others, "other_id")
+    return paired.withColumn("confidence", match_confidence("x", "t_type", "y", "o_type")).filter("confidence > 0.5")
+
+
+def column_edges(targets: DataFrame, assets: DataFrame, limit: int | None = None) -> DataFrame:
+    """Column matches of each target against all other active assets with a schema, or the newest `limit` of them."""
+    mine = _columns(targets, {"target_id": "fingerprint", "target_name": "name"}, "column_name", "t_type", "x")
+    known = assets.filter(F.col("is_active") & (F.size("columns") > 0))
+    named = {"other_id": "fingerprint", "other_asset": "name"}
+    if limit is None:
+        paired = _of_all(mine, _columns(known, named, "other_column", "o_type", "y").drop("ordinal"))
+    else:
+        newest = known.orderBy(F.desc("last_scanned"), "fingerprint").limit(limit + 1)
+        partners = newest.select(F.col("fingerprint").alias("other_id"), "last_scanned")
+        paired = _of_newest(mine, _columns(newest, named, "other_column", "o_type", "y").drop("ordinal"), partners, limit)
+    return paired.select(
+        "target_id",
+        "ordinal",
+        "column_name",
+        "other_id",
+        "other_asset",
+        "other_column",
+        F.when(is_upstream("target_name", "other_asset"), "upstream").otherwise("downstream").alias("direction"),
+        "confidence",
     )
 
 
@@ -111,7 +147,8 @@ def column_transformations(name: ColumnLike, type_: ColumnLike, has_upstream: Co
 def column_lineage_matrix(targets: DataFrame, edges: DataFrame) -> DataFrame:
     """One row per target column: upstream and downstream lists, transformations, confidence.
 
-    A column meets at most five assets, so its lists are short.
+    The lists are text in one row: give it edges to a limited number of partners (column_edges with
+    a limit).  The edges themselves are the form without a limit.
     """
     label = F.concat("other_asset", F.lit("."), "other_column")
     side = lambda d: F.sort_array(F.collect_list(F.when(F.col("direction") == d, label)))

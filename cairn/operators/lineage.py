@@ -93,7 +93,7 @@ def _score() -> Column:
 _RELATED = ["target_id", "target_name", "target_type", "id", "name", "type", "source", "last_scanned", "score"]
 
 
-def _grams(c: Column) -> Column:
+def grams(c: Column) -> Column:
     """Distinct substrings of one to GRAM characters, and the empty one."""
     n = F.length(c)
 
@@ -115,11 +115,11 @@ def _evidence_pairs(t: DataFrame, o: DataFrame) -> DataFrame:
     wanted = t.select(
         "target_id", "t_source", F.explode(F.array_distinct(F.concat("t_parts", F.array("t_name")))).alias("x")
     ).withColumn("gram", head(F.col("x")))
-    offered = o.select("id", "source", "o_name").withColumn("gram", F.explode(_grams(F.col("o_name"))))
+    offered = o.select("id", "source", "o_name").withColumn("gram", F.explode(grams(F.col("o_name"))))
     inside = wanted.join(offered, "gram").filter(
         (F.col("t_source") != F.col("source")) & F.col("o_name").contains(F.col("x"))
     )
-    held = t.select("target_id", "t_source", "t_name").withColumn("gram", F.explode(_grams(F.col("t_name"))))
+    held = t.select("target_id", "t_source", "t_name").withColumn("gram", F.explode(grams(F.col("t_name"))))
     short = o.select("id", "source", "o_name", head(F.col("o_name")).alias("gram"))
     around = held.join(short, "gram").filter(
         (F.col("t_source") != F.col("source")) & F.col("t_name").contains(F.col("o_name"))

@@ -175,9 +175,16 @@ def _(i):
     )
 
 
-@query("dq3_quality_label", "select fingerprint, 'High' as label from catalog", ["catalog"])
+@query(
+    "dq3_quality_label",
+    """select fingerprint, case when row_id % 4 = 0 then 'Low' when row_id % 3 = 0 then 'Medium' else 'High' end as label
+       from catalog""",
+    ["catalog"],
+)
 def _(i):
-    return i.catalog().select("fingerprint", DQ.quality_label("columns", "metadata").alias("label"))
+    columns = F.when(F.col("row_id") % 4 != 0, F.col("columns"))
+    metadata = F.when(F.col("row_id") % 3 != 0, F.col("metadata"))
+    return i.catalog().select("fingerprint", DQ.quality_label(columns, metadata).alias("label"))
 
 
 @query(

@@ -209,16 +209,37 @@ COLUMN_EDGES = f"""partners as (select * from catalog where is_active order by l
   cedges as (select target_id, ordinal, column_name, other_id, other_asset, other_column, direction,
       cast({_CONF} as double) as confidence from matched where {_CONF} > 0.5)"""
 
+# with all partners: names and types are scored once, then met with the columns that have them
+ALL_COLUMN_EDGES = f"""tcols as (select t.fingerprint as target_id, t.name as target_name, a.ordinal, a.column_name,
+      lower(a.column_name) as x, a.column_type as x_type from targets t join columns_long a on a.fingerprint = t.fingerprint),
+  ocols as (select fingerprint as other_id, asset_name as other_asset, column_name as other_column,
+      lower(column_name) as y, column_type as y_type from columns_long where is_active),
+  scored_names as (select x, x_type, y, y_type, cast({_CONF} as double) as confidence
+      from (select distinct x, x_type from tcols) cross join (select distinct y, y_type from ocols)),
+  cedges as (select target_id, ordinal, column_name, other_id, other_asset, other_column,
+      case when {_IS_UP} then 'upstream' else 'downstream' end as direction, confidence
+      from tcols join (select * from scored_names where confidence > 0.5) using (x, x_type)
+      join ocols using (y, y_type) where other_id <> target_id)"""
+
 
 @query(
     "lin9_column_edges",
-    f"with {COLUMN_EDGES} select * from cedges",
+    f"with {ALL_COLUMN_EDGES} select * from cedges",
     ["targets", "columns_long"],
 )
 def _(i):
     return CL.column_edges(i.targets(), i.catalog())
 
 
+@query(
+    "lin9_column_edges_newest",
+    f"with {COLUMN_EDGES} select * from cedges",
+    ["targets", "columns_long"],
+)
+def _(i):
+    return CL.column_edges(i.targets(), i.catalog(), limit=5)
+
+
 def _transformations_sql(n: str, t: str, up: str) -> str:
     return f"""case when {any_of(n, ["id", "key", "pk", "fk"])} then case when {up} then 'direct_copy, key_lookup' else 'generated_key' end
       when {any_of(n, ["total", "sum", "count", "avg", "max", "min"])} then 'aggregation, mathematical_operation' ||
@@ -250,12 +271,12 @@ def _transformations_sql(n: str, t: str, up: str) -> str:
 )
 def _(i):
     targets = i.targets()
-    return CL.column_lineage_matrix(targets, CL.column_edges(targets, i.catalog()))
+    return CL.column_lineage_matrix(targets, CL.column_edges(targets, i.catalog(), limit=5))
 
 
 @query(
     "agg9_avg_confidence",
-    f"""with {COLUMN_EDGES}, m as (select target_id, column_name, avg(confidence) as mean from cedges group by target_id, column_name)
+    f"""with {ALL_COLUMN_EDGES}, m as (select target_id, column_name, avg(confidence) as mean from cedges group by target_id, column_name)
         select c.fingerprint as target_id, c.column_name, cast(coalesce(floor(round(mean * 100, 6) + 0.5), 0) as bigint) as confidence
         from (select distinct c.fingerprint, column_name from columns_long c join targets t on t.fingerprint = c.fingerprint) c
         left join m on m.target_id = c.fingerprint and m.column_name = c.column_name""",
@@ -478,7 +499,7 @@ def _(i):
 
 @query(
     "snk2_lineage_bundle",
-    f"""with {GRAPH}, {COLUMN_EDGES}
+    f"""with {GRAPH}, {ALL_COLUMN_EDGES}
         select target_id, 'node' as kind, count(*) as n from nodes group by 1
         union all select target_id, 'edge', count(*) from edges group by 1
         union all select target_id, 'column', count(*) from cedges group by 1""",

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn import rules
+from cairn.operators import column_lineage as CL
 from cairn.operators import lineage as L
 from cairn.operators import maintenance as M
 from cairn.operators import search as Q
@@ -222,6 +223,47 @@ def test_levels_equal_the_greedy_walk(spark, many, depth):
             assert got.get(tid, {}) == greedy(t, mine, upstream, depth)
 
 
+def brute_confidence(a, a_type, b, b_type):
+    """The matching rule, restated plainly."""
+    x, y = (a or "").lower(), (b or "").lower()
+    if x == y:
+        return 0.95
+    ids = x.endswith("_id") and y.endswith("_id") and x.split("_")[0] == y.split("_")[0]
+    if x in y or y in x or x.replace("_", "") == y.replace("_", "") or ids:
+        return 0.8
+    topic = lambda n: any(w in n for w in rules.COLUMN_TOPIC_WORDS)
+    return 0.6 if (a_type or "STRING") == (b_type or "STRING") and len(x) > 2 and topic(x) and topic(y) else 0.0
+
+
+def test_column_edges_meet_every_partner(spark):
+    rnd = random.Random(11)
+    words = ["customer", "order", "id", "User", "name", "cu", "account", "a_b", "ab", "date"]
+    name = lambda: "_".join(rnd.sample(words, rnd.randint(1, 3))) + rnd.choice(["", "", "_id"])
+    column = lambda k: (k, rnd.choice([None, "", name(), name(), name(), "id"]), rnd.choice([None, "STRING", "int"]))
+    rows = [
+        (f"f{k:02d}", f"asset{'x' * (k % 5)}", k % 7 != 0, NOW, [column(c) for c in range(rnd.randint(0, 4))]) for k in range(40)
+    ]
+    schema = (
+        "fingerprint string, name string, is_active boolean, last_scanned timestamp, "
+        "columns array<struct<ordinal:int,name:string,type:string>>"
+    )
+    assets = spark.createDataFrame(rows, schema)
+    want = sorted(
+        (t[0], a[0], o[0], b[1] or "", brute_confidence(a[1], a[2], b[1], b[2]))
+        for t in rows[:10]
+        for o in rows
+        for a in t[4]
+        for b in o[4]
+        if o[2] and t[0] != o[0] and brute_confidence(a[1], a[2], b[1], b[2]) > 0.5
+    )
+    key = lambda r: (r["target_id"], r["ordinal"], r["other_id"], r["other_column"] or "", r["confidence"])
+    got = sorted(map(key, CL.column_edges(assets.limit(10), assets).collect()))
+    assert got == want and {r[4] for r in want} == {0.95, 0.8, 0.6}
+    newest = [r[0] for r in rows if r[2] and r[4]]  # all scanned at one time, so by id
+    few = sorted(map(key, CL.column_edges(assets.limit(10), assets, limit=5).collect()))
+    assert few == [r for r in want if r[2] in [n for n in newest if n != r[0]][:5]]
+
+
 def test_declared_node_replaces_a_guess(spark):
     a = make(spark, [("raw_x", "csv_table", "s", "/1", 1, 1), ("mart_x", "csv_table", "s", "/2", 1, 2)])
     ids = {r["name"]: r["fingerprint"] for r in a.collect()}
