@@ -374,15 +374,19 @@ def is_upstream(target: ColumnLike, related: ColumnLike) -> Column:
     )
 
 
-def lineage_hints(assets: DataFrame) -> DataFrame:
+def hint_columns() -> dict[str, Column]:
+    """transformation_hints and update_frequency, from name and location."""
     n, loc = low("name"), low("location")
     archived = F.when(has_any(loc, rules.ARCHIVE_WORDS), F.array(F.lit("archived"))).otherwise(
         F.array().cast("array<string>")
     )
-    return assets.select(
-        "fingerprint",
-        F.concat(F.filter(lits(rules.HINT_WORDS), lambda w: n.contains(w) | loc.contains(w)), archived).alias(
-            "transformation_hints"
+    return {
+        "transformation_hints": F.concat(
+            F.filter(lits(rules.HINT_WORDS), lambda w: n.contains(w) | loc.contains(w)), archived
         ),
-        first_case([(n.contains(w), w) for w in rules.FREQUENCY_WORDS], "unknown").alias("update_frequency"),
-    )
+        "update_frequency": first_case([(n.contains(w), w) for w in rules.FREQUENCY_WORDS], "unknown"),
+    }
+
+
+def lineage_hints(assets: DataFrame) -> DataFrame:
+    return assets.select("fingerprint", *[c.alias(n) for n, c in hint_columns().items()])

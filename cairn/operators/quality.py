@@ -11,30 +11,32 @@ from cairn.functions.expr import ColumnLike, col, days_between, first_case, has_
 from cairn.operators.maintenance import moment
 
 
-def quality_metrics(assets: DataFrame, as_of: str | Column) -> DataFrame:
-    """Completeness, freshness, consistency, accuracy and their mean."""
+def quality_columns(as_of: str | Column) -> dict[str, Column]:
+    """Completeness, freshness, consistency, accuracy and their mean, by name."""
     age = days_between(moment(as_of), "modified_date")
-    return assets.select(
-        "fingerprint",
-        F.when(F.coalesce(F.size("columns"), F.lit(0)) > 0, 0.8).otherwise(0.0).alias("completeness_score"),
-        first_case(
+    parts = {
+        "completeness_score": F.when(F.coalesce(F.size("columns"), F.lit(0)) > 0, 0.8).otherwise(0.0),
+        "freshness_score": first_case(
             [(F.col("modified_date").isNull(), 0.0)] + [(age < d, s) for d, s in rules.FRESHNESS_STEPS], 0.3
-        ).alias("freshness_score"),
-        F.when(text("name").rlike(rules.CONSISTENT_NAME), 0.8).otherwise(0.6).alias("consistency_score"),
-        F.lit(0.0).alias("accuracy_score"),
-    ).withColumn(
-        "overall_quality_score",
-        F.round(
-            (
-                F.col("completeness_score")
-                + F.col("freshness_score")
-                + F.col("consistency_score")
-                + F.col("accuracy_score")
-            )
-            / 4,
-            6,
         ),
+        "consistency_score": F.when(text("name").rlike(rules.CONSISTENT_NAME), 0.8).otherwise(0.6),
+        "accuracy_score": F.lit(0.0),
+    }
+    return {**parts, "overall_quality_score": F.round(sum(parts.values(), F.lit(0.0)) / len(parts), 6)}
+
+
+def quality_metrics(assets: DataFrame, as_of: str | Column) -> DataFrame:
+    return assets.select("fingerprint", *[c.alias(n) for n, c in quality_columns(as_of).items()])
+
+
+def field_types(columns: Column) -> Column:
+    """(type, fields) of a columns array, by type; a field without a type counts as unknown."""
+    kinds = F.transform(columns, lambda c: F.coalesce(c["type"], F.lit("unknown")))
+    counted = F.transform(
+        F.array_sort(F.array_distinct(kinds)),
+        lambda t: F.struct(t.alias("type"), F.size(F.filter(kinds, lambda k: k == t)).alias("fields")),
     )
+    return F.coalesce(counted, F.array().cast("array<struct<type:string,fields:int>>"))
 
 
 def _any_contains(strings: Column, word: str) -> Column:
@@ -91,6 +93,7 @@ def schema_analysis(assets: DataFrame) -> DataFrame:
         "data_quality_score",
         "business_terms",
         "schema_tags",
+        field_types(F.col("columns")).alias("field_types"),
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cairn import rules
+from cairn.operators import enrichment as E
 from cairn.operators import governance as G
 from cairn.operators import pii as P
 from cairn.operators import quality as DQ
@@ -168,10 +169,19 @@ SCHEMA = f"""select fingerprint, cast(count(*) as integer) as total_fields,
   from columns_long group by fingerprint"""
 
 
-@query("dq2_schema_analysis", SCHEMA, ["columns_long"])
+_TYPES = """select fingerprint, string_agg(t || '=' || n, ',' order by t) as field_types from (
+    select fingerprint, coalesce(column_type, 'unknown') as t, count(*) as n from columns_long group by 1, 2) group by 1"""
+
+
+@query(
+    "dq2_schema_analysis",
+    f"select s.*, field_types from ({SCHEMA}) s join ({_TYPES}) t on t.fingerprint = s.fingerprint",
+    ["columns_long"],
+)
 def _(i):
+    pairs = F.transform("field_types", lambda x: F.concat_ws("=", x["type"], x["fields"].cast("string")))
     return DQ.schema_analysis(i.catalog()).withColumns(
-        {"business_terms": join("business_terms"), "schema_tags": join("schema_tags")}
+        {"business_terms": join("business_terms"), "schema_tags": join("schema_tags"), "field_types": join(pairs)}
     )
 
 
@@ -488,3 +498,80 @@ def _(i):
     return m.drop("high_risk_pii_count", "medium_risk_pii_count", "low_risk_pii_count").withColumns(
         {**{c: join(c) for c in lists}, "last_business_review": ts("last_business_review")}
     )
+
+
+# --- enrichment -----------------------------------------------------------------------
+
+_HINTS = f"""array_to_string(list_concat(
+    [w for w in {rules.HINT_WORDS} if contains(lower(name), w) or contains(lower(location), w)],
+    case when {any_of("lower(location)", rules.ARCHIVE_WORDS)} then ['archived'] else [] end), ',')"""
+_FREQUENCY = sql_case([(f"contains(lower(name), '{w}')", f"'{w}'") for w in rules.FREQUENCY_WORDS], "'unknown'")
+_CLASS = sql_case([(any_of("lower(type)", words), f"'{label}'") for words, label in rules.DATA_CLASSES], "'unknown'")
+_FORMAT = sql_case([(f"contains(lower(type), '{k}')", f"'{v}'") for k, v in rules.DATA_FORMATS], "'unknown'")
+_VALUE = sql_case(
+    [
+        (any_of("lower(name || ' ' || location)", rules.HIGH_VALUE_WORDS), "'high'"),
+        (any_of("lower(name || ' ' || location)", rules.MEDIUM_VALUE_WORDS) + " or size > 1000000", "'medium'"),
+    ],
+    "'low'",
+)
+
+
+@query(
+    "enr1_extract_metadata",
+    f"""with named as (select *, case when row_id % 2 = 0 then source || '_database' else source end as from_source from catalog),
+      sensitive as (select fingerprint, string_agg(column_name, ',' order by ordinal) as listed, count(*) as n
+                    from ({_SENSITIVE}) group by fingerprint),
+      keyed as (select fingerprint, bool_or(ordinal = 1) as has_primary_key, count(*) as column_count,
+                  bool_or(lower(column_name) like '%\\_id' escape '\\') as has_foreign_keys from columns_long group by fingerprint),
+      facts as (select c.fingerprint, {_CLASS} as data_classification, {_VALUE} as estimated_value,
+          case when contains(type, 'file') then regexp_extract(location, '^(.*)/[^/]*$', 1) end as file_directory,
+          cast({sql_case([(f"{_AGE} < {d}", str(s)) for d, s in rules.FRESHNESS_STEPS], "0.3")} as double) as freshness_score,
+          cast(case when regexp_matches(name, '^[a-zA-Z][a-zA-Z0-9_]*$') then 0.8 else 0.6 end as double) as consistency_score,
+          {_kinds_sql("name || ' ' || location")} as pii_types, coalesce(listed, '') as sensitive_columns, coalesce(n, 0) as n,
+          {_SIMPLE} as domain, size, {_FORMAT} as data_format,
+          case when {any_of("lower(name)", rules.COMPRESSED_MARKS)} then 'compressed' end as compression,
+          case when {any_of("lower(location)", rules.PARTITION_MARKS)} then 'partitioned' end as partitioning,
+          case when contains(from_source, 'database') then num_rows end as row_count,
+          case when contains(from_source, 'database') then cast(column_count as integer) end as column_count,
+          case when contains(from_source, 'database') then has_primary_key end as has_primary_key,
+          case when contains(from_source, 'database') then has_foreign_keys end as has_foreign_keys,
+          {_HINTS} as transformation_hints, {_FREQUENCY} as update_frequency
+        from named c join keyed k on k.fingerprint = c.fingerprint left join sensitive s on s.fingerprint = c.fingerprint),
+      counted as (select *, case when pii_types = '' then 0 else len(string_split(pii_types, ',')) end as types from facts)
+    select * exclude (n, types, size), round((0.8 + freshness_score + consistency_score) / 4, 6) as overall_quality_score,
+      types + n > 0 as contains_pii,
+      case when types > 2 or n > 3 then 'high' when types > 0 or n > 1 then 'medium' else 'low' end as privacy_risk_level,
+      case when domain in ('finance', 'hr') or size > 1000000 then 'high' when size > 100000 then 'medium' else 'low' end
+        as business_importance
+    from counted""",
+    ["columns_long"],
+)
+def _(i):
+    assets = i.catalog().withColumn(
+        "source", F.when(F.col("row_id") % 2 == 0, F.concat("source", F.lit("_database"))).otherwise(F.col("source"))
+    )
+    return E.extract_metadata(assets, AS_OF).select(
+        "fingerprint",
+        "data_classification",
+        "estimated_value",
+        F.col("file.directory").alias("file_directory"),
+        "quality_metrics.freshness_score",
+        "quality_metrics.consistency_score",
+        "quality_metrics.overall_quality_score",
+        "pii_detection.contains_pii",
+        join("pii_detection.pii_types").alias("pii_types"),
+        join("pii_detection.sensitive_columns").alias("sensitive_columns"),
+        "pii_detection.privacy_risk_level",
+        "business_context.domain",
+        "business_context.business_importance",
+        "technical_metadata.data_format",
+        "technical_metadata.compression",
+        "technical_metadata.partitioning",
+        "table.row_count",
+        "table.keys.column_count",
+        "table.keys.has_primary_key",
+        "table.keys.has_foreign_keys",
+        join("lineage_hints.transformation_hints").alias("transformation_hints"),
+        "lineage_hints.update_frequency",
+    )
