@@ -13,6 +13,8 @@ from cairn.sources import databases as DB
 from cairn.sources import files as S
 from cairn.sources import listings as N
 from cairn.sources import objects as O
+from cairn.sources.scan import scan_catalog
+from cairn.streaming.ingest import stream_history
 
 # --- files ---------------------------------------------------------------------------
 
@@ -578,6 +580,41 @@ def _(i):
     return O.scan_summary(_scanned(i))
 
 
+def _scan_pipeline(i):
+    """Three connectors and one whose listing fails in a task; (root of the catalog, summary)."""
+    mixed = i.projection("mixed")
+    failing = i.table("region").select(F.raise_error(F.lit("store is gone")).cast("string").alias("name"))
+    root = scratch_path(i.spark, "scanned")
+    parts = {"web": "pages", "text": "documents", "tables": "part"}
+    sources = {k: mixed.filter(F.col("origin") == o) for k, o in parts.items()}
+    return root, scan_catalog(i.spark, {**sources, "broken": failing, "unasked": mixed}, root, AS_OF, [*parts, "broken"])
+
+
+@query(
+    "src17_scan_pipeline",
+    """select coalesce(c, 'total') as connector, count(*) as assets, false as failed
+       from (select case origin when 'pages' then 'web' when 'documents' then 'text' else 'tables' end as c from mixed) group by rollup (c)
+       union all select 'broken', 0, true""",
+    ["mixed"],
+)
+def _(i):
+    summary = _scan_pipeline(i)[1]
+    return summary.select("connector", "assets", F.col("error").isNotNull().alias("failed"))
+
+
+@query(
+    "src17_scanned_catalog",
+    f"""select distinct md5(concat(source, '-', location, '-', name)) as fingerprint, name, source, location,
+          timestamp '{AS_OF}' as last_scanned, 'CREATED' as change_type from mixed""",
+    ["mixed"],
+)
+def _(i):
+    root = _scan_pipeline(i)[0]
+    log = stream_history(i.spark, root).select(F.col("asset_fingerprint").alias("fingerprint"), "change_type")
+    assets = sinks.read_snapshot(i.spark, f"{root}/assets").select("fingerprint", "name", "source", "location", "last_scanned")
+    return assets.join(log, "fingerprint")
+
+
 # --- sinks -----------------------------------------------------------------------------------
 
 

@@ -14,6 +14,7 @@ from cairn.session import cut_lineage
 from cairn.sources import files as S
 from cairn.sources import listings as N
 from cairn.sources import objects as O
+from cairn.sources.scan import scan_catalog
 from cairn.streaming import ingest as I
 
 AS_OF = "2024-06-01 00:00:00"
@@ -150,6 +151,26 @@ def test_a_failed_connector_yields_nothing(spark):
     assert {tuple(r) for r in O.scan_summary(out).collect()} == {("good", 1), ("total", 1)}
 
 
+def test_scan_survives_a_failing_source(spark, tmp_path):
+    good = spark.createDataFrame([("a", "t", "s", "/x"), ("a", "t", "s", "/x"), (None, None, None, None)], "name string, type string, source string, location string")
+    fails_late = spark.range(1).select(F.raise_error(F.lit("gone")).cast("string").alias("name"))
+
+    def fails_early():
+        raise OSError("no route")
+
+    sources = {"good": good, "late": fails_late, "early": fails_early, "unasked": good}
+    root = str(tmp_path / "catalog")
+    for scan_id in (0, 0, 1):
+        rows = {r["connector"]: r for r in scan_catalog(spark, sources, root, AS_OF, ["good", "late", "early", "unknown"], scan_id).collect()}
+        assert {k: r["assets"] for k, r in rows.items()} == {"good": 3, "late": 0, "early": 0, "total": 3}
+        assert "gone" in rows["late"]["error"] and rows["early"]["error"] == "no route" and rows["good"]["error"] is None
+        assert sinks.read_snapshot(spark, f"{root}/assets").count() == 2
+    assert sorted(r["change_type"] for r in I.stream_history(spark, root).collect()) == ["CREATED"] * 2 + ["UPDATED"] * 2
+    nothing = scan_catalog(spark, {"early": fails_early}, root, AS_OF, scan_id=2)
+    assert [(r["connector"], r["assets"]) for r in nothing.orderBy("connector").collect()] == [("early", 0), ("total", 0)]
+    assert sinks.read_snapshot(spark, f"{root}/assets").count() == 2
+
+
 def test_exports(spark, tmp_path):
     a = as_assets(
         spark.createDataFrame([("f1", "a", True, ["x"]), ("f2", "b", False, [])], "fingerprint string, name string, is_active boolean, tags array<string>")

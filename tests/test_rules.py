@@ -10,9 +10,10 @@ from cairn.functions import display as D
 from cairn.functions import masking, pii
 from cairn.operators import governance as G
 from cairn.operators import quality as DQ
+from cairn.operators.enrichment import extract_metadata
 from cairn.operators.pii import with_pii_summary
 from cairn.operators.stats import profile_table
-from cairn.schema import COLUMN, as_assets
+from cairn.schema import ASSETS, COLUMN, as_assets
 
 MIB = 1024 * 1024
 
@@ -191,3 +192,28 @@ def test_profile_table(spark):
     out = {r["column_name"]: r for r in profile_table(df, exact=True).collect()}
     assert (out["n"]["distinct_values"], out["s"]["nulls"], out["a"]["distinct_values"]) == (2, 1, 1)
     assert (out["s"]["min_value"], out["n"]["max_value"], out["n"]["row_count"]) == ("a", "2", 3)
+
+
+def test_extract_metadata(spark):
+    columns = [{"ordinal": i + 1, "name": n, "type": t, "primary_key": i == 0} for i, (n, t) in enumerate([("user_pass_token", "string"), ("x_id", None), (None, "string")])]
+    rows = [
+        ("f1", "Etl_daily.csv.gz", "csv_file", "database_x", "/archive/year=2024/payroll.csv", 2_000_000, columns, datetime(2024, 1, 9), {"permissions": "644"}),
+        ("f2", None, None, None, None, None, None, None, None),
+        ("f3", "notes", "blob", "s", "a@b.example", 200_000, [], datetime(2023, 1, 1), {}),
+    ]
+    names = ["fingerprint", "name", "type", "source", "location", "size", "columns", "modified_date", "metadata"]
+    assets = spark.createDataFrame([dict(zip(names, r, strict=True)) for r in rows], ASSETS)
+    full, bare, plain = extract_metadata(assets, "2024-01-10 00:00:00").orderBy("fingerprint").collect()
+    assert (full["data_classification"], full["estimated_value"], full["file"]["file_extension"], full["file"]["permissions"]) == ("structured", "medium", ".csv", "644")
+    assert full["quality_metrics"]["freshness_score"] == 0.9 and full["quality_metrics"]["overall_quality_score"] == 0.575
+    assert full["pii_detection"].asDict() == {"contains_pii": True, "pii_types": [], "sensitive_columns": ["user_pass_token"] * 2, "privacy_risk_level": "medium"}
+    assert (full["business_context"]["domain"], full["business_context"]["business_importance"]) == ("hr", "high")
+    assert full["technical_metadata"].asDict() == {"data_format": "csv", "encoding": "utf-8", "compression": "compressed", "partitioning": "partitioned"}
+    assert full["table"]["keys"].asDict() == {"has_primary_key": True, "has_foreign_keys": True, "column_count": 3}
+    assert full["lineage_hints"].asDict() == {"transformation_hints": ["etl", "archived"], "update_frequency": "daily"}
+    assert (bare["data_classification"], bare["estimated_value"], bare["file"], bare["table"]) == ("unknown", "low", None, None)
+    assert bare["pii_detection"].asDict() == {"contains_pii": False, "pii_types": [], "sensitive_columns": [], "privacy_risk_level": "low"}
+    assert (plain["pii_detection"]["pii_types"], plain["pii_detection"]["privacy_risk_level"], plain["business_context"]["business_importance"]) == (["email"], "medium", "medium")
+    types = {r["fingerprint"]: [tuple(t) for t in r["field_types"]] for r in DQ.schema_analysis(assets).collect()}
+    assert types == {"f1": [("string", 2), ("unknown", 1)], "f2": [], "f3": []}
+    assert "pii_detection" not in extract_metadata(assets, "2024-01-10 00:00:00", detect_pii=False).columns
