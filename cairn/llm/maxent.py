@@ -13,6 +13,7 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -67,20 +68,38 @@ def class_logs(w: Weights, rows: slice = slice(None)) -> np.ndarray:
     return _log_softmax(w.bias + w.before[rows, None] + w.skip[None] + w.pair[_PAIR[rows]])
 
 
-def _histories(docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bucket before, bucket two before, subclass, length of each document) of all tokens, ends included."""
-    end, end_leaf = places(END)
-    buckets, leaves, sizes = [end], [end_leaf], np.array([len(d) + 1 for d in docs])
-    for d in docs:
-        both = list(map(places, d))
-        buckets += [b for b, _ in both]
-        leaves += [x for _, x in both]
-        buckets.append(end)
-        leaves.append(end_leaf)
-    at = np.array(buckets)
-    before, two = at[:-1], np.concatenate([[end], at[:-2]])
+class _Codes(dict):
+    """A number for each distinct word, in the order met; the end of a text has number 0."""
+
+    def __init__(self) -> None:
+        super().__init__({END: 0})
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = made = len(self)
+        return made
+
+
+@dataclass
+class Tokens:
+    words: list[bytes]  # distinct, the end first
+    at: np.ndarray  # place of each token's word in `words`, ends included
+    before: np.ndarray  # bucket of the word before
+    two: np.ndarray  # bucket of the one before that
+    leaf: np.ndarray  # subclass
+    sizes: np.ndarray  # tokens of each document
+
+
+def _histories(docs: list[list[bytes]]) -> Tokens:
+    """All tokens of some documents; places are worked out once for each distinct word."""
+    codes, sizes = _Codes(), np.array([len(d) + 1 for d in docs])
+    flat = chain.from_iterable(chain(d, (END,)) for d in docs)
+    at = np.fromiter(map(codes.__getitem__, flat), np.int64, int(sizes.sum()))
+    bucket, leaf = np.array([places(w) for w in codes]).T
+    end = bucket[:1]
+    before = np.concatenate([end, bucket[at[:-1]]])
+    two = np.concatenate([end, before[:-1]])
     two[np.cumsum(sizes)[:-1]] = end  # a document's first word has nothing before it
-    return before, two, np.array(leaves[1:]), sizes
+    return Tokens(list(codes), at, before, two, leaf[at], sizes)
 
 
 def _sum_counts(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -121,10 +140,10 @@ def class_counts(docs: DataFrame) -> DataFrame:
             if not train:
                 continue
             any_rows = True
-            before, two, leaf, _ = _histories(train)
+            t = _histories(train)
             for total, at in (
-                (first, (before * HISTORIES + two) * CLASSES + leaf // SUBCLASSES),
-                (second, before * LEAVES + leaf),
+                (first, (t.before * HISTORIES + t.two) * CLASSES + t.leaf // SUBCLASSES),
+                (second, t.before * LEAVES + t.leaf),
             ):
                 found, counts = np.unique(at, return_counts=True)
                 total[found] += counts
@@ -271,12 +290,12 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int
     weights = Weights(*(x.astype(np.float32) for x in (weights.bias, weights.before, weights.skip, weights.pair, weights.inner)))
 
     def finish(keys: list, texts: list[str], known: dict) -> Iterable[pa.RecordBatch]:
-        docs = [words_of(t) for t in texts]
-        before, two, leaf, sizes = _histories(docs)
-        counts = np.fromiter((known[w] for d in docs for w in (*d, END)), np.int64, len(leaf))
+        t = _histories([words_of(x) for x in texts])
+        before, leaf, sizes = t.before, t.leaf, t.sizes
+        counts = np.fromiter(map(known.__getitem__, t.words), np.int64, len(t.words))[t.at]
         base = np.log10((counts + SMOOTH) / (total + SMOOTH * (distinct + 1)))
         inner = _log_softmax(weights.inner).reshape(HISTORIES, LEAVES)
-        logs = class_logs(weights)[before, two, leaf // SUBCLASSES].astype(float) + inner[before, leaf]
+        logs = class_logs(weights)[before, t.two, leaf // SUBCLASSES].astype(float) + inner[before, leaf]
         own = np.log10((counts + SMOOTH) / (in_leaf + SMOOTH * (kinds + 1))[leaf])
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         yield pa.RecordBatch.from_arrays(
