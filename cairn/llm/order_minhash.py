@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cairn.llm.common import let
 
 BINS, PER_BIN, WORDS = 32, 2, 3
-#: Occurrences looked at: those with the smallest hashes, so many that no bin of a long text lacks PER_BIN of them.
+#: About so many occurrences of a long text, those with the smallest hashes, are looked at first; a bin that lacks some looks at all.
 SMALLEST = BINS * PER_BIN * 8
 _HALF = 1 << 63
 
@@ -69,18 +69,25 @@ def fingerprint(text: Column, words: int = WORDS, bins: int = BINS, per_bin: int
     low = float(_HALF)
 
     def chosen(of: Column) -> Column:
+        long = F.size(of) > 2 * SMALLEST
         share = F.lit(2.0 * low * SMALLEST) / F.size(of)
-        few = F.when(
-            F.size(of) > 2 * SMALLEST,
-            F.filter(of, lambda x: F.xxhash64(x["v"]).cast("double") + low < share),
-        ).otherwise(of)
+        # Thinned by the value that ranks: whatever is left of a bin are its smallest.
+        few = F.when(long, F.filter(of, lambda x: x["v"].cast("double") + low < share)).otherwise(of)
 
         def by_bin(kept: Column) -> Column:
             def value(b: Column) -> Column:
-                mine = F.slice(F.array_sort(F.filter(kept, lambda x: F.pmod(x["v"], F.lit(bins)) == b)), 1, per_bin)
-                ordered = F.array_sort(F.transform(mine, lambda x: F.struct(x["at"], x["v"])))
-                tuple_hash = F.xxhash64(F.transform(ordered, lambda x: x["v"]))
-                return F.when(F.size(mine) > 0, F.lower(F.lpad(F.hex(F.shiftrightunsigned(tuple_hash, 32)), 8, "0"))).otherwise("-")
+                def in_bin(some: Column) -> Column:
+                    return F.filter(some, lambda x: F.pmod(x["v"], F.lit(bins)) == b)
+
+                def hashed(mine: Column) -> Column:
+                    smallest = F.slice(F.array_sort(mine), 1, per_bin)
+                    ordered = F.array_sort(F.transform(smallest, lambda x: F.struct(x["at"], x["v"])))
+                    tuple_hash = F.xxhash64(F.transform(ordered, lambda x: x["v"]))
+                    eight = F.lower(F.lpad(F.hex(F.shiftrightunsigned(tuple_hash, 32)), 8, "0"))
+                    return F.when(F.size(mine) > 0, eight).otherwise("-")
+
+                enough = let(in_bin(kept), lambda m: F.when(long & (F.size(m) < per_bin), in_bin(of)).otherwise(m))
+                return let(enough, hashed)
 
             return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), value), ",")
 

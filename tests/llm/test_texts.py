@@ -3,11 +3,13 @@
 import hashlib
 import math
 import re
+import struct
 import zlib
 from array import array
 from collections import Counter
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from cairn.llm import bpe, codec, maxent, near, order_minhash, packing, pii_crf, quality
@@ -224,6 +226,28 @@ def test_fingerprints_follow_order(spark):
     assert hashes_differ(own, near_copy) < hashes_differ(own, turned) < hashes_differ(own, reverse) + 1
 
 
+def unthinned(occurrences, bins=order_minhash.BINS, per_bin=order_minhash.PER_BIN):
+    def value(b):
+        mine = sorted((r.v, r.at) for r in occurrences if r.v % bins == b)[:per_bin]
+        seed = 42
+        for _, v in sorted((at, v) for v, at in mine):
+            seed = xxhash.xxh64_intdigest(struct.pack("<q", v), seed=seed)
+        return f"{seed >> 32:08x}" if mine else "-"
+
+    return ",".join(map(value, range(bins)))
+
+
+def test_fingerprints_of_long_texts_are_those_of_all_occurrences(spark, monkeypatch):
+    texts = [" ".join(f"w{i * 7919 % 100_003}" for i in range(n)) for n in (1000, 1020, 1030, 1100, 3000, 5000)]
+    texts.append(" ".join(f"w{i % 700}" for i in range(2500)))
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    want = [unthinned(r[0]) for r in df.select(order_minhash.occurrences(order_minhash.shingles(F.col("text")))).collect()]
+    made = lambda: [r[0] for r in df.select(order_minhash.fingerprint(F.col("text"))).collect()]
+    assert made() == want
+    monkeypatch.setattr(order_minhash, "SMALLEST", 64)  # most bins lack occurrences at first
+    assert made() == want
+
+
 def test_quality(spark, sf_dir, awkward):
     sf_dir = sf_dir.replace("sf0.001", "sf0.01")  # at 200 documents there are too few bad ones of each sort to learn from
     docs = documents(spark, sf_dir)
