@@ -19,9 +19,11 @@ BLOCK = frozenset(
 #: Elements whose text passes points upwards when it stands directly in them.
 PARAGRAPH = frozenset("p pre td blockquote div section article main li dd h2 h3 h4 figcaption body".split())
 DROPPED = frozenset(
-    "script style noscript template nav footer aside form button select option textarea iframe object svg canvas dialog "
-    "menu title head audio video search input label fieldset datalist".split()
+    "script style noscript template button select option textarea iframe object svg canvas title head audio video input "
+    "label datalist".split()
 )
+#: Dropped too, unless the page's only article stands inside.
+ASIDE = frozenset("nav footer aside dialog menu search".split())
 ROLES = frozenset(
     "navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form toolbar".split()
 )
@@ -32,7 +34,14 @@ FURNITURE = frozenset(
     "overlay pagination paywall popup promo promotion recommended related remark replies respond rss share sharing "
     "sidebar signin signup social sponsor sponsored subscribe subscription tags teaser toolbar widget".split()
 )
+#: Words that make a class of "header" the head of a text.
+TEXTUAL = frozenset("article content entry post story".split())
 SAFE = frozenset("html body article main".split())
+#: What an element is by its tag and attributes, and what marks of furniture leave of the points inside it.
+PLAIN, MARKED, BESIDE, NO_TEXT, LOWERED = 0, 1, 2, 3, 0.25
+#: An article outside is one with so many characters, or a fifth of the text of the element in question.
+ARTICLE_CHARS = 140
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: An opening tag that ends an open element of these names (up to a closer container).
 ENDS = {
     **{t: ("p",) for t in BLOCK if t not in ("body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption")},
@@ -57,10 +66,10 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class _Tree:
-    """Elements in page order (a parent before its children), their texts, and what is dropped."""
+    """Elements in page order (a parent before its children), their texts, and what they are."""
 
     def __init__(self, page: str):
-        self.tag, self.parent, self.skip = ["html"], [-1], [False]
+        self.tag, self.parent, self.kind = ["html"], [-1], [PLAIN]
         self.events: list[tuple[int, str | None]] = []  # (element, text) or (element, None) at its start and end
         self._read(page)
 
@@ -109,7 +118,7 @@ class _Tree:
                 self.tag.append(name)
                 self.parent.append(stack[-1])
                 inside = bool(open_tags.get("article") or open_tags.get("main"))
-                self.skip.append(self.skip[stack[-1]] or _furniture(name, m["attrs"], inside))
+                self.kind.append(_kind(name, m["attrs"], inside))
                 if name in RAW:
                     found = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, at)
                     at = found.start() if found else end
@@ -125,37 +134,98 @@ class _Tree:
         close(0)
 
 
-def _furniture(name: str, attrs: str, inside: bool) -> bool:
-    if name in DROPPED or (name == "header" and not inside):
-        return True
+def _kind(name: str, attrs: str, inside: bool) -> int:
+    if name in DROPPED:
+        return NO_TEXT
+    if name in ASIDE or (name == "header" and not inside):
+        return BESIDE
+    kind = MARKED if name in ("form", "fieldset") else PLAIN
     if name in SAFE or not attrs:
-        return False
+        return kind
     for m in _ATTR.finditer(attrs):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "hidden" or (key == "aria-hidden" and value == "true"):
-            return True
+            return BESIDE
         if key == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
+            return BESIDE
         if key == "role" and value.lower() in ROLES:
-            return True
-        if key in ("class", "id") and not FURNITURE.isdisjoint(_WORD.findall(_CAMEL.sub(" ", value).lower())):
-            return True
-    return False
+            return BESIDE
+        if key in ("class", "id") and any(_marks(x, inside) for x in value.split()):
+            kind = MARKED
+    return kind
+
+
+def _marks(value: str, inside: bool) -> bool:
+    words = set(_WORD.findall(_CAMEL.sub(" ", value).lower()))
+    found = words & FURNITURE
+    return bool(found) and not (found == {"header"} and (inside or words & TEXTUAL))
+
+
+def _left_out(tree: _Tree, low: list[int]) -> tuple[list[bool], list[float]]:
+    """Whether each element is left out, and the share of points that counts in it.
+
+    low: characters outside links that stand directly in each element.  Marked elements stay when they
+    hold an article, or most of the text while no article stands outside; when all that would go
+    hold most of the text together, none goes.
+    """
+    tag, parent, kind, n = tree.tag, tree.parent, tree.kind, len(tree.tag)
+    article = [False] * n
+    for i in range(n):
+        article[i] = tag[i] in ("article", "main") or (i > 0 and article[parent[i]])
+    gone = [False] * n
+
+    def sums() -> tuple[list[int], list[int], list[bool]]:
+        text = [0 if gone[i] else low[i] for i in range(n)]
+        stated = [x if article[i] else 0 for i, x in enumerate(text)]
+        holds = [False] * n
+        for i in range(n - 1, 0, -1):
+            text[parent[i]] += text[i]
+            stated[parent[i]] += stated[i]
+            if holds[i] or (tag[i] in ("article", "main") and text[i]):
+                holds[parent[i]] = True
+        return text, stated, holds
+
+    def outside(stated: int, text: int) -> bool:
+        return stated > 0 and stated >= min(ARTICLE_CHARS, text / 5)
+
+    for i in range(1, n):
+        gone[i] = gone[parent[i]] or kind[i] == NO_TEXT
+    text, stated, holds = sums()
+    for i in range(1, n):
+        beside = kind[i] == BESIDE and not (holds[i] and not outside(stated[0] - stated[i], text[i]))
+        gone[i] = gone[i] or gone[parent[i]] or beside
+    text, stated, holds = sums()
+    most = text[0] / 2
+    out, cut, cut_stated = gone[:], 0, 0
+    for i in range(1, n):
+        if out[parent[i]]:
+            out[i] = True
+        elif not out[i] and kind[i] == MARKED and not holds[i]:
+            if text[i] <= most or outside(stated[0] - stated[i], text[i]):
+                out[i] = True
+                cut, cut_stated = cut + text[i], cut_stated + stated[i]
+    if cut > most and not outside(stated[0] - cut_stated, cut):
+        out = gone
+    counts = [1.0] * n
+    for i in range(1, n):
+        if tag[i] != "main":
+            counts[i] = counts[parent[i]] * (LOWERED if kind[i] in (MARKED, BESIDE) else 1)
+    return out, counts
 
 
 def main_text(page: str | None) -> str:
     """The article of a page: its blocks, one to a line.
 
     Each paragraph's own text passes 1 point, 1 for each comma and 1 for each 100 characters to its
-    parent, half of it to the next ancestor and a third to the one above; a container's points are then
-    lowered by the share of its text that stands in links.  The best container is kept together with
-    siblings that have a fifth of its points or are long paragraphs with few links.  Of equal
-    containers the first in the page wins.  A null or empty page, or one without text, gives "".
+    parent, half of it to the next ancestor and a third to the one above, less inside elements marked as
+    furniture; a container's points are then lowered by the share of its text that stands in links.  The
+    best container is kept together with siblings that have a fifth of its points or are long paragraphs
+    with few links.  Of equal containers the first in the page wins.  A null or empty page, or one without text, gives "".
     """
     if not page:
         return ""
     tree = _Tree(page)
-    tag, parent, skip, n = tree.tag, tree.parent, tree.skip, len(tree.tag)
+    tag, parent, n = tree.tag, tree.parent, len(tree.tag)
     own = [0] * n  # length of text directly in the element or its inline children
     commas, linked, length = [0] * n, [0] * n, [0] * n
     block, link = list(range(n)), [False] * n
@@ -163,6 +233,11 @@ def main_text(page: str | None) -> str:
         if tag[i] not in BLOCK:
             block[i] = block[parent[i]]
         link[i] = tag[i] == "a" or link[parent[i]]
+    low = [0] * n
+    for i, t in tree.events:
+        if t and not link[i]:
+            low[i] += len(t.strip())
+    skip, counts = _left_out(tree, low)
     for i, t in tree.events:
         if t and not skip[i] and (size := len(t.strip())):
             own[block[i]] += size
@@ -175,7 +250,7 @@ def main_text(page: str | None) -> str:
         if own[i] and tag[i] in PARAGRAPH:
             if link[i] or linked[i] > own[i] / 2:
                 continue
-            gain, up = 1 + commas[i] + own[i] / 100, i if tag[i] in ("div", "section", "article", "main", "body") else parent[i]
+            gain, up = counts[i] * (1 + commas[i] + own[i] / 100), i if tag[i] in ("div", "section", "article", "main", "body") else parent[i]
             for share in (1, 2, 3):
                 if up < 0:
                     break
@@ -186,7 +261,7 @@ def main_text(page: str | None) -> str:
         linked[parent[i]] += linked[i]
     for i in range(n):
         if points[i]:
-            points[i] += 5 * (tag[i] in ("article", "main"))
+            points[i] += 5 * counts[i] * (tag[i] in ("article", "main"))
             points[i] *= 1 - linked[i] / max(1, length[i])
     best = max((i for i in range(n) if tag[i] in BLOCK and not skip[i]), key=lambda i: (points[i], -i), default=0)
     if not points[best]:

@@ -67,6 +67,26 @@ def test_main_text(page, text):
     assert extraction.main_text(page) == text
 
 
+PROSE = f"<p>{ARTICLE}</p><p>{ARTICLE} Again.</p>"
+LINES = f"{ARTICLE}\n{ARTICLE} Again."
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<div class='layout has-sidebar'><article>{PROSE}</article><div class=sidebar>s</div></div>", LINES),
+        (f"<div id='page' class='no-comments'><div>{PROSE}</div></div>", LINES),
+        (f"<form><div id=top><a href=x>a</a></div><div>{PROSE}</div></form>", LINES),
+        (f"<article><div class='entry-header'><h1>Title</h1></div><div class='social-body'>{PROSE}</div></article>", f"Title\n{LINES}"),
+        (f"<div class=post><div class='entry-header'><h1>Title</h1></div>{PROSE}</div>", f"Title\n{LINES}"),
+        ("".join(f"<div class=social>{PROSE}</div>" for _ in range(3)), "\n".join([LINES] * 3)),
+        (f"<article>{PROSE}</article><div class=comments>" + f"<p>{ARTICLE}</p>" * 20 + "</div>", LINES),
+    ],
+)
+def test_marked_elements_around_the_text_stay(page, text):
+    assert extraction.main_text(page) == text
+
+
 def test_articles_of_the_sample_are_documents(spark, sf_dir):
     squeezed = lambda t: " ".join(t.split())
     docs = {squeezed(r.text or "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()}
