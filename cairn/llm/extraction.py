@@ -220,7 +220,8 @@ def main_text(page: str | None) -> str:
     parent, half of it to the next ancestor and a third to the one above, less inside elements marked as
     furniture; a container's points are then lowered by the share of its text that stands in links.  The
     best container is kept together with siblings that have a fifth of its points or are long paragraphs
-    with few links.  Of equal containers the first in the page wins.  A null or empty page, or one without text, gives "".
+    with few links, and with short paragraphs and headings with few links next to or between kept ones.
+    Of equal containers the first in the page wins.  A null or empty page, or one without text, gives "".
     """
     if not page:
         return ""
@@ -268,10 +269,12 @@ def main_text(page: str | None) -> str:
         best = 0
     kept = {best}
     if best and tag[best] not in ("body", "html"):
-        for i in range(1, n):
-            if parent[i] == parent[best] and not skip[i] and i != best:
-                few = linked[i] < 0.25 * length[i]
-                if points[i] >= max(10, points[best] / 5) or (tag[i] == "p" and length[i] > 80 and few):
+        row = [i for i in range(1, n) if parent[i] == parent[best] and not skip[i] and (length[i] or i == best)]
+        few = {i for i in row if linked[i] < 0.25 * length[i]}
+        kept |= {i for i in row if points[i] >= points[best] / 5 or (tag[i] == "p" and length[i] > 80 and i in few)}
+        for way in (row, row[::-1]):
+            for before, i in zip(way, way[1:]):
+                if before in kept and i in few and (tag[i] == "p" or tag[i] in HEADINGS):
                     kept.add(i)
     inside = [False] * n
     for i in range(n):

@@ -87,6 +87,16 @@ def test_marked_elements_around_the_text_stay(page, text):
     assert extraction.main_text(page) == text
 
 
+def test_article_in_several_sibling_containers():
+    long, short = "word " * 60 + "end, of it, all, of, it", "part, " + "x" * 94
+    first = "<div>" + f"<p>{long}</p>" * 3 + "</div>"
+    second = f"<div><p>{short}</p><p>{short}</p></div>"
+    menu = "<div>" + "<p><a href=x>link, link</a></p>" * 5 + "</div>"
+    page = f"<div><h2>Head</h2>{first}<h3>Then</h3>{second}<p>The end.</p>{menu}<p>Far.</p></div>"
+    want = ["Head", *[long] * 3, "Then", short, short, "The end."]
+    assert extraction.main_text(page) == "\n".join(want)
+
+
 def test_articles_of_the_sample_are_documents(spark, sf_dir):
     squeezed = lambda t: " ".join(t.split())
     docs = {squeezed(r.text or "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()}
