@@ -11,6 +11,10 @@ from cairn.llm.common import cut
 
 DEGREE, BEAM, ALPHA, SHARD_ROWS = 24, 64, 1.2, 2048
 BATCH = 256
+#: Shards grow in rows with the input beyond so many of them, as long as the vectors of one fit SHARD_BYTES.
+SHARDS, SHARD_BYTES = 256, 128 << 20
+#: Queries that meet a shard in one task: at most so many expected, in so many bytes.
+BLOCK_ROWS, BLOCK_BYTES = 1 << 18, 64 << 20
 
 
 def _squared(x: np.ndarray, points: np.ndarray) -> np.ndarray:
@@ -108,6 +112,31 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: fl
     return links, entry
 
 
+def shard_count(points: int, dims: int, shard_rows: int = SHARD_ROWS) -> int:
+    """The number of shards for so many vectors of `dims` floats."""
+    rows = max(shard_rows, min(-(-points // SHARDS), SHARD_BYTES // (4 * max(1, dims))))
+    return max(1, -(-points // rows))
+
+
+def block_count(queries: int, dims: int, block_rows: int = BLOCK_ROWS) -> int:
+    """The number of blocks for so many queries of `dims` floats."""
+    rows = max(1, min(block_rows, BLOCK_BYTES // (4 * max(1, dims))))
+    return max(1, -(-queries // rows))
+
+
+def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(values, lengths) of a column of lists, read from its buffers."""
+    parts = column.chunks
+    values = [c.flatten().to_numpy(zero_copy_only=False) for c in parts]
+    lengths = [c.value_lengths().to_numpy(zero_copy_only=False) for c in parts]
+    return np.concatenate(values), np.concatenate(lengths).astype(np.int64)
+
+
+def _matrix(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    """The lists of a column, all of one length, as rows."""
+    return _lists(column)[0].astype(kind, copy=False).reshape(len(column), -1)
+
+
 def usable(embeddings: DataFrame) -> DataFrame:
     """(vec_id, embedding) of rows that take part: an id, and a non-zero vector of finite numbers."""
     v = F.col("embedding")
@@ -132,14 +161,15 @@ def build_index(rows: DataFrame, copies: int, shard_rows: int = SHARD_ROWS) -> D
         .groupBy("embedding")
         .agg(F.array_sort(F.collect_list("vec_id")).alias("vec_ids"))
     )
-    shards = max(1, -(-points.count() // shard_rows))
+    many, dims = points.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+    shards = shard_count(many, dims or 1, shard_rows)
 
     def build(shard: pa.Table) -> pa.Table:
-        x = np.array(shard.column("embedding").to_pylist(), np.float32)
+        x = _matrix(shard.column("embedding"), np.float32)
         links, entry = build_graph(x)
-        return shard.append_column("links", pa.array(list(links.astype(np.int32)), pa.list_(pa.int32()))).append_column(
-            "entry", pa.array([entry] * len(x), pa.int32())
-        )
+        ends = np.arange(0, links.size + 1, links.shape[1], dtype=np.int32)
+        lists = pa.ListArray.from_arrays(ends, links.astype(np.int32).ravel())
+        return shard.append_column("links", lists).append_column("entry", pa.array(np.full(len(x), entry, np.int32)))
 
     dealt = points.select(
         F.size("embedding").alias("dims"),
@@ -154,35 +184,44 @@ def build_index(rows: DataFrame, copies: int, shard_rows: int = SHARD_ROWS) -> D
     )
 
 
-def search(index: DataFrame, queries: DataFrame, k: int = 10, beam: int = BEAM) -> DataFrame:
+def search(
+    index: DataFrame, queries: DataFrame, k: int = 10, beam: int = BEAM, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest by Euclidean distance in double precision, ties to the smaller id.
 
-    Every query walks every shard's graph of its own dimension; a row with the query's own id is no
-    candidate.  An id with several vectors counts with its nearest.
+    Every query walks every shard's graph of its own dimension, in a task for each shard and block of
+    queries; a row with the query's own id is no candidate.  An id with several vectors counts with its nearest.
     """
     shards = index.select(F.col("dims").alias("dims"), F.col("shard").alias("shard")).distinct()
     asked = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")).withColumn(
         "dims", F.size("query")
     )
+    many, dims = asked.agg(F.count(F.lit(1)), F.max("dims")).first()
+    blocks = block_count(many, dims or 1, block_rows)
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id", "query"), F.lit(blocks)).cast("int"))
+    graphs = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     asked = asked.join(shards, "dims")  # the stated query set against all shards of its dimension
 
     def walk(points: pa.Table, wanted: pa.Table) -> pa.Table:
-        out: list[tuple] = []
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if points.num_rows and wanted.num_rows:
-            x = np.array(points.column("embedding").to_pylist(), np.float32)
-            links = np.array(points.column("links").to_pylist(), np.int64)
-            ids, entry = points.column("vec_ids").to_pylist(), points.column("entry")[0].as_py()
-            exact = x.astype(np.float64)
-            names = wanted.column("query_id").to_pylist()
-            q = np.array(wanted.column("query").to_pylist(), np.float32)
+            x, links = _matrix(points.column("embedding"), np.float32), _matrix(points.column("links"), np.int32)
+            ids, counts = _lists(points.column("vec_ids"))
+            begins, entry = np.cumsum(counts) - counts, points.column("entry")[0].as_py()
+            names = wanted.column("query_id").to_numpy()
+            q = _matrix(wanted.column("query"), np.float32)
             for at in range(0, len(q), BATCH):
                 met, _ = beam_search(x, links, entry, q[at : at + BATCH], beam)
-                for row, found in enumerate(met):
+                for row, found in enumerate(met, at):
                     found = found[found >= 0]
-                    far = np.sqrt(((exact[found] - q[at + row].astype(np.float64)) ** 2).sum(1))
-                    hits = sorted((d, v) for p, d in zip(found, far.tolist(), strict=True) for v in ids[p])
-                    out += [(names[at + row], v, d) for d, v in hits if v != names[at + row]][:k]
-        columns = list(zip(*out, strict=True)) or [[], [], []]
+                    far = np.sqrt(((x[found].astype(np.float64) - q[row].astype(np.float64)) ** 2).sum(1))
+                    c = counts[found]
+                    v = ids[np.repeat(begins[found] - np.cumsum(c) + c, c) + np.arange(c.sum())]
+                    d = np.repeat(far, c)
+                    best = np.lexsort((v, d))
+                    best = best[v[best] != names[row]][:k]
+                    out.append((np.full(len(best), names[row]), v[best], d[best]))
+        columns = [np.concatenate(x) for x in zip(*out, strict=True)] or [[], [], []]
         return pa.table(
             {
                 "query_id": pa.array(columns[0], pa.int64()),
@@ -192,8 +231,8 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, beam: int = BEAM)
         )
 
     found = (
-        index.groupBy("dims", "shard")
-        .cogroup(asked.groupBy("dims", "shard"))
+        graphs.groupBy("dims", "shard", "block")
+        .cogroup(asked.groupBy("dims", "shard", "block"))
         .applyInArrow(walk, "query_id long, vec_id long, score double")
         .groupBy("query_id", "vec_id")
         .agg(F.min("score").alias("score"))

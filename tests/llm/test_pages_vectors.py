@@ -142,3 +142,17 @@ def test_neighbours_with_ties_and_useless_vectors(spark):
     assert ann.nearest(df.filter("vec_id < 0")).count() == 0
     few = {r.vec_id for r in ann.nearest(df.filter("vec_id in (0, 1, 2)")).collect()}
     assert few == {1, 2}
+
+
+def test_queries_meet_shards_in_bounded_blocks(spark):
+    assert ann.shard_count(40_000, 64) == 20 and ann.shard_count(117_000_000, 64) <= 256
+    assert ann.shard_count(117_000_000, 1024) * ann.SHARD_BYTES >= 117_000_000 * 4096
+    assert ann.block_count(500, 64) == 1 and ann.block_count(1_200_000, 64) * ann.BLOCK_BYTES >= 1_200_000 * 256
+    draw = np.random.default_rng(2)
+    rows = [(i, draw.normal(size=8).astype(np.float32).tolist()) for i in range(200)]
+    rows = ann.usable(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    index = ann.build_index(rows, 11, 64)
+    whole = sorted(ann.search(index, rows).collect())
+    assert len(whole) == 2000 and sorted(ann.search(index, rows, block_rows=30).collect()) == whole
+    want = exact([tuple(r) for r in rows.collect()], 1, 10)
+    assert sum(r.vec_id in {v for v, _ in want[r.query_id]} for r in whole) >= 1900
