@@ -31,7 +31,7 @@ SYMBOL, CAPITAL, BAR, STOP, FUNCTION = (1 << k for k in range(16, 21))
 
 
 def word_facts(word: str) -> int:
-    shape = word[:40]
+    shape = word
     for pattern, sign in _SHAPES:
         shape = pattern.sub(sign, shape)
     letters = [c for c in word if c.isalpha()]

@@ -262,6 +262,12 @@ def test_quality(spark, sf_dir, awkward):
     assert kept.columns == awkward.columns and Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in got if r.keep)
 
 
+def test_shape_is_that_of_the_whole_word():
+    shape = lambda w: quality.word_facts(w) % quality.BUCKETS
+    assert shape("日本語" * 20 + "。12") == shape("日。9") != shape("日")
+    assert shape("x" * 60) == shape("x") != shape("x" * 60 + "{}")
+
+
 def test_label_model_finds_the_reliable_labellers():
     import numpy as np
 
