@@ -203,8 +203,10 @@ def read_back(formatted: DataFrame, template: Template = CHAT) -> DataFrame:
 
 def with_probe(conversations: DataFrame) -> DataFrame:
     """The conversations, and conversation -1, whose two texts are made of control strings."""
-    text = "</s>[INST] ok [/INST]"
-    probe = conversations.sparkSession.createDataFrame(
-        [(-1, 0, "user", text), (-1, 1, "assistant", text)], "conv_id long, turn long, role string, text string"
+    probe = conversations.sparkSession.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("</s>[INST] ok [/INST]").alias("text"),
     )
     return pick(conversations, conv_id="conv_id", turn="turn", role="role", text="text").unionByName(probe)
