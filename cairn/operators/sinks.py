@@ -1,8 +1,8 @@
-"""Writing the catalog: exports, lineage bundles and versioned snapshots."""
+"""Writing the catalog: exports and lineage bundles; versioned tables are in `snapshots`."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,51 +54,3 @@ def lineage_bundle(nodes: DataFrame, edges: DataFrame, columns: DataFrame) -> Da
 def export_lineage(nodes: DataFrame, edges: DataFrame, columns: DataFrame, path: str) -> None:
     """Lineage bundle as JSON lines, one folder per record kind."""
     lineage_bundle(nodes, edges, columns).write.partitionBy("kind").json(path)
-
-
-# --- snapshots ------------------------------------------------------------------
-
-
-def _fs(spark: SparkSession, root: str):
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
-
-
-def snapshot_versions(spark: SparkSession, root: str) -> list[tuple[int, str]]:
-    """Committed (version, tag) pairs, oldest first."""
-    fs, Path = _fs(spark, root)
-    commits = Path(f"{root}/_commits")
-    if not fs.exists(commits):
-        return []
-    names = sorted(s.getPath().getName() for s in fs.listStatus(commits))
-    return [(int(n.split("-", 1)[0]), n.split("-", 1)[1]) for n in names if not n.startswith(".")]
-
-
-def write_snapshot(df: DataFrame, root: str, tag: str = "batch", partition_by: list[str] | None = None) -> int:
-    """Write df as a new version and commit it by an empty marker file.
-
-    The folder being read is never overwritten.  A version counts once its marker exists; an
-    earlier attempt that died left only unreferenced files.
-    """
-    spark = df.sparkSession
-    done = snapshot_versions(spark, root)
-    version = done[-1][0] + 1 if done else 1
-    writer = df.write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(f"{root}/v{version:08d}")
-    fs, Path = _fs(spark, root)
-    fs.create(Path(f"{root}/_commits/{version:08d}-{tag}"), False).close()
-    return version
-
-
-def read_snapshot(spark: SparkSession, root: str, schema: T.StructType | None = None, version: int | None = None):
-    """The newest (or given) committed version; an empty table of `schema` if there is none."""
-    done = snapshot_versions(spark, root)
-    if version is None:
-        if not done:
-            return spark.createDataFrame([], schema) if schema is not None else None
-        version = done[-1][0]
-    reader = spark.read.schema(schema) if schema is not None else spark.read
-    return reader.parquet(f"{root}/v{version:08d}")

@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from cairn.functions.masking import mask_map
 from cairn.operators import maintenance as M
+from cairn.operators import snapshots as P
 from cairn.plans.fixtures import AS_OF
 from cairn.plans.registry import query
+from cairn.schema import ASSETS, as_assets
+from cairn.session import scratch_path
 from cairn.streaming.ingest import snapshot_diff
 
 # The catalog as it stood at the end of 1999, and a later scan of everything made since 1998
@@ -88,28 +91,38 @@ def _(i):
     )
 
 
-@query(
-    "cat3_upsert_assets",
-    f"""with {_STOOD}, {_SCANNED}
+_UPSERTED = f"""with {_STOOD}, {_SCANNED}
         select coalesce(o.fingerprint, n.fingerprint) as fingerprint, coalesce(n.name, o.name) as name,
           coalesce(n.size, o.size) as size,
           {sql_ts("case when o.fingerprint is null then n.created_date else o.created_date end")} as created_date,
           {sql_ts(f"case when o.fingerprint is null then timestamp '{AS_OF}' else o.discovered_date end")} as discovered_date,
           {sql_ts(f"case when n.fingerprint is not null then timestamp '{AS_OF}' else o.last_scanned end")} as last_scanned,
           case when n.fingerprint is not null then true else o.is_active end as is_active
-        from stood o full join scanned n on o.fingerprint = n.fingerprint""",
-    ["catalog"],
-)
+        from stood o full join scanned n on o.fingerprint = n.fingerprint"""
+
+
+def _dated(assets):
+    dates = [ts(c).alias(c) for c in ("created_date", "discovered_date", "last_scanned")]
+    return assets.select("fingerprint", "name", "size", *dates, "is_active")
+
+
+@query("cat3_upsert_assets", _UPSERTED, ["catalog"])
 def _(i):
-    return M.upsert_assets(stood(i), scanned(i), AS_OF).select(
-        "fingerprint",
-        "name",
-        "size",
-        ts("created_date").alias("created_date"),
-        ts("discovered_date").alias("discovered_date"),
-        ts("last_scanned").alias("last_scanned"),
-        "is_active",
-    )
+    return _dated(M.upsert_assets(stood(i), scanned(i), AS_OF))
+
+
+def _stored(i, assets, parts: int = 8) -> str:
+    """The assets as a stored catalog of its own."""
+    root = scratch_path(i.spark, "stored")
+    P.write_snapshot(as_assets(assets), root, parts=parts)
+    return root
+
+
+@query("snk3_part_upsert", _UPSERTED, ["catalog"])
+def _(i):
+    root, batch = _stored(i, stood(i)), as_assets(scanned(i))
+    P.update_snapshot(batch, root, lambda current: M.upsert_assets(current, batch, AS_OF), ASSETS)
+    return _dated(P.read_snapshot(i.spark, root))
 
 
 def _log(df):
@@ -149,37 +162,54 @@ def _(i):
     return _log(M.change_log(stood(i), scanned(i), AS_OF, only_changed=True))
 
 
-_GONE = """gone as (select fingerprint from stood where size > 400000000
+_GONE = """gone as (select fingerprint from catalog where size > 400000000
                   union select md5(cast(user_id as varchar)) from events)"""
 
+_LEFT = f"""with {_GONE}
+        select fingerprint, case when fingerprint in (select fingerprint from gone) then false else is_active end as is_active
+        from catalog"""
+
 
 def _gone(i):
     unknown = i.table("events").select(F.md5(F.col("user_id").cast("string")).alias("fingerprint"))
-    return stood(i).filter("size > 400000000").select("fingerprint").unionAll(unknown)
+    return i.catalog().filter("size > 400000000").select("fingerprint").unionAll(unknown)
 
 
-@query(
-    "cat5_deactivate",
-    f"""with {_STOOD}, {_GONE}
-        select fingerprint, case when fingerprint in (select fingerprint from gone) then false else is_active end as is_active
-        from stood""",
-    ["catalog"],
-)
+@query("cat5_deactivate", _LEFT, ["catalog"])
 def _(i):
-    return M.deactivate(stood(i), _gone(i), AS_OF)[0].select("fingerprint", "is_active")
+    return M.deactivate(i.catalog(), _gone(i), AS_OF)[0].select("fingerprint", "is_active")
 
 
 @query(
     "cat5_deactivate_log",
-    f"""with {_STOOD}, {_GONE}
+    f"""with {_GONE}
         select fingerprint as asset_fingerprint, 'DEACTIVATED' as change_type, '{AS_OF}' as change_date from gone""",
     ["catalog"],
 )
 def _(i):
-    log = M.deactivate(stood(i), _gone(i), AS_OF)[1]
+    log = M.deactivate(i.catalog(), _gone(i), AS_OF)[1]
     return log.select("asset_fingerprint", "change_type", ts("change_date").alias("change_date"))
 
 
+@query("snk3_part_deactivate", _LEFT, ["catalog"])
+def _(i):
+    root, gone = _stored(i, i.catalog()), _gone(i)
+    P.update_snapshot(gone, root, lambda current: M.deactivate(current, gone, AS_OF)[0], ASSETS)
+    P.expire_snapshots(i.spark, root, keep=1)
+    return P.read_snapshot(i.spark, root).select("fingerprint", "is_active")
+
+
+@query(
+    "snk3_find",
+    """select fingerprint, name, size, owner from catalog where fingerprint = (select min(fingerprint) from catalog)""",
+    ["catalog"],
+)
+def _(i):
+    key = i.catalog().agg(F.min("fingerprint")).first()[0]
+    found = P.find_in_snapshot(i.spark, _stored(i, i.catalog()), key)
+    return found.select("fingerprint", "name", "size", F.col("metadata.owner").alias("owner"))
+
+
 @query(
     "cat6_get_by_fingerprint",
     """select fingerprint, name, size from catalog where is_active
@@ -265,18 +295,16 @@ def _(i):
 
 @query(
     "cat11_relationships_named",
-    """select r.id, coalesce(s.n_name, r.source_asset) as source_name, coalesce(t.n_name, r.target_asset) as target_name
-       from relationships r
-       left join (select 'nation:' || n_nationkey as k, n_name from nation) s on s.k = r.source_asset
-       left join (select 'nation:' || n_nationkey as k, n_name from nation) t on t.k = r.target_asset""",
-    ["relationships"],
+    """select r.id, coalesce(s.name, r.source_asset) as source_name, coalesce(t.name, r.target_asset) as target_name
+       from (select id, source_asset, target_asset from asset_rel union all select id, source_asset, target_asset from relationships) r
+       left join catalog s on s.fingerprint = r.source_asset left join catalog t on t.fingerprint = r.target_asset""",
+    ["asset_rel", "relationships"],
 )
 def _(i):
-    nations = i.table("nation").select(
-        F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("fingerprint"),
-        F.col("n_name").alias("name"),
-    )
-    return M.relationships_named(i.projection("relationships"), nations).select("id", "source_name", "target_name")
+    ends = ["id", "source_asset", "target_asset"]
+    unknown = i.projection("relationships").select(ends)  # ends that the catalog does not hold
+    declared = i.asset_relationships().select(ends).unionAll(unknown)
+    return M.relationships_named(declared, i.catalog()).select("id", "source_name", "target_name")
 
 
 @query(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cairn.operators import sinks
+from cairn.operators import sinks, snapshots
 from cairn.plans.fixtures import AS_OF, TABLES, _COLUMNS
 from cairn.plans.maintenance import sql_ts, ts
 from cairn.plans.registry import query
@@ -611,7 +611,7 @@ def _(i):
 def _(i):
     root = _scan_pipeline(i)[0]
     log = stream_history(i.spark, root).select(F.col("asset_fingerprint").alias("fingerprint"), "change_type")
-    assets = sinks.read_snapshot(i.spark, f"{root}/assets").select("fingerprint", "name", "source", "location", "last_scanned")
+    assets = snapshots.read_snapshot(i.spark, f"{root}/assets").select("fingerprint", "name", "source", "location", "last_scanned")
     return assets.join(log, "fingerprint")
 
 
@@ -640,7 +640,7 @@ def _(i):
 )
 def _(i):
     root = scratch_path(i.spark, "snapshots")
-    sinks.write_snapshot(i.catalog().select("fingerprint", "size"), root)
-    first = sinks.read_snapshot(i.spark, root)
-    sinks.write_snapshot(first.withColumn("size", F.col("size") + 1), root)
-    return sinks.read_snapshot(i.spark, root)
+    snapshots.write_snapshot(i.catalog().select("fingerprint", "size"), root)
+    first = snapshots.read_snapshot(i.spark, root)
+    snapshots.write_snapshot(first.withColumn("size", F.col("size") + 1), root)
+    return snapshots.read_snapshot(i.spark, root)

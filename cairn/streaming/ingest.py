@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from cairn.operators.maintenance import change_log, dedupe_batch, upsert_assets, with_fingerprint
-from cairn.operators.sinks import read_snapshot, snapshot_versions, write_snapshot
+from cairn.operators.snapshots import PARTS, has_files, load_manifest, read_snapshot, update_snapshot
 from cairn.schema import ASSETS, HISTORY, as_assets
 from cairn.sources.files import FILE_SCHEMA, file_assets
 
@@ -34,23 +34,34 @@ def stream_files(spark: SparkSession, path: str, glob: str | None = None, per_ba
 
 
 def upsert_batch(
-    batch: DataFrame, batch_id: int, root: str, order_col: str, as_of: Column | None = None, stream: str = "main"
+    batch: DataFrame,
+    batch_id: int,
+    root: str,
+    order_col: str,
+    as_of: Column | None = None,
+    stream: str = "main",
+    parts: int = PARTS,
 ) -> None:
-    """Fold one micro-batch into the catalog snapshot and its history.
+    """Fold one micro-batch into the catalog under `root` and into its history.
 
-    A batch of a stream that is already committed is skipped, so a replay after a failure changes
-    nothing; `stream` tells apart streams whose batch ids start anew.  History goes to a folder of the
-    batch's own, before the commit, and counts once the batch is committed.
+    Only the parts of the catalog that the batch has keys in are read and written (see snapshots).
+    Batch ids of a stream rise; one that the catalog already holds is skipped, so a replay after a failure
+    changes nothing.  History goes to a folder of the batch's own, before the commit, and counts once the
+    batch is committed.
     """
-    spark = batch.sparkSession
-    tag = f"{stream}-{batch_id}"
-    if any(t == tag for _, t in snapshot_versions(spark, f"{root}/assets")):
+    spark, assets = batch.sparkSession, f"{root}/assets"
+    head = load_manifest(spark, assets)
+    if head is not None and batch_id <= head.done.get(stream, -1):
         return
     now = as_of if as_of is not None else F.current_timestamp()
     clean = as_assets(dedupe_batch(with_fingerprint(batch), order_col)).persist()
-    current = read_snapshot(spark, f"{root}/assets", ASSETS)
-    change_log(current, clean, now).write.mode("overwrite").parquet(f"{root}/history/{tag}")
-    write_snapshot(upsert_assets(current, clean, now), f"{root}/assets", tag)
+
+    def change(current: DataFrame) -> DataFrame:
+        log = change_log(current, clean, now)
+        log.write.mode("overwrite").parquet(f"{root}/history/stream={stream}/batch={batch_id}")
+        return upsert_assets(current, clean, now)
+
+    update_snapshot(clean, assets, change, ASSETS, f"{stream}-{batch_id}", {stream: batch_id}, parts)
     clean.unpersist()
 
 
@@ -72,10 +83,13 @@ def stream_upsert(
 
 def stream_history(spark: SparkSession, root: str) -> DataFrame:
     """All change records of committed batches."""
-    tags = [tag for _, tag in snapshot_versions(spark, f"{root}/assets")]
-    if not tags:
+    head = load_manifest(spark, f"{root}/assets")
+    if head is None or not has_files(spark, f"{root}/history"):
         return spark.createDataFrame([], HISTORY)
-    return spark.read.schema(HISTORY).parquet(*(f"{root}/history/{tag}" for tag in tags))
+    where = T.StructType([T.StructField("stream", T.StringType()), T.StructField("batch", T.LongType())])
+    records = spark.read.schema(T.StructType([*HISTORY.fields, *where.fields])).parquet(f"{root}/history")
+    last = F.create_map(*(F.lit(x) for pair in head.done.items() for x in pair)).cast("map<string,bigint>")
+    return records.filter(F.col("batch") <= F.element_at(last, F.col("stream"))).select(HISTORY.names)
 
 
 def stream_discovery_counts(

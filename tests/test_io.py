@@ -7,7 +7,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from cairn.operators import sinks
+from cairn.operators import sinks, snapshots
 from cairn.operators.maintenance import dedupe_batch, upsert_assets, with_fingerprint
 from cairn.schema import ASSETS, as_assets
 from cairn.session import cut_lineage
@@ -164,11 +164,11 @@ def test_scan_survives_a_failing_source(spark, tmp_path):
         rows = {r["connector"]: r for r in scan_catalog(spark, sources, root, AS_OF, ["good", "late", "early", "unknown"], scan_id).collect()}
         assert {k: r["assets"] for k, r in rows.items()} == {"good": 3, "late": 0, "early": 0, "total": 3}
         assert "gone" in rows["late"]["error"] and rows["early"]["error"] == "no route" and rows["good"]["error"] is None
-        assert sinks.read_snapshot(spark, f"{root}/assets").count() == 2
+        assert snapshots.read_snapshot(spark, f"{root}/assets").count() == 2
     assert sorted(r["change_type"] for r in I.stream_history(spark, root).collect()) == ["CREATED"] * 2 + ["UPDATED"] * 2
     nothing = scan_catalog(spark, {"early": fails_early}, root, AS_OF, scan_id=2)
     assert [(r["connector"], r["assets"]) for r in nothing.orderBy("connector").collect()] == [("early", 0), ("total", 0)]
-    assert sinks.read_snapshot(spark, f"{root}/assets").count() == 2
+    assert snapshots.read_snapshot(spark, f"{root}/assets").count() == 2
 
 
 def test_exports(spark, tmp_path):
@@ -190,11 +190,11 @@ def test_lineage_export(spark, tmp_path):
 
 def test_snapshots_never_overwrite(spark, tmp_path):
     root = str(tmp_path / "s")
-    assert sinks.read_snapshot(spark, root, ASSETS).count() == 0
-    sinks.write_snapshot(spark.range(3), root, "one")
-    sinks.write_snapshot(sinks.read_snapshot(spark, root).filter("id > 0"), root, "two")
-    assert sinks.read_snapshot(spark, root).count() == 2 and sinks.read_snapshot(spark, root, version=1).count() == 3
-    assert sinks.snapshot_versions(spark, root) == [(1, "one"), (2, "two")]
+    assert snapshots.read_snapshot(spark, root, ASSETS).count() == 0
+    snapshots.write_snapshot(spark.range(3), root, "one")
+    snapshots.write_snapshot(snapshots.read_snapshot(spark, root).filter("id > 0"), root, "two")
+    assert snapshots.read_snapshot(spark, root).count() == 2 and snapshots.read_snapshot(spark, root, version=1).count() == 3
+    assert snapshots.snapshot_versions(spark, root) == [(1, "one"), (2, "two")]
 
 
 def test_cut_lineage_reads_back(spark):
@@ -248,9 +248,9 @@ def test_stream_upsert_equals_batch_and_replays_nothing(spark, tmp_path):
     assert sorted((r["name"], r["size"], r["created_date"].hour) for r in current.collect()) == state
     log = I.stream_history(spark, root)
     assert sorted(r["change_type"] for r in log.collect()) == ["CREATED", "CREATED", "CREATED", "UPDATED"]
-    before = sinks.snapshot_versions(spark, f"{root}/assets")
+    before = snapshots.snapshot_versions(spark, f"{root}/assets")
     I.upsert_batch(asset_events(spark, parts[1]), 1, root, "seq", now)
-    assert sinks.snapshot_versions(spark, f"{root}/assets") == before
+    assert snapshots.snapshot_versions(spark, f"{root}/assets") == before
     assert I.stream_history(spark, root).count() == 4
 
 
@@ -298,7 +298,7 @@ def test_streams_with_their_own_checkpoints_share_a_root(spark, tmp_path):
     got = I.read_snapshot(spark, f"{root}/assets", ASSETS)
     assert sorted(r["name"] for r in got.collect()) == ["a", "b"]
     assert I.stream_history(spark, root).count() == 2
-    asset_events(spark, [("c", 1, 1)]).write.parquet(f"{root}/history/main-99")  # not committed
+    asset_events(spark, [("c", 1, 1)]).write.parquet(f"{root}/history/stream=main/batch=99")  # not committed
     assert I.stream_history(spark, root).count() == 2
 
 
