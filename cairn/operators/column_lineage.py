@@ -7,7 +7,22 @@ from pyspark.sql import functions as F
 
 from cairn import rules
 from cairn.functions.expr import ColumnLike, col, first_case, has_any, lits, low
-from cairn.operators.lineage import GRAM, grams, is_upstream
+from cairn.operators.lineage import is_upstream
+
+
+#: Names are met by their first so many characters, which stand in any name that holds them.
+GRAM = 3
+
+
+def grams(c: Column) -> Column:
+    """Distinct substrings of one to GRAM characters, and the empty one."""
+    n = F.length(c)
+
+    def of_size(q: int) -> Column:
+        cut = F.transform(F.sequence(F.lit(1), n - q + 1), lambda i: F.substring(c, i, F.lit(q)))
+        return F.when(n >= q, cut).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.concat(F.array(F.lit("")), *[of_size(q) for q in range(1, GRAM + 1)]))
 
 
 def match_confidence(a: ColumnLike, a_type: ColumnLike, b: ColumnLike, b_type: ColumnLike) -> Column:

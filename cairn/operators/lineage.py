@@ -1,8 +1,7 @@
 """Asset lineage as node and edge tables.
 
-Lineage is asked for a set of target assets against the whole catalog.  Scoring never
-keeps more per target than the levels need: a row_number filter lets Spark drop the rest
-inside each scan task before anything is shuffled.
+Lineage is asked for a set of target assets, of any size, against the whole catalog.  Targets are
+scored against classes of assets, and only the members that the levels need come back.
 """
 
 from __future__ import annotations
@@ -15,8 +14,6 @@ from cairn.functions.expr import ColumnLike, col, first_case, has_any, lits, low
 from cairn.session import cut_lineage
 
 PER_LEVEL = 3
-BROADCAST_TARGETS = 512
-GRAM = 3
 
 
 def lineage_id(carried: ColumnLike, source: ColumnLike, location: ColumnLike, name: ColumnLike) -> Column:
@@ -39,12 +36,29 @@ def lineage_assets(assets: DataFrame) -> DataFrame:
 
 
 # --- related assets -----------------------------------------------------------
+#
+# A score is a sum over evidence: the source, the words of the name, the leading segments of a dotted name, and
+# whether a text of the target (a "needle": its name, a segment, its location) stands in a text of the asset.
+# Assets with the same evidence for every target form a class.  Targets meet classes, by equi-joins on
+# evidence, and never the assets themselves: a source with a third of the catalog is as many rows there as
+# it has sorts of names.  Members of a class come back in order of their last scan.
+
+#: Words of 64 bits in the filter that cuts of texts pass before they are joined with needles.
+FILTER_WORDS = 4096
+
+_RELATED = ["target_id", "target_name", "target_type", "id", "name", "type", "source", "last_scanned", "score"]
+
+
+def _dotted(source: str, name: str) -> Column:
+    return F.col(source).contains("bigquery") & F.col(name).contains(".")
+
+
+def _words(name: str) -> Column:
+    return F.filter(lits(rules.LINEAGE_WORDS), lambda w: F.col(name).contains(w))
 
 
 def _target_side(targets: DataFrame) -> DataFrame:
     n = low("name")
-    words = F.filter(lits(rules.LINEAGE_WORDS), lambda w: n.contains(w))
-    pieces = F.when(n.contains("."), F.split(n, r"\.")).otherwise(F.array().cast("array<string>"))
     return targets.select(
         F.col("fingerprint").alias("target_id"),
         F.col("name").alias("target_name"),
@@ -52,8 +66,8 @@ def _target_side(targets: DataFrame) -> DataFrame:
         text("source").alias("t_source"),
         n.alias("t_name"),
         low("location").alias("t_location"),
-        F.array_distinct(F.concat(pieces, words)).alias("t_parts"),
-    )
+        F.when(n.contains("."), F.array_distinct(F.split(n, r"\."))).otherwise(F.array().cast("array<string>")).alias("segments"),
+    ).withColumn("t_words", _words("t_name"))
 
 
 def _asset_side(assets: DataFrame) -> DataFrame:
@@ -68,81 +82,226 @@ def _asset_side(assets: DataFrame) -> DataFrame:
     )
 
 
-def _score() -> Column:
-    t, o = F.col("t_name"), F.col("o_name")
-    first = lambda c: F.substring_index(c, ".", 1)
-    two = lambda c: F.substring_index(c, ".", 2)
-    bigquery = (
-        F.col("t_source").contains("bigquery")
-        & F.col("source").contains("bigquery")
-        & t.contains(".")
-        & o.contains(".")
-    )
-    return (
-        F.when(F.col("source") == F.col("t_source"), 2).otherwise(0)
-        + first_case([(bigquery & (two(t) == two(o)), 3), (bigquery & (first(t) == first(o)), 2)], 0)
-        + F.size(F.filter("t_parts", lambda p: o.contains(p)))
-        + F.when(o.contains(t) | t.contains(o), 2).otherwise(0)
-        + F.when(
-            (F.col("t_location") != "") & (F.col("o_location") != "") & F.col("o_location").contains(F.col("t_location")),
-            1,
-        ).otherwise(0)
+def _needle(kind: str, x: Column) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), x.alias("x"), F.md5(F.concat(F.lit(kind + ":"), x)).alias("needle"))
+
+
+def _own_segments() -> Column:
+    """Segments that count by themselves: words are counted as words, the empty one stands in every name."""
+    return F.array_except("segments", F.concat(lits(rules.LINEAGE_WORDS), F.array(F.lit(""))))
+
+
+def _needles(t: DataFrame) -> DataFrame:
+    """kind, x, needle of every distinct text of the targets that assets are searched for.
+
+    in_name and in_place: x stands in the asset's name or location; around: the asset's name stands in x.
+    """
+    every = F.concat(
+        F.transform(_own_segments(), lambda x: _needle("in_name", x)),
+        F.array(_needle("in_name", F.col("t_name")), _needle("around", F.col("t_name")), _needle("in_place", F.col("t_location"))),
     )
+    return t.select(F.explode(every).alias("n")).select("n.*").filter("x <> ''").distinct()
 
 
-_RELATED = ["target_id", "target_name", "target_type", "id", "name", "type", "source", "last_scanned", "score"]
+def _slot(*keys: str) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(64 * FILTER_WORDS))
+
+
+def _key_filter(df: DataFrame, *keys: str) -> Column:
+    """One value of fixed size, 64 * FILTER_WORDS bits: those that the keys of df fall on are set."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (_slot(*keys) % 64).cast("int"))
+    words = df.groupBy((_slot(*keys) / 64).cast("long").alias("word")).agg(F.bit_or(bit).alias("bits"))
+    by_word = F.map_from_entries(F.collect_list(F.struct("word", "bits")))
+    every = F.sequence(F.lit(0).cast("long"), F.lit(FILTER_WORDS - 1).cast("long"))
+    return words.agg(F.transform(every, lambda w: F.coalesce(F.element_at(by_word, w), F.lit(0).cast("long")))).scalar()
+
+
+def _may_hold(filter_: Column, *keys: str) -> Column:
+    """Whether a row's keys may be among those of the filter; never false for one that is."""
+    word = F.element_at(filter_, (_slot(*keys) / 64).cast("int") + 1)
+    return F.getbit(word, (_slot(*keys) % 64).cast("int")) == 1
+
 
+def _is_mark(at: str) -> Column:
+    return F.expr(f"instr('abcdefghijklmnopqrstuvwxyz0123456789', substring(x, {at}, 1)) = 0")
 
-def grams(c: Column) -> Column:
-    """Distinct substrings of one to GRAM characters, and the empty one."""
-    n = F.length(c)
 
-    def of_size(q: int) -> Column:
-        cut = F.transform(F.sequence(F.lit(1), n - q + 1), lambda i: F.substring(c, i, F.lit(q)))
-        return F.when(n >= q, cut).otherwise(F.array().cast("array<string>"))
+def _cut_out(texts: DataFrame, marked: Column, free: Column) -> DataFrame:
+    """texts (with a column x) once for each place `at` in x and length: those of `marked` from a mark (no letter or digit) on, those of `free` from anywhere."""
+    sizes = F.when(_is_mark("at"), F.array_union(marked, free)).otherwise(free)
+    left = F.length("x") - F.array_min(F.array_union(marked, free)) + 1
+    places = texts.withColumn("at", F.explode(F.when(left > 0, F.sequence(F.lit(1), left))))
+    every = places.withColumn("size", F.explode(sizes))
+    return every.filter(F.col("at") + F.col("size") - 1 <= F.length("x")).withColumn("cut", F.expr("substring(x, at, size)"))
 
-    return F.array_distinct(F.concat(F.array(F.lit("")), *[of_size(q) for q in range(1, GRAM + 1)]))
 
+def _matched(needles: DataFrame, o: DataFrame) -> DataFrame:
+    """o_name, o_location, matched: the needles that an asset's texts hold.
 
-def _evidence_pairs(t: DataFrame, o: DataFrame) -> DataFrame:
-    """Pairs of different sources where a name or name part of one stands in the other's name.
+    A needle is looked for by its part from the first mark on, where that is at least half of it, else by the
+    whole of it: texts are cut at marks (else everywhere) into pieces of the lengths that some needle has,
+    and met by equality.  So one piece of text, however common, brings together what really matches.
+    """
+    keys, n = ["o_name", "o_location"], F.length("x")
+    mark = F.regexp_instr("x", F.lit("[^a-z0-9]"))
+    anchored = needles.withColumn("lead", F.when((mark > 0) & (2 * (n - mark + 1) >= n), mark - 1))
+    sized = anchored.withColumn("size", n - F.coalesce("lead", F.lit(0)))
+    held = sized.filter("kind <> 'around'").select(
+        "kind",
+        F.expr("substring(x, 1 + coalesce(lead, 0))").alias("cut"),
+        F.coalesce("lead", F.lit(0)).alias("lead"),
+        F.col("x").alias("wanted"),
+        "needle",
+    )
 
-    Any pair scoring two or more across sources has such evidence.  If x stands in y, the
-    first characters of x are among the short substrings of y, which makes it an equi-join;
-    the containment itself is tested in the join, so only real evidence is emitted.
+    texts = o.select(*keys).distinct()
+
+    def inside(kind: str, c: str) -> DataFrame:
+        wanted = sized.filter(F.col("kind") == kind)
+        marked = wanted.filter("lead is not null").agg(F.collect_set("size")).scalar()
+        free = wanted.filter("lead is null").agg(F.collect_set("size")).scalar()
+        mine = texts.select(*keys, F.lit(kind).alias("kind"), F.col(c).alias("x")).filter("x <> ''")
+        # nearly all pieces are no needle's: they end here, before the join moves them
+        met = _cut_out(mine, marked, free).filter(_may_hold(_key_filter(held, "kind", "cut"), "kind", "cut"))
+        found = met.join(held, ["kind", "cut"]).filter("at > lead and substring(x, at - lead, length(wanted)) = wanted")
+        return found.select(*keys, "needle")
+
+    # the other way round the texts of the targets are cut, and the name of an asset is one piece
+    lengths = texts.filter("o_name <> ''").agg(F.collect_set(F.length("o_name"))).scalar()
+    around = needles.filter("kind = 'around'").withColumn("at", F.explode(F.sequence(F.lit(1), n)))
+    around = around.withColumn("size", F.explode(lengths)).filter("at + size - 1 <= length(x)")
+    around = around.select(F.expr("substring(x, at, size)").alias("o_name"), "needle").distinct()
+    named = texts.filter(_may_hold(_key_filter(around, "o_name"), "o_name"))
+    found = inside("in_name", "o_name").unionByName(inside("in_place", "o_location"))
+    found = found.unionByName(named.join(around, "o_name").select(*keys, "needle"))
+    return found.groupBy(*keys).agg(F.array_sort(F.collect_set("needle")).alias("matched"))
+
+
+def _classed(t: DataFrame, assets: DataFrame) -> DataFrame:
+    """Assets with their class: equal evidence for every one of the targets, and equal facts about levels.
+
+    Read for the classes and again for their members, so it is written once, with the few columns of an asset
+    that lineage shows; reading `assets` itself takes two narrow scans.
     """
-    head = lambda c: F.substring(c, 1, GRAM)
-    wanted = t.select(
-        "target_id", "t_source", F.explode(F.array_distinct(F.concat("t_parts", F.array("t_name")))).alias("x")
-    ).withColumn("gram", head(F.col("x")))
-    offered = o.select("id", "source", "o_name").withColumn("gram", F.explode(grams(F.col("o_name"))))
-    inside = wanted.join(offered, "gram").filter(
-        (F.col("t_source") != F.col("source")) & F.col("o_name").contains(F.col("x"))
+    o = _asset_side(assets)
+    name, type_ = F.col("o_name"), low("type")
+    evidence = {
+        "words": _words("o_name"),
+        "head": F.when(_dotted("source", "o_name"), F.substring_index(name, ".", 1)),
+        "two": F.when(_dotted("source", "o_name"), F.substring_index(name, ".", 2)),
+        "matched": F.coalesce("matched", F.array().cast("array<string>")),
+        "nameless": name == "",
+    }
+    facts = [
+        *(has_any(name, w) for w in (rules.UPSTREAM_WORDS, rules.DOWNSTREAM_WORDS, rules.MODEL_WORDS)),
+        *(type_.contains(w) for w in ("dataset", "view")),
+        type_ == "bigquery_table",
+        F.length(name),
+    ]
+    joined = o.join(_matched(_needles(t), o), ["o_name", "o_location"], "left").withColumns(evidence)
+    same = F.struct("source", *evidence, *(f.alias(f"f{k}") for k, f in enumerate(facts)))
+    shown = ["id", "name", "type", "source", "last_scanned", *evidence]
+    return cut_lineage(joined.withColumn("class", F.md5(F.to_json(same))).select(*shown, "class"))
+
+
+def _scored_classes(t: DataFrame, classed: DataFrame) -> DataFrame:
+    """target_id, class, score of every class that scores two or more: one equi-join on pieces of evidence."""
+    key = lambda kind, c: F.concat(F.lit(f"{kind}:"), c)
+    each = lambda kind, c: F.transform(c, lambda x: key(kind, x))
+    classes = classed.groupBy("class").agg(
+        *(F.first(c).alias(c) for c in ("source", "words", "head", "two", "matched", "nameless"))
+    )
+    shown = F.concat(
+        F.array(key("source", F.col("source")), F.lit("any:"), F.when(F.col("nameless"), F.lit("nameless:"))),
+        each("word", F.col("words")),
+        F.array(key("head", F.col("head")), key("two", F.col("two"))),
+        each("needle", F.col("matched")),
     )
-    held = t.select("target_id", "t_source", "t_name").withColumn("gram", F.explode(grams(F.col("t_name"))))
-    short = o.select("id", "source", "o_name", head(F.col("o_name")).alias("gram"))
-    around = held.join(short, "gram").filter(
-        (F.col("t_source") != F.col("source")) & F.col("t_name").contains(F.col("o_name"))
+    shown = classes.select("class", F.explode(F.array_compact(shown)).alias("key"))
+    dotted = _dotted("t_source", "t_name")
+    worth = lambda k, points, named=False: F.struct(
+        k.alias("key"), F.lit(points).alias("points"), F.lit(named).alias("named")
+    )
+    needle = lambda kind, c: key("needle", _needle(kind, c)["needle"])
+    n = F.col("t_name")
+    asked = F.concat(
+        F.array(
+            worth(key("source", F.col("t_source")), 2),
+            worth(F.when(dotted, key("head", F.substring_index(n, ".", 1))), 2),
+            worth(F.when(dotted, key("two", F.substring_index(n, ".", 2))), 1),
+            worth(F.when(n != "", needle("in_name", n)), 0, True),
+            worth(F.when(n != "", needle("around", n)), 0, True),
+            worth(F.when(n == "", F.lit("any:")).otherwise("nameless:"), 0, True),
+            worth(F.when(F.col("t_location") != "", needle("in_place", F.col("t_location"))), 1),
+        ),
+        F.transform("t_words", lambda w: worth(key("word", w), 1)),
+        F.transform(_own_segments(), lambda x: worth(needle("in_name", x), 1)),
+    )
+    bonus = F.array_contains("segments", "").cast("int")  # an empty segment stands in every name
+    asked = t.select("target_id", bonus.alias("bonus"), F.explode(asked).alias("e")).select("target_id", "bonus", "e.*")
+    score = F.max("bonus") + F.sum("points") + 2 * F.max(F.col("named").cast("int"))
+    return (
+        asked.filter("key is not null")
+        .join(shown, "key")
+        .groupBy("target_id", "class")
+        .agg(score.cast("int").alias("score"))
+        .filter("score >= 2")
+    )
+
+
+def related_assets(targets: DataFrame, assets: DataFrame) -> DataFrame:
+    """Assets scoring two or more against a target: every pair, so as many rows as a source has assets.
+
+    For the few that levels need, leading_assets does not list the pairs.
+    """
+    t = cut_lineage(_target_side(targets))
+    classed = _classed(t, assets)
+    named = t.select("target_id", "target_name", "target_type")
+    return (
+        _scored_classes(t, classed)
+        .join(named, "target_id")
+        .join(classed, "class")
+        .filter("id <> target_id")
+        .select(*_RELATED)
     )
-    return inside.select("target_id", "id").unionByName(around.select("target_id", "id")).distinct()
 
 
-def related_assets(targets: DataFrame, assets: DataFrame, broadcast_targets: int = BROADCAST_TARGETS) -> DataFrame:
-    """Assets scoring two or more against a target.
+def leading_assets(targets: DataFrame, assets: DataFrame, direction: str = "both", depth: int = 3) -> DataFrame:
+    """The related assets that lineage_levels needs, in one plan for any number of targets.
 
-    Up to `broadcast_targets` targets (counted first) each scan task scores its own assets
-    against the broadcast targets and nothing is shuffled.  Beyond that pairs are found by
-    equi-joins: on the source, and across sources on shared name evidence.
+    Of each class only the newest members can stand at a level, and for each target only the leading
+    classes: one more of each than there are places, since the target may be among them.
     """
-    t, o = _target_side(targets), _asset_side(assets)
-    few = targets.limit(broadcast_targets + 1).count() <= broadcast_targets
-    if few:
-        pairs = o.join(F.broadcast(t), (F.col("id") != F.col("target_id")) & (_score() >= 2))
-    else:
-        same = t.join(o, F.col("t_source") == F.col("source"))
-        cross = _evidence_pairs(t, o).join(t, "target_id").join(o, "id")
-        pairs = same.unionByName(cross.select(same.columns)).filter(F.col("id") != F.col("target_id"))
-    return pairs.withColumn("score", _score()).filter("score >= 2").select(*_RELATED)
+    places = PER_LEVEL * depth + 1
+    t = cut_lineage(_target_side(targets))
+    classed = _classed(t, assets)
+    newest = F.row_number().over(Window.partitionBy("class").orderBy(F.desc("last_scanned"), "id"))
+    member = F.struct("rn", "id", "name", "type", "source", "last_scanned")
+    members = (
+        classed.withColumn("rn", newest)
+        .filter(F.col("rn") <= places)
+        .groupBy("class")
+        .agg(F.array_sort(F.collect_list(member)).alias("members"))
+    )
+    first = F.col("members")[0]
+    shown = ["target_id", "target_name", "target_type", "class", "score"]
+    classes = (
+        _scored_classes(t, classed)
+        .join(t.select("target_id", "target_name", "target_type"), "target_id")
+        .join(members, "class")
+        .withColumns({"name": first["name"], "type": first["type"], "last_scanned": first["last_scanned"], "id": first["id"]})
+    )
+    order = Window.partitionBy("target_id", "direction", "q").orderBy(F.desc("score"), F.desc("last_scanned"), "id")
+    return (
+        classes.withColumn("v", F.explode(_votes(direction)))
+        .select(*shown, "members", "last_scanned", "id", "v.direction", "v.q")
+        .withColumn("place", F.row_number().over(order))
+        .filter(F.col("place") <= places)
+        .select(*shown, F.explode("members").alias("m"))
+        .select("target_id", "target_name", "target_type", "m.id", "m.name", "m.type", "m.source", "m.last_scanned", "score")
+        .filter("id <> target_id")
+        .distinct()
+    )
 
 
 # --- levels -------------------------------------------------------------------
@@ -170,17 +329,12 @@ def _eligible() -> dict[str, tuple[Column, Column]]:
     }
 
 
-def lineage_levels(related: DataFrame, direction: str = "both", depth: int = 3) -> DataFrame:
-    """Related assets with direction and level (negative upstream), in one pass over `related`.
-
-    Greedy levels in closed form: level 1 takes the first three standing or near assets, each
-    further level the next three standing ones.  At most 3 * depth rows per target, direction
-    and kind can matter; the row_number filter drops the others before the shuffle.
-    """
+def _votes(direction: str) -> Column:
+    """The directions that a related asset may stand in, and whether at any level or only near."""
     sides = {d: e for d, e in _eligible().items() if direction in ("both", d)}
     if not sides:
         raise ValueError("direction is one of both, upstream, downstream")
-    votes = F.array_compact(
+    return F.array_compact(
         F.array(
             *[
                 F.when(standing | near, F.struct(F.lit(d).alias("direction"), standing.alias("q")))
@@ -188,9 +342,18 @@ def lineage_levels(related: DataFrame, direction: str = "both", depth: int = 3)
             ]
         )
     )
+
+
+def lineage_levels(related: DataFrame, direction: str = "both", depth: int = 3) -> DataFrame:
+    """Related assets with direction and level (negative upstream), in one pass over `related`.
+
+    Greedy levels in closed form: level 1 takes the first three standing or near assets, each
+    further level the next three standing ones.  At most 3 * depth rows per target, direction
+    and kind can matter; the row_number filter drops the others before the shuffle.
+    """
     order = [F.desc("score"), F.desc("last_scanned"), F.asc("id")]
     kept = (
-        related.withColumn("v", F.explode(votes))
+        related.withColumn("v", F.explode(_votes(direction)))
         .select(*_RELATED, "v.direction", "v.q")
         .withColumn("rn", F.row_number().over(Window.partitionBy("target_id", "direction", "q").orderBy(*order)))
         .filter(F.col("rn") <= PER_LEVEL * depth)
@@ -255,8 +418,7 @@ def merge_custom(
     nodes: DataFrame, edges: DataFrame, targets: DataFrame, assets: DataFrame, rel: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
     """Add declared relationships, one hop, to a graph; a node already present is not added again."""
-    # read for nodes and for edges: the joins run once
-    declared = cut_lineage(custom_edges(targets, assets, rel))
+    declared = custom_edges(targets, assets, rel)
     level = F.when(F.col("direction") == "upstream", -1).otherwise(1)
     fresh = (
         declared.filter(F.col("id") != F.col("target_id"))
@@ -288,12 +450,10 @@ def lineage_graph(
 ) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of the targets: guessed levels plus declared relationships.
 
-    Guessed nodes of any level are linked straight to the target.  The pass over the catalog
-    runs once, here: its result, a few rows per target, is kept in the shared checkpoint
-    folder and read for the nodes and for the edges.
+    Guessed nodes of any level are linked straight to the target.  The levels, a few rows per target, are
+    read for the nodes and for the edges and written once.
     """
-    targets = cut_lineage(targets)
-    levels = cut_lineage(lineage_levels(related_assets(targets, assets), direction, depth))
+    levels = cut_lineage(lineage_levels(leading_assets(targets, assets, direction, depth), direction, depth))
     shape = ["target_id", "id", "name", "type", "source", "level", "direction", "custom"]
     own = targets.select(
         F.col("fingerprint").alias("target_id"),

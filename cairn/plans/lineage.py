@@ -117,7 +117,9 @@ def _(i):
     ["targets"],
 )
 def _(i):
-    return L.related_assets(i.targets(), i.catalog(), broadcast_targets=0).select("target_id", "id", "score")
+    # targets that come as keys only
+    targets = i.catalog().join(i.targets().select("fingerprint"), "fingerprint", "left_semi")
+    return L.related_assets(targets, i.catalog()).select("target_id", "id", "score")
 
 
 @query(
@@ -126,7 +128,7 @@ def _(i):
     ["targets"],
 )
 def _(i):
-    return L.upstream_levels(L.related_assets(i.targets(), i.catalog())).select("target_id", "id", "score", "level")
+    return L.upstream_levels(L.leading_assets(i.targets(), i.catalog(), "upstream")).select("target_id", "id", "score", "level")
 
 
 @query(
@@ -135,7 +137,7 @@ def _(i):
     ["targets"],
 )
 def _(i):
-    return L.downstream_levels(L.related_assets(i.targets(), i.catalog())).select("target_id", "id", "score", "level")
+    return L.downstream_levels(L.leading_assets(i.targets(), i.catalog(), "downstream")).select("target_id", "id", "score", "level")
 
 
 @query(

@@ -523,7 +523,7 @@ def _(i):
 @query(
     "src16_ftp_list_lines",
     f"""with {_LINES} select 'my ' || file_id || '.csv' as name, 'ftp_csv_file' as type, 'ftp://h/in/my ' || file_id || '.csv' as location, size
-        from lines where kind = '-' and size <= 1000 * 1048576""",
+        from lines where kind = '-'""",
     ["files"],
 )
 def _(i):
@@ -544,7 +544,7 @@ def _(i):
 @query(
     "src16_network_files",
     r"""select regexp_extract(key, '([^/]*)$', 1) as name, 'sftp://h/' || key as location, size from files
-        where regexp_matches(lower(key), '(\.csv|\.json)$') and size <= 1048576000""",
+        where regexp_matches(lower(key), '(\.csv|\.json)$')""",
     ["files"],
 )
 def _(i):

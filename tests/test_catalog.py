@@ -160,7 +160,7 @@ def many(spark):
     return make(spark, random_assets(random.Random(5), 90)).cache()
 
 
-def test_related_assets_both_ways(spark, many):
+def test_related_assets_equal_brute_force(spark, many):
     rows = [r.asDict() for r in many.collect()]
     want = {
         (t["fingerprint"], o["fingerprint"], brute_score(t, o))
@@ -168,9 +168,8 @@ def test_related_assets_both_ways(spark, many):
         for o in rows
         if t["fingerprint"] != o["fingerprint"] and brute_score(t, o) >= 2
     }
-    for bound in (512, 0):
-        got = L.related_assets(many, many, broadcast_targets=bound).select("target_id", "id", "score").collect()
-        assert len(got) == len(want) and {tuple(r) for r in got} == want
+    got = L.related_assets(many, many).select("target_id", "id", "score").collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
 def greedy(target, related, upstream, depth):
@@ -212,9 +211,12 @@ def test_levels_equal_the_greedy_walk(spark, many, depth):
     rows = [r.asDict() for r in related.collect()]
     targets = {r["fingerprint"]: r.asDict() for r in many.collect()}
     for upstream, fn in ((True, L.upstream_levels), (False, L.downstream_levels)):
+        found = sorted(tuple(r) for r in fn(related, depth).select("target_id", "id", "level", "score").collect())
+        leading = L.leading_assets(many, many, "upstream" if upstream else "downstream", depth)
+        assert sorted(tuple(r) for r in fn(leading, depth).select("target_id", "id", "level", "score").collect()) == found
         got = {}
-        for r in fn(related, depth).collect():
-            got.setdefault(r["target_id"], {})[r["id"]] = r["level"]
+        for target_id, other, level, _ in found:
+            got.setdefault(target_id, {})[other] = level
         for tid, t in targets.items():
             mine = sorted(
                 (r for r in rows if r["target_id"] == tid),
@@ -223,6 +225,35 @@ def test_levels_equal_the_greedy_walk(spark, many, depth):
             assert got.get(tid, {}) == greedy(t, mine, upstream, depth)
 
 
+def test_levels_of_a_thousand_targets_on_a_hot_source(spark):
+    word = ["raw_customer", "agg_order", "mart_customer", "base_user", "report_order", "dim_product", "misc"]
+    rows = spark.range(2000).select(
+        F.concat(F.element_at(F.array(*map(F.lit, word)), (F.col("id") % 7 + 1).cast("int")), F.lit("_"), F.col("id").cast("string")).alias("name"),
+        F.when(F.col("id") % 3 == 0, "mysql_view").otherwise("mysql_table").alias("type"),
+        F.when(F.col("id") % 10 == 9, "other").otherwise("hot").alias("source"),
+        F.concat(F.lit("/w/"), (F.col("id") % 50).cast("string")).alias("location"),
+        F.lit(1).alias("size"),
+        F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") % 90 * 86400).alias("last_scanned"),
+    )
+    assets = as_assets(M.with_fingerprint(rows))
+    targets = assets.filter("cast(regexp_extract(name, '[0-9]+$', 0) as int) < 1000")
+    leading = L.leading_assets(targets, assets)
+    levels = L.lineage_levels(leading)
+    plan = levels._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+    got = {}
+    for r in levels.select("target_id", "direction", "id", "level").collect():
+        got.setdefault((r["target_id"], r["direction"]), {})[r["id"]] = r["level"]
+    assert len({t for t, _ in got}) == 1000
+    every = [r.asDict() for r in assets.collect()]
+    for t in [r for r in every if r["name"].endswith(("_7", "_501", "_994", "_999"))][:6]:
+        related = [{**o, "id": o["fingerprint"], "score": brute_score(t, o)} for o in every if o["fingerprint"] != t["fingerprint"]]
+        related = sorted((o for o in related if o["score"] >= 2), key=lambda o: (-o["score"], -o["last_scanned"].timestamp(), o["id"]))
+        for upstream in (True, False) if int(t["name"].rsplit("_", 1)[1]) < 1000 else ():
+            side = "upstream" if upstream else "downstream"
+            assert got.get((t["fingerprint"], side), {}) == greedy(t, related, upstream, 3)
+
+
 def brute_confidence(a, a_type, b, b_type):
     """The matching rule, restated plainly."""
     x, y = (a or "").lower(), (b or "").lower()
