@@ -11,8 +11,6 @@ from cairn.llm.common import cut
 
 DEGREE, BEAM, ALPHA, SHARD_ROWS = 24, 64, 1.2, 2048
 BATCH = 256
-#: Shards grow in rows with the input beyond so many of them, as long as the vectors of one fit SHARD_BYTES.
-SHARDS, SHARD_BYTES = 256, 128 << 20
 #: Queries that meet a shard in one task: at most so many expected, in so many bytes.
 BLOCK_ROWS, BLOCK_BYTES = 1 << 18, 64 << 20
 
@@ -112,10 +110,13 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: fl
     return links, entry
 
 
-def shard_count(points: int, dims: int, shard_rows: int = SHARD_ROWS) -> int:
-    """The number of shards for so many vectors of `dims` floats."""
-    rows = max(shard_rows, min(-(-points // SHARDS), SHARD_BYTES // (4 * max(1, dims))))
-    return max(1, -(-points // rows))
+def shard_count(points: int, shard_rows: int = SHARD_ROWS) -> int:
+    """The number of shards for so many vectors.
+
+    Shards have the same size at every size of the input, since the share of neighbours that a beam finds
+    falls as its graph grows: the work of a query grows with the number of shards instead.
+    """
+    return max(1, -(-points // shard_rows))
 
 
 def block_count(queries: int, dims: int, block_rows: int = BLOCK_ROWS) -> int:
@@ -161,8 +162,7 @@ def build_index(rows: DataFrame, copies: int, shard_rows: int = SHARD_ROWS) -> D
         .groupBy("embedding")
         .agg(F.array_sort(F.collect_list("vec_id")).alias("vec_ids"))
     )
-    many, dims = points.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
-    shards = shard_count(many, dims or 1, shard_rows)
+    shards = shard_count(points.count(), shard_rows)
 
     def build(shard: pa.Table) -> pa.Table:
         x = _matrix(shard.column("embedding"), np.float32)
