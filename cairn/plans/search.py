@@ -288,33 +288,49 @@ def _short(c):
     return F.when(F.col("column_type") == "timestamp_ntz", F.substring(c, 1, 19)).otherwise(F.col(c))
 
 
-@query(
-    "agg8_profile_events_exact",
-    _profile_sql(
-        "events",
-        [
-            ("event_id", "bigint"),
-            ("ts", "timestamp_ntz"),
-            ("user_id", "bigint"),
-            ("event_type", "string"),
-            ("value", "double"),
-            ("props", "string"),
-        ],
-    ),
-)
+_EVENTS = [
+    ("event_id", "bigint"),
+    ("ts", "timestamp_ntz"),
+    ("user_id", "bigint"),
+    ("event_type", "string"),
+    ("value", "double"),
+    ("props", "string"),
+]
+_LINEITEM = [
+    ("l_orderkey", "bigint"),
+    ("l_partkey", "bigint"),
+    ("l_suppkey", "bigint"),
+    ("l_linenumber", "int"),
+    ("l_quantity", "double"),
+    ("l_extendedprice", "double"),
+    ("l_discount", "double"),
+    ("l_tax", "double"),
+    ("l_returnflag", "string"),
+    ("l_linestatus", "string"),
+    ("l_shipdate", "timestamp_ntz"),
+]
+
+
+def _shown(profile):
+    return profile.withColumns({"min_value": _short("min_value"), "max_value": _short("max_value")})
+
+
+@query("agg8_profile_events_exact", _profile_sql("events", _EVENTS))
 def _(i):
-    return A.profile_table(i.table("events"), exact=True).withColumns(
-        {"min_value": _short("min_value"), "max_value": _short("max_value")}
-    )
+    return _shown(A.profile_table(i.table("events"), exact=True))
 
 
-@query(
-    "agg8_profile_lineitem",
-    """select 'l_orderkey' as column_name, count(*) as row_count, cast(0 as bigint) as nulls,
-         cast(min(l_orderkey) as varchar) as min_value, cast(max(l_orderkey) as varchar) as max_value from lineitem
-       union all select 'l_returnflag', count(*), 0, min(l_returnflag), max(l_returnflag) from lineitem
-       union all select 'l_linenumber', count(*), 0, cast(min(l_linenumber) as varchar), cast(max(l_linenumber) as varchar) from lineitem""",
-)
+@query("agg8_profile_lineitem", f"select * exclude (distinct_values) from ({_profile_sql('lineitem', _LINEITEM)})")
+def _(i):
+    return _shown(A.profile_table(i.table("lineitem"))).drop("distinct_values")
+
+
+@query("agg8_profile_merged", f"select * exclude (distinct_values), true as near from ({_profile_sql('events', _EVENTS)})")
 def _(i):
-    cols = i.table("lineitem").select("l_orderkey", "l_returnflag", "l_linenumber")
-    return A.profile_table(cols).select("column_name", "row_count", "nulls", "min_value", "max_value")
+    # a sketch of every day, as if kept when the day's file came, and all of them merged
+    events = i.table("events")
+    days = A.profile_sketches(events.withColumn("day", F.to_date("ts")), "day")
+    merged = _shown(A.merge_profiles(days, events.schema))
+    exact = A.profile_table(events, exact=True).select("ordinal", F.col("distinct_values").alias("n"))
+    near = F.abs(F.col("distinct_values") - F.col("n")) <= F.col("n") * 0.08
+    return merged.join(exact, "ordinal").withColumn("near", near).drop("distinct_values", "n")

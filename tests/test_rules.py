@@ -12,7 +12,7 @@ from cairn.operators import governance as G
 from cairn.operators import quality as DQ
 from cairn.operators.enrichment import extract_metadata
 from cairn.operators.pii import with_pii_summary
-from cairn.operators.stats import profile_table
+from cairn.operators.stats import merge_profiles, profile_sketches, profile_table
 from cairn.schema import ASSETS, COLUMN, as_assets
 
 MIB = 1024 * 1024
@@ -217,3 +217,25 @@ def test_extract_metadata(spark):
     types = {r["fingerprint"]: [tuple(t) for t in r["field_types"]] for r in DQ.schema_analysis(assets).collect()}
     assert types == {"f1": [("string", 2), ("unknown", 1)], "f2": [], "f3": []}
     assert "pii_detection" not in extract_metadata(assets, "2024-01-10 00:00:00", detect_pii=False).columns
+
+
+def test_profiles_of_old_and_new_rows_merge_to_that_of_all(spark, tmp_path):
+    rows = spark.range(30_000).select(
+        "id",
+        (F.col("id") % 1000).cast("string").alias("text"),
+        F.when(F.col("id") % 3 > 0, F.col("id") % 7 - 3.5).alias("number"),
+        F.array(F.col("id") % 2).alias("list"),
+        F.lit(None).cast("date").alias("nothing"),
+        (F.col("id") % 4).alias("file"),
+    )
+    shape = rows.drop("file").schema
+    profile_sketches(rows.filter("file < 3"), "file").write.parquet(str(tmp_path / "kept"))
+    kept = spark.read.parquet(str(tmp_path / "kept"))
+    merged = merge_profiles(kept.unionByName(profile_sketches(rows.filter("file = 3"), "file")), shape).orderBy("ordinal").collect()
+    exact = profile_table(rows.drop("file"), exact=True).orderBy("ordinal").collect()
+    for got, want in zip(merged, exact, strict=True):
+        got, want = got.asDict(), want.asDict()
+        assert abs(got.pop("distinct_values") - want["distinct_values"]) <= 0.05 * want.pop("distinct_values")
+        assert got == want
+    none = merge_profiles(profile_sketches(rows.filter("false"), "file"), shape).collect()
+    assert [(r["row_count"], r["distinct_values"], r["min_value"]) for r in none] == [(0, 0, None)] * 5
