@@ -502,12 +502,18 @@ def _(i):
 @query(
     "snk2_lineage_bundle",
     f"""with {GRAPH}, {ALL_COLUMN_EDGES}
-        select target_id, 'node' as kind, count(*) as n from nodes group by 1
-        union all select target_id, 'edge', count(*) from edges group by 1
-        union all select target_id, 'column', count(*) from cedges group by 1""",
+        select target_id, 'node' as kind, id as a, name as b, cast(level as varchar) as c from nodes
+        union all select target_id, 'edge', source_id, sink_id, relationship from edges
+        union all select target_id, 'column', cast(ordinal as varchar), other_id, other_column from cedges""",
     _NEEDS,
 )
 def _(i):
     nodes, edges = graph(i)
     bundle = sinks.lineage_bundle(nodes, edges, CL.column_edges(i.targets(), i.catalog()))
-    return bundle.groupBy("target_id", "kind").agg(F.count("body").alias("n"))
+    fields = {"node": ("id", "name", "level"), "edge": ("source_id", "sink_id", "relationship")}
+    fields["column"] = ("ordinal", "other_id", "other_column")
+
+    def field(k: int):
+        return F.coalesce(*(F.when(F.col("kind") == kind, F.get_json_object("body", f"$.{f[k]}")) for kind, f in fields.items()))
+
+    return bundle.select("target_id", "kind", *(field(k).alias(n) for k, n in enumerate("abc")))
