@@ -9,7 +9,10 @@ from cairn.llm.common import cut, importable, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the weak-label classifier, fitted on all of them, keeps."""
+    """The documents that the weak-label classifier, fitted on all of them, keeps.
+
+    A null text counts as an empty one; equal rows are judged alike; an empty table stays empty.
+    """
     importable(spark)
     return quality.keep_good(docs, quality.fit(docs))
 
@@ -21,13 +24,19 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data in their texts masked."""
+    """All documents, personal data in their texts masked.
+
+    Every row stays, also those without a text or an id, and every other column as it was.
+    """
     importable(spark)
     return pii_crf.mask(docs, pii_crf.fit(docs))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in sequences."""
+    """The pieces of all documents with their places in sequences.
+
+    A null or empty text is one piece, its end token; each of several equal rows has pieces of its own.
+    """
     importable(spark)
     return packing.pack_documents(docs, size=1024)
 
