@@ -14,6 +14,7 @@ from cairn.sources import files as S
 from cairn.sources import listings as N
 from cairn.sources import objects as O
 from cairn.sources.scan import scan_catalog
+from cairn.sources.tree import tree_files
 from cairn.streaming.ingest import stream_history
 
 # --- files ---------------------------------------------------------------------------
@@ -40,6 +41,20 @@ def _(i):
     ).agg(F.bool_and(F.col("size") > 0).alias("sized"))
 
 
+@query("src1_list_tree", "select event_type as folder, count(*) as num_rows, true as same_sizes, true as once from events group by event_type")
+def _(i):
+    # every file that footers are read from is listed once with its size, and nothing else is
+    path = event_files(i, "tree")
+    listed = tree_files(i.spark, path, exts=["parquet"]).withColumn("times", F.lit(1))
+    held = S.profile_parquet(i.spark, path).select(F.regexp_replace("location", "^file:/+", "file:/").alias("at"), "num_rows", F.col("size").alias("bytes"))
+    both = listed.join(held, F.col("location") == F.col("at"), "full_outer")
+    return both.groupBy(F.regexp_extract(F.coalesce("location", "at"), "event_type=([a-z]+)/", 1).alias("folder")).agg(
+        F.sum("num_rows").alias("num_rows"),
+        F.bool_and(F.coalesce(F.col("size") == F.col("bytes"), F.lit(False))).alias("same_sizes"),
+        (F.sum("times") == F.count_distinct("location")).alias("once"),
+    )
+
+
 def _located(i):
     return i.projection("files").select("file_id", F.concat(F.lit("/lake/"), "key").alias("location"), "size")
 

@@ -9,7 +9,9 @@ from cairn.plans.maintenance import ts
 from cairn.plans.registry import query
 from cairn.plans.sources import event_files
 from cairn.session import scratch_path
+from cairn.sources import files as S
 from cairn.streaming import ingest as I
+from cairn.streaming import seen
 
 
 def event_stream(i):
@@ -60,6 +62,28 @@ def _(i):
     )
 
 
+@query(
+    "str1_discover",
+    """select event_type as folder, case when event_type in ('click', 'view') then 0 else 1 end as look, count(*) as num_rows, true as once
+       from events group by event_type""",
+)
+def _(i):
+    # a folder that grows: two kinds of events, then the others, then nothing new
+    path, root = scratch_path(i.spark, "growing"), scratch_path(i.spark, "looks")
+    first = F.col("event_type").isin("click", "view")
+    for part in (first, ~F.coalesce(first, F.lit(False)), None):
+        if part is not None:
+            i.table("events").filter(part).write.mode("append").partitionBy("event_type").option("maxRecordsPerFile", 500).parquet(path)
+        seen.discover(i.spark, path, root, exts=["parquet"])
+    held = S.profile_parquet(i.spark, path).select(F.regexp_replace("location", "^file:/+", "file:/").alias("location"), "num_rows")
+    return (
+        seen.discovered(i.spark, root)
+        .join(held, "location", "full_outer")
+        .groupBy(F.regexp_extract("location", "event_type=([a-z]+)/", 1).alias("folder"), F.col("batch").alias("look"))
+        .agg(F.sum("num_rows").alias("num_rows"), (F.count("*") == F.count_distinct("location")).alias("once"))
+    )
+
+
 def _as_asset_rows(events):
     return events.select(
         F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("name"),
@@ -120,3 +144,18 @@ def _(i):
 def _(i):
     seen = I.stream_new_assets(_changes(event_stream(i))).select("asset_fingerprint")
     return drained(i, seen, "new")
+
+
+@query(
+    "str4_first_seen",
+    "select asset_fingerprint, count(distinct asset_fingerprint) as times from changes group by asset_fingerprint",
+    ["changes"],
+)
+def _(i):
+    # many small batches: each asset is told once, in whichever of them it comes first
+    root, schema = scratch_path(i.spark, "seen"), i.table("events").schema
+    files = i.spark.readStream.schema(schema).option("maxFilesPerTrigger", 3).parquet(event_files(i, "seen_events"))
+    changes = _changes(files)
+    seen.stream_first_seen(changes, root, ["asset_fingerprint"], ["change_date", "event_id"]).awaitTermination()
+    rows = seen.first_seen(i.spark, root, changes.select("asset_fingerprint", "event_id", "change_type", "change_date").schema)
+    return rows.groupBy("asset_fingerprint").agg(F.count("*").alias("times"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,6 +36,14 @@ def local_session(
     return spark
 
 
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers find this package where it stands at one path on every machine; else use --py-files."""
+    home, environment = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if home not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([home, *paths])
+
+
 def shared_root(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir.
 
