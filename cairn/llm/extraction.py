@@ -34,11 +34,23 @@ FURNITURE = frozenset(
     "overlay pagination paywall popup promo promotion recommended related remark replies respond rss share sharing "
     "sidebar signin signup social sponsor sponsored subscribe subscription tags teaser toolbar widget".split()
 )
+#: Of these, words that mark a class whatever follows them in it.
+STRONG = frozenset(
+    "ad ads advert adverts advertisement advertising breadcrumb breadcrumbs comment comments commentlist consent cookie "
+    "cookies disqus gdpr masthead modal nav navbar newsletter pagination paywall popup promo promotion respond sidebar "
+    "sponsor sponsored subscribe subscription toolbar".split()
+)
+#: Words that say nothing of their own beside those of furniture.
+NEUTRAL = frozenset(
+    "area articles bar block body bottom box btn button buttons card container content entries form group holder icon "
+    "icons inner item items left link links list main module outer page panel posts region right row section site slot "
+    "stories text top unit wrap wrapper zone".split()
+)
 #: Words that make a class of "header" the head of a text.
 TEXTUAL = frozenset("article content entry post story".split())
 SAFE = frozenset("html body article main".split())
 #: What an element is by its tag and attributes, and what marks of furniture leave of the points inside it.
-PLAIN, MARKED, BESIDE, NO_TEXT, LOWERED = 0, 1, 2, 3, 0.25
+PLAIN, MARKED, BESIDE, NO_TEXT, HINTED, LOWERED = 0, 1, 2, 3, 4, 0.25
 #: An article outside is one with so many characters, or a fifth of the text of the element in question.
 ARTICLE_CHARS = 140
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -69,7 +81,7 @@ class _Tree:
     """Elements in page order (a parent before its children), their texts, and what they are."""
 
     def __init__(self, page: str):
-        self.tag, self.parent, self.kind = ["html"], [-1], [PLAIN]
+        self.tag, self.parent, self.kind, self.classes = ["html"], [-1], [PLAIN], [frozenset()]
         self.events: list[tuple[int, str | None]] = []  # (element, text) or (element, None) at its start and end
         self._read(page)
 
@@ -119,6 +131,7 @@ class _Tree:
                 self.parent.append(stack[-1])
                 inside = bool(open_tags.get("article") or open_tags.get("main"))
                 self.kind.append(_kind(name, m["attrs"], inside))
+                self.classes.append(_classes(m["attrs"]))
                 if name in RAW:
                     found = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, at)
                     at = found.start() if found else end
@@ -150,21 +163,36 @@ def _kind(name: str, attrs: str, inside: bool) -> int:
             return BESIDE
         if key == "role" and value.lower() in ROLES:
             return BESIDE
-        if key in ("class", "id") and any(_marks(x, inside) for x in value.split()):
-            kind = MARKED
+        if key == "class" or (key == "id" and name not in HEADINGS):
+            # ids of sections, and of anything in an article, are often slugs of headings
+            slug = key == "id" and (inside or name == "section")
+            for found in (_marks(x, inside, slug) for x in value.split()):
+                kind = found if kind == PLAIN or found == MARKED else kind
     return kind
 
 
-def _marks(value: str, inside: bool) -> bool:
-    words = set(_WORD.findall(_CAMEL.sub(" ", value).lower()))
-    found = words & FURNITURE
-    return bool(found) and not (found == {"header"} and (inside or words & TEXTUAL))
+def _marks(value: str, inside: bool, slug: bool) -> int:
+    """What a class or id says: furniture, something that has a word of it in its name, or nothing."""
+    words = _WORD.findall(_CAMEL.sub(" ", value).lower())
+    found = FURNITURE.intersection(words)
+    if not found or (found == {"header"} and (inside or TEXTUAL.intersection(words))):
+        return PLAIN
+    if all(w in FURNITURE or w in NEUTRAL for w in words) or (words[0] in STRONG and not slug):
+        return MARKED
+    return HINTED
+
+
+def _classes(attrs: str) -> frozenset[str]:
+    if "class" not in attrs.lower():
+        return frozenset()
+    return frozenset(x for m in _ATTR.finditer(attrs) if m[1].lower() == "class" for x in (m[2] or m[3] or m[4] or "").split())
 
 
-def _left_out(tree: _Tree, low: list[int]) -> tuple[list[bool], list[float]]:
+def _left_out(tree: _Tree, low: list[int], high: list[int]) -> tuple[list[bool], list[float]]:
     """Whether each element is left out, and the share of points that counts in it.
 
-    low: characters outside links that stand directly in each element.  Marked elements stay when they
+    low, high: characters outside and inside links that stand directly in each element.  An element with
+    a word of furniture in a longer name goes only if most of its text is in links.  Marked elements stay when they
     hold an article, or most of the text while no article stands outside; when all that would go
     hold most of the text together, none goes.
     """
@@ -188,8 +216,12 @@ def _left_out(tree: _Tree, low: list[int]) -> tuple[list[bool], list[float]]:
     def outside(stated: int, text: int) -> bool:
         return stated > 0 and stated >= min(ARTICLE_CHARS, text / 5)
 
+    plain, links = low[:], high[:]
+    for i in range(n - 1, 0, -1):
+        plain[parent[i]] += plain[i]
+        links[parent[i]] += links[i]
     for i in range(1, n):
-        gone[i] = gone[parent[i]] or kind[i] == NO_TEXT
+        gone[i] = gone[parent[i]] or kind[i] == NO_TEXT or (kind[i] == HINTED and links[i] > plain[i])
     text, stated, holds = sums()
     for i in range(1, n):
         beside = kind[i] == BESIDE and not (holds[i] and not outside(stated[0] - stated[i], text[i]))
@@ -209,7 +241,7 @@ def _left_out(tree: _Tree, low: list[int]) -> tuple[list[bool], list[float]]:
     counts = [1.0] * n
     for i in range(1, n):
         if tag[i] != "main":
-            counts[i] = counts[parent[i]] * (LOWERED if kind[i] in (MARKED, BESIDE) else 1)
+            counts[i] = counts[parent[i]] * (LOWERED if kind[i] in (MARKED, BESIDE, HINTED) else 1)
     return out, counts
 
 
@@ -234,11 +266,11 @@ def main_text(page: str | None) -> str:
         if tag[i] not in BLOCK:
             block[i] = block[parent[i]]
         link[i] = tag[i] == "a" or link[parent[i]]
-    low = [0] * n
+    low, high, heads = [0] * n, [0] * n, [0] * n
     for i, t in tree.events:
-        if t and not link[i]:
-            low[i] += len(t.strip())
-    skip, counts = _left_out(tree, low)
+        if t:
+            (high if link[i] else low)[i] += len(t.strip())
+    skip, counts = _left_out(tree, low, high)
     for i, t in tree.events:
         if t and not skip[i] and (size := len(t.strip())):
             own[block[i]] += size
@@ -258,6 +290,8 @@ def main_text(page: str | None) -> str:
                 points[up] += gain / share
                 up = parent[up]
     for i in range(n - 1, 0, -1):
+        heads[i] += length[i] * (tag[i] in HEADINGS)
+        heads[parent[i]] += heads[i]
         length[parent[i]] += length[i]
         linked[parent[i]] += linked[i]
     for i in range(n):
@@ -268,14 +302,41 @@ def main_text(page: str | None) -> str:
     if not points[best]:
         best = 0
     kept = {best}
+    few = [linked[i] < 0.25 * length[i] for i in range(n)]
+    stated = best
+    while stated and tag[stated] != "article":
+        stated = parent[stated]
+    if stated and few[stated] and not skip[stated]:
+        best = stated  # the page says itself what its article is
+        kept = {best}
     if best and tag[best] not in ("body", "html"):
-        row = [i for i in range(1, n) if parent[i] == parent[best] and not skip[i] and (length[i] or i == best)]
-        few = {i for i in row if linked[i] < 0.25 * length[i]}
-        kept |= {i for i in row if points[i] >= points[best] / 5 or (tag[i] == "p" and length[i] > 80 and i in few)}
+        children: dict[int, list[int]] = {}
+        for i in range(1, n):
+            if not skip[i] and (length[i] or i == best):
+                children.setdefault(parent[i], []).append(i)
+        top = points[:]
+        for i in range(n - 1, 0, -1):
+            top[parent[i]] = max(top[parent[i]], top[i])
+        row = children[parent[best]]
+        kept |= {i for i in row if points[i] >= points[best] / 5 or (tag[i] == "p" and length[i] > 80 and few[i])}
         for way in (row, row[::-1]):
             for before, i in zip(way, way[1:]):
-                if before in kept and i in few and (tag[i] == "p" or tag[i] in HEADINGS):
+                head = way is not row and heads[i] == length[i]
+                if before in kept and few[i] and (tag[i] == "p" or tag[i] in HEADINGS or head):
+                    kept.add(i)
+        # columns and rows: what looks like an ancestor of the best and holds as much, and the title above it
+        at = best
+        while tag[at] not in ("article", "main", "body") and parent[at] > 0 and tag[parent[at]] != "html":
+            at = parent[at]
+            if tag[at] in ("article", "main", "body"):
+                break
+            row = children[parent[at]]
+            for before, i in zip([0, *row], row):
+                alike = tag[i] == tag[at] and (tree.classes[i] & tree.classes[at] or tree.classes[i] == tree.classes[at])
+                if i != at and alike and few[i] and top[i] >= points[best] / 5:
                     kept.add(i)
+                if i == at and before and heads[before] == length[before] and few[before] and tag[parent[at]] != "body":
+                    kept.add(before)
     inside = [False] * n
     for i in range(n):
         inside[i] = not skip[i] and (i in kept or (i > 0 and inside[parent[i]]))

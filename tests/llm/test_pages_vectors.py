@@ -87,6 +87,42 @@ def test_marked_elements_around_the_text_stay(page, text):
     assert extraction.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        # slugs of headings as ids, quotes with a listed word in their class
+        (f"<article>{PROSE}<h2 id='social-impact'>Impact</h2>{PROSE}</article>", f"{LINES}\nImpact\n{LINES}"),
+        (f"<article>{PROSE}<section id='login-flow'>{PROSE}</section></article>", f"{LINES}\n{LINES}"),
+        (f"<div>{PROSE}<section id='cookie-recipes'><h2>Cookies</h2>{PROSE}</section></div>", f"{LINES}\nCookies\n{LINES}"),
+        (f"<article>{PROSE}<blockquote class='social-quote'><p>{ARTICLE}</p></blockquote></article>", f"{LINES}\n{ARTICLE}"),
+        # the same words where they mark furniture
+        (f"<article>{PROSE}<div class='social-share-tools'>Share: <a href=x>one place</a><a href=y>another</a></div></article>", LINES),
+        (f"<article>{PROSE}<div class='ad-slot-4'><p>{ARTICLE}</p></div><div id=newsletter-signup><p>Mail.</p></div></article>", LINES),
+        (f"<article>{PROSE}<div id='comments'><div id='comment-12' class='comment even'><p>{ARTICLE}</p></div></div></article>", LINES),
+        (f"<article>{PROSE}<section id='related-posts'><p>{ARTICLE}</p></section></article>", LINES),
+        # columns
+        (f"<div class=row><div class=col>{PROSE}</div></div>" * 2, f"{LINES}\n{LINES}"),
+        (f"<body><div id=all><div class='row a'><div class=col>{PROSE}</div></div><div class='row b'><div class=col>{PROSE}</div></div>"
+         f"<div class=foot><div><p>{ARTICLE}</p></div></div></div></body>", f"{LINES}\n{LINES}"),
+        # a heading in a box of its own
+        (f"<div><div class=title><h1>Title</h1></div><div class=text>{PROSE}</div></div>", f"Title\n{LINES}"),
+        (f"<div id=post><div class=title><h1>Title</h1></div><div><div class=text>{PROSE}</div></div></div>", f"Title\n{LINES}"),
+        (f"<article><div><h1>Title</h1></div><div><div>{PROSE}</div></div><p>End.</p></article>", f"Title\n{LINES}\nEnd."),
+        # a blog theme and a documentation page
+        (f"<body class='home single-post'><header id=masthead class=site-header><a href=/>Site</a></header><div id=page class=site>"
+         f"<main id=primary class=site-main><article id=post-7 class='post hentry tag-social'><header class=entry-header><h1 class=entry-title>"
+         f"Title</h1></header><div class=entry-content>{PROSE}<div class='sharedaddy sd-sharing'><a href=x>Share it</a></div></div>"
+         f"<footer class=entry-footer><a href=t>tag</a></footer></article><div id=comments class=comments-area><p>{ARTICLE}</p></div></main>"
+         f"<aside id=secondary class=widget-area><p>{ARTICLE}</p></aside></div></body>", f"Title\n{LINES}"),
+        (f"<body><nav class=toc><ul><li><a href=#a>A</a></ul></nav><div class=document><div class=body role=main><section id=notice-periods>"
+         f"<h1>Guide</h1>{PROSE}<section id=menu-options><h2>Menu</h2>{PROSE}<pre>x = 1</pre></section></section></div></div>"
+         f"<div class=sphinxsidebar><p>s</p></div></body>", f"Guide\n{LINES}\nMenu\n{LINES}\nx = 1"),
+    ],
+)
+def test_no_text_of_the_article_is_lost(page, text):
+    assert extraction.main_text(page) == text
+
+
 def test_article_in_several_sibling_containers():
     long, short = "word " * 60 + "end, of it, all, of, it", "part, " + "x" * 94
     first = "<div>" + f"<p>{long}</p>" * 3 + "</div>"
