@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.expr import low
+from cairn.session import cut_lineage
 
 _NO_ESCAPE = "\x01"
 
@@ -197,24 +198,25 @@ def recent_activity(assets: DataFrame, n: int, newest: int) -> DataFrame:
 def assets_by_source_grouped(assets: DataFrame) -> DataFrame:
     """Every active asset under its source: (source, position, name), newest scan first.
 
-    A row per asset, so that a source of any size stays spread over many rows.  Positions are counted
-    in slices of a source by day of the scan, and each slice starts after the assets of later days.
+    A row per asset, so that a source of any size stays spread over many rows.  The assets are put in
+    order once, over all sources: ranges of (source, time, fingerprint) are sorted each in its task and written with
+    the number of the range and the row in it.  A position is then the row's own number and the rows of its source in
+    earlier ranges, so one source, one day or one moment of a scan may hold nearly all assets.
     """
+    order = ["source", F.desc_nulls_last("last_scanned"), "fingerprint"]
     rows = assets.filter("is_active").select(
-        F.coalesce("source", F.lit("unknown")).alias("source"),
-        F.to_date("last_scanned").alias("day"),
-        "last_scanned",
-        "fingerprint",
-        "name",
+        F.coalesce("source", F.lit("unknown")).alias("source"), "last_scanned", "fingerprint", "name"
     )
-    later = Window.partitionBy("source").orderBy(F.desc_nulls_last("day")).rowsBetween(Window.unboundedPreceding, -1)
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    # the id that Spark counts up has the task in its upper 31 bits and the row in its lower 33
+    placed = cut_lineage(ranged.select("source", "name", F.monotonically_increasing_id().alias("at")))
+    placed = placed.select("source", "name", F.shiftright("at", 33).alias("range"), "at")
+    earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     before = (
-        rows.groupBy("source", "day")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select("source", F.col("day").alias("on"), F.coalesce(F.sum("n").over(later), F.lit(0)).alias("before"))
+        placed.groupBy("source", "range")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+        .select("source", "range", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     )
-    inside = Window.partitionBy("source", "day").orderBy(F.desc_nulls_last("last_scanned"), "fingerprint")
-    placed = rows.withColumn("row", F.row_number().over(inside)).withColumnRenamed("source", "of")
-    return placed.join(before, F.col("of").eqNullSafe(F.col("source")) & F.col("day").eqNullSafe(F.col("on"))).select(
-        "source", (F.col("before") + F.col("row")).alias("position"), "name"
+    return placed.join(before, ["source", "range"]).select(
+        "source", (F.col("before") + F.col("at") - F.col("first") + 1).alias("position"), "name"
     )

@@ -77,13 +77,21 @@ def _(i):
     return S.directories(_located(i), "/lake", 4)
 
 
-@query("src4_profile_csv", "select count(*) as num_rows, 5 as num_columns, 'event_id,user_id,event_type,value,props' as names from events")
+@query(
+    "src4_profile_csv",
+    """select count(*) as num_rows, 6 as num_columns,
+         'event_id ' || case when max(event_id) < 2147483648 then 'int' else 'bigint' end ||
+         ',ts ' || case when count(ts) > 0 then 'timestamp' else 'string' end ||
+         ',user_id ' || case when max(user_id) < 2147483648 then 'int' else 'bigint' end ||
+         ',event_type string,value double,props string' as columns from events""",
+)
 def _(i):
     path = scratch_path(i.spark, "csv")
-    i.table("events").drop("ts").write.option("header", True).option("escape", '"').csv(path)
-    return S.profile_csv(i.spark, path).select(
-        "num_rows", "num_columns", F.array_join(F.transform("columns", lambda c: c["name"]), ",").alias("names")
-    )
+    i.table("events").select("event_id", "ts", "user_id", "event_type", "value", "props").write.option("header", True).option(
+        "escape", '"'
+    ).csv(path)
+    told = F.transform("columns", lambda c: F.concat_ws(" ", c["name"], c["type"]))
+    return S.profile_csv(i.spark, path).select("num_rows", "num_columns", F.array_join(told, ",").alias("columns"))
 
 
 @query(

@@ -117,11 +117,85 @@ def _shape(df: DataFrame) -> Column:
     )
 
 
+#: What a text can be read as, narrowest first; a column is described by the set of those it holds.
+KINDS = ["int", "bigint", "decimal", "double", "date", "timestamp", "boolean", "string"]
+
+
+def text_kind(value: Column) -> Column:
+    """The narrowest of KINDS for a text, as a bit; 0 for null."""
+    bit = {k: F.lit(1 << i) for i, k in enumerate(KINDS)}
+    whole = value.rlike(r"^[+-]?[0-9]+$")
+    return (
+        F.when(value.isNull(), F.lit(0))
+        .when(whole & value.try_cast("int").isNotNull(), bit["int"])
+        .when(whole & value.try_cast("bigint").isNotNull(), bit["bigint"])
+        .when(whole & (_digits(value) <= 38), bit["decimal"])
+        .when(value.try_cast("double").isNotNull(), bit["double"])
+        .when(value.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$") & value.try_cast("date").isNotNull(), bit["date"])
+        .when(value.try_cast("timestamp").isNotNull(), bit["timestamp"])
+        .when(F.lower(value).isin("true", "false"), bit["boolean"])
+        .otherwise(bit["string"])
+    )
+
+
+def _digits(value: Column) -> Column:
+    return F.length(F.regexp_replace(value, r"^[+-]?0*", ""))
+
+
+def merged_type(kinds: Column, digits: Column) -> Column:
+    """The type that holds every kind of a set (bits or-ed together); the most digits of a decimal are given.
+
+    Numbers widen from int to bigint, decimal and double, dates to timestamps; what has nothing in common, and
+    a column without values, is a string.
+    """
+    names = {k: 1 << i for i, k in enumerate(KINDS)}
+
+    def within(*some: str) -> Column:
+        return kinds.bitwiseAND(F.lit(255 - sum(names[k] for k in some))) == 0
+
+    wide = F.when(kinds.bitwiseAND(F.lit(names["bigint"])) != 0, F.greatest(digits, F.lit(20))).otherwise(digits)
+    return (
+        F.when(kinds == 0, "string")
+        .when(within("int"), "int")
+        .when(within("int", "bigint"), "bigint")
+        .when(within("int", "bigint", "decimal"), F.concat(F.lit("decimal("), wide.cast("string"), F.lit(",0)")))
+        .when(within("int", "bigint", "decimal", "double"), "double")
+        .when(within("date"), "date")
+        .when(within("date", "timestamp"), "timestamp")
+        .when(within("boolean"), "boolean")
+        .otherwise("string")
+    )
+
+
 def profile_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Rows, columns, names and inferred types of CSV files with a header, in one row."""
-    df = spark.read.csv(paths, header=True, inferSchema=True)
-    return df.agg(F.count("*").alias("num_rows")).select(
-        "num_rows", F.lit(len(df.columns)).alias("num_columns"), _shape(df).alias("columns")
+    """Rows, columns, names and types of CSV files with a header, in one row.
+
+    One pass: every text is told by the kinds it can be, kinds of a column are or-ed in each task and merged
+    with the row count.  Only the first line is read besides, for the names.  Types are those of Spark's
+    inference, except that a whole number is never a date, whatever the order of rows.
+    Files without rows give 0 rows and strings; a name that comes twice is kept, numbered by Spark.
+    """
+    texts = spark.read.csv(paths, header=True)
+    columns = [F.col(f"`{c.replace('`', '``')}`") for c in texts.columns]
+    long_kind = F.lit(1 << KINDS.index("decimal"))
+    facts = [
+        F.struct(
+            F.coalesce(F.bit_or(text_kind(c)), F.lit(0)).alias("kinds"),
+            F.max(F.when(text_kind(c) == long_kind, _digits(c))).alias("digits"),
+        ).alias(f"_{i}")
+        for i, c in enumerate(columns)
+    ]
+    described = [
+        column_struct(
+            ordinal=F.lit(i + 1),
+            name=F.lit(name),
+            type=merged_type(F.col(f"_{i}.kinds"), F.col(f"_{i}.digits")),
+            nullable=F.lit(True),
+        )
+        for i, name in enumerate(texts.columns)
+    ]
+    return texts.agg(F.count(F.lit(1)).alias("num_rows"), *facts).select(
+        "num_rows", F.lit(len(columns)).alias("num_columns"), F.array(*described).alias("columns")
     )
 
 

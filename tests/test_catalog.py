@@ -13,6 +13,7 @@ from cairn.operators import maintenance as M
 from cairn.operators import search as Q
 from cairn.operators import transformations as T
 from cairn.schema import as_assets
+from cairn.session import cut_lineage
 
 NOW = datetime(2024, 6, 1)
 
@@ -356,3 +357,35 @@ def test_recommendation_defaults(spark):
     assert [r["severity"] for r in out] == ["success", "info"]
     out = T.lineage_recommendations(targets.withColumn("type", F.lit("view table")), hub(spark, 6)).orderBy("position").collect()
     assert [r["severity"] for r in out] == ["warning", "success", "info"]
+
+
+@pytest.mark.parametrize("same_moment", [True, False])
+def test_one_source_and_day_with_nearly_all_assets_is_ranked_in_many_tasks(spark, monkeypatch, same_moment):
+    n, written = 4000, []
+    moment = F.lit(1_700_000_000) + (F.lit(0) if same_moment else F.col("id") % 997)
+    rows = spark.range(n).select(
+        F.when(F.col("id") % 10 > 0, "hot").when(F.col("id") % 20 == 0, "cold").alias("source"),
+        F.when(F.col("id") % 50 != 7, F.timestamp_seconds(moment)).alias("last_scanned"),
+        F.md5(F.col("id").cast("string")).alias("fingerprint"),
+        F.concat(F.lit("n"), F.col("id").cast("string")).alias("name"),
+        (F.col("id") != 3).alias("is_active"),
+    )
+
+    def watched(df):
+        written.append(cut_lineage(df))
+        return written[-1]
+
+    monkeypatch.setattr(Q, "cut_lineage", watched)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        got = Q.assets_by_source_grouped(rows).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", True)
+    groups = {}
+    for r in rows.filter("is_active").collect():
+        at = r["last_scanned"].timestamp() if r["last_scanned"] else 0
+        groups.setdefault(r["source"] or "unknown", []).append((at == 0, -at, r["fingerprint"], r["name"]))
+    want = [(s, k, x[3]) for s, xs in groups.items() for k, x in enumerate(sorted(xs), 1)]
+    assert sorted((r["source"], r["position"], r["name"]) for r in got) == sorted(want)
+    sizes = [r["count"] for r in written[0].groupBy(F.shiftright("at", 33)).count().collect()]
+    assert sum(sizes) == n - 1 and len(sizes) == 4 and max(sizes) < 0.4 * n

@@ -39,6 +39,56 @@ def test_scan_files(spark, lake):
     assert types == {"a.csv": "csv_file", "b.JSON": "json_file", "c.bin": "data_file"}
 
 
+COLUMNS = {
+    "i": ["1", "-2", "", "+3"],
+    "l": ["1", "3000000000", "", "-5"],
+    "big": ["1", "3000000000", "123456789012345678901234", ""],
+    "small_big": ["1", "2", "1234567890123456789012", ""],
+    "huge": ["1", "9" * 39, "2", ""],
+    "d": ["1", "2.5", "1e3", ""],
+    "wide": ["3000000000", "2.5", "12345678901234567890", "NaN"],
+    "day": ["2024-01-01", "", "2023-12-31", "2020-02-29"],
+    "when": ["2024-01-01", "2024-01-01T10:00:00", "", "2024-01-01 10:00:00.5"],
+    "zone": ["2024-01-01T10:00:00.000Z", "", "", "2024-01-01T10:00:00+02:00"],
+    "b": ["true", "FALSE", "", "True"],
+    "b_or_1": ["true", "1", "", "false"],
+    "n_or_day": ["7", "2024-01-01", "", "8"],
+    "bad_day": ["2023-02-30", "2024-01-01", "", ""],
+    "s": ["x", "1", "true", "2024-01-01"],
+    "none": ["", "", "", ""],
+    "a.b `c": ["1", "2", "3", "4"],
+}
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_types_of_csv_are_those_of_inference(spark, tmp_path, turned):
+    rows = list(zip(*COLUMNS.values(), strict=True))[:: -1 if turned else 1]
+    (tmp_path / "parts").mkdir()
+
+    def write(name, part):
+        (tmp_path / name).write_text("\n".join(",".join(r) for r in [tuple(COLUMNS), *part]) + "\n")
+
+    for k, part in enumerate((rows[:1], rows[1:3], rows[3:])):
+        write(f"parts/{k}.csv", part)
+    # inference of one file: over several, it forgets types that have nothing in common and goes on with the next
+    write("whole.csv", rows)
+    told = S.profile_csv(spark, str(tmp_path / "parts")).first()
+    assert (told["num_rows"], told["num_columns"]) == (4, len(COLUMNS))
+    want = {f.name: f.dataType.simpleString() for f in spark.read.csv(str(tmp_path / "whole.csv"), header=True, inferSchema=True).schema}
+    assert {c["name"]: c["type"] for c in told["columns"]} == want
+
+
+def test_csv_without_rows_and_repeated_names(spark, tmp_path):
+    (tmp_path / "h.csv").write_text("a,a,b\n")
+    told = S.profile_csv(spark, str(tmp_path)).first()
+    assert told["num_rows"] == 0 and [c["type"] for c in told["columns"]] == ["string"] * 3
+
+
+def test_csv_is_read_in_one_pass(spark, lake):
+    plan = S.profile_csv(spark, str(lake / "a.csv"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan csv") == 1
+
+
 def test_depth_and_storage(spark, lake):
     found = S.scan_files(spark, str(lake))
     root = "file:" + str(lake)
