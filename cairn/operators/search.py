@@ -138,9 +138,11 @@ def fuzzy_join(terms: DataFrame, candidates: DataFrame) -> DataFrame:
     """All (term, candidate, distance) with 0 < distance <= floor(length(term) / 3), ignoring case.
 
     Exact and without comparing all pairs: a term allowing d errors is cut into d + 1
-    pieces, so one piece must stand unchanged in the candidate, moved by at most d places.
-    Pieces are one to three characters long, hence an equi-join on short pieces with the
-    length and position bounds in the join condition.  Repeats are removed first.
+    pieces, so one piece must stand unchanged in the candidate.  Where it can stand follows from the
+    candidate's length: the i-th piece (from 0) is moved by at most i places, counted from the left, and at most
+    d - i, counted from the right, or another piece stands as well.  Each term lists those places, so
+    the join is on piece, length of the candidate and place, and a short piece meets few names.
+    Repeats are removed first; nulls meet nothing.
     """
     t = (
         terms.select(F.lower("term").alias("term"))
@@ -160,7 +162,18 @@ def fuzzy_join(terms: DataFrame, candidates: DataFrame) -> DataFrame:
         .withColumn(
             "width", F.col("piece_len") + F.when(F.col("i") >= F.col("d") + 1 - F.col("longer"), 1).otherwise(0)
         )
-        .select("term", "len", "d", "pos", F.expr("substring(term, pos + 1, width)").alias("piece"))
+        .withColumn("more", F.explode(F.sequence(-F.col("d"), F.col("d"))))
+        .withColumn("clen", F.col("len") + F.col("more"))
+        .withColumn("lowest", F.greatest(F.lit(0), F.col("pos") - F.col("i"), F.col("pos") + F.col("more") - F.col("d") + F.col("i")))
+        .withColumn(
+            "highest",
+            F.least(
+                F.col("clen") - F.col("width"), F.col("pos") + F.col("i"), F.col("pos") + F.col("more") + F.col("d") - F.col("i")
+            ),
+        )
+        .filter("lowest <= highest")
+        .withColumn("cpos", F.explode(F.sequence("lowest", "highest")))
+        .select("term", "d", "clen", "cpos", F.expr("substring(term, pos + 1, width)").alias("piece"))
     )
     c = candidates.select(F.lower("candidate").alias("candidate")).distinct().withColumn("clen", F.length("candidate"))
     grams = (
@@ -169,11 +182,9 @@ def fuzzy_join(terms: DataFrame, candidates: DataFrame) -> DataFrame:
         .withColumn("cpos", F.explode(F.sequence(F.lit(0), F.col("clen") - F.col("q"))))
         .select("candidate", "clen", "cpos", F.expr("substring(candidate, cpos + 1, q)").alias("piece"))
     )
-    near = (F.abs(F.col("clen") - F.col("len")) <= F.col("d")) & (F.abs(F.col("cpos") - F.col("pos")) <= F.col("d"))
     # the distance is tested inside the join, so only true matches are shuffled for the distinct
     return (
-        pieces.join(grams, "piece")
-        .filter(near)
+        pieces.join(grams, ["piece", "clen", "cpos"])
         .withColumn("distance", F.expr("levenshtein(term, candidate, d)"))
         .filter("distance > 0")
         .select("term", "candidate", "distance")

@@ -200,14 +200,16 @@ _IS_UP = f"""case when {any_of("lower(other_asset)", rules.DIRECTION_RELATED_WOR
    when {any_of("lower(target_name)", rules.DIRECTION_TARGET_WORDS)} then true
    when contains(lower(target_name), 'view') and contains(lower(other_asset), 'table') then true
    else length(other_asset) < length(target_name) end"""
-COLUMN_EDGES = f"""partners as (select * from catalog where is_active order by last_scanned desc, fingerprint limit 6),
-  pairs as (select * from (select t.fingerprint as target_id, t.name as target_name, p.fingerprint as other_id, p.name as other_asset,
+COLUMN_EDGES = f"""partners as materialized (select * from catalog where is_active order by last_scanned desc, fingerprint limit 6),
+  pairs as materialized (select * from (select t.fingerprint as target_id, t.name as target_name, p.fingerprint as other_id, p.name as other_asset,
       row_number() over (partition by t.fingerprint order by p.last_scanned desc, p.fingerprint) as rn
       from targets t join partners p on p.fingerprint <> t.fingerprint) where rn <= 5),
-  matched as (select target_id, a.ordinal, a.column_name, other_id, other_asset, b.column_name as other_column,
+  held as materialized (select fingerprint, ordinal, column_name, column_type from columns_long
+      where fingerprint in (select target_id from pairs union select other_id from pairs)),
+  matched as materialized (select target_id, a.ordinal, a.column_name, other_id, other_asset, b.column_name as other_column,
       case when {_IS_UP} then 'upstream' else 'downstream' end as direction,
       lower(a.column_name) as x, lower(b.column_name) as y, a.column_type as x_type, b.column_type as y_type
-      from pairs join columns_long a on a.fingerprint = target_id join columns_long b on b.fingerprint = other_id),
+      from pairs join held a on a.fingerprint = target_id join held b on b.fingerprint = other_id),
   cedges as (select target_id, ordinal, column_name, other_id, other_asset, other_column, direction,
       cast({_CONF} as double) as confidence from matched where {_CONF} > 0.5)"""
 

@@ -108,6 +108,29 @@ def test_fuzzy_join_equals_brute_force(spark):
     assert got == want and len(want) > 50
 
 
+def test_fuzzy_join_on_names_that_share_their_beginning(spark):
+    rnd = random.Random(11)
+
+    def damaged(name, edits):
+        for _ in range(edits):
+            at = rnd.randrange(len(name) + 1)
+            name = rnd.choice([name[:at] + rnd.choice("ab_é") + name[at:], name[:at] + name[at + 1 :], name[at:] + name[:at][:-1]])
+        return name
+
+    terms = [f"customer_{rnd.choice(['order', 'orders', 'ab'])}_{k % 7}"[: rnd.randint(3, 18)] for k in range(60)] + ["aaaaaaaaa", None, ""]
+    cands = [damaged(rnd.choice(terms[:60]), rnd.randint(0, 6)) for _ in range(400)] + ["aaaa", "a" * 12, "aaaaaabaaa", None, ""]
+    got = {tuple(r) for r in Q.fuzzy_join(
+        spark.createDataFrame([(t,) for t in terms], "term string"),
+        spark.createDataFrame([(c,) for c in cands], "candidate string"),
+    ).collect()}
+    pairs = ((t, c, levenshtein(t, c)) for t in {*terms} - {None} for c in {*cands} - {None})
+    want = {(t, c, d) for t, c, d in pairs if 0 < d <= len(t) // 3}
+    assert got == want and len(want) > 500
+    plan = Q.fuzzy_join(*[spark.range(9).select(F.col("id").cast("string").alias(n)) for n in ("term", "candidate")])
+    keys = [x for x in plan._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x]
+    assert len(keys) == 1 and all(k in keys[0] for k in ("piece", "clen", "cpos"))
+
+
 def test_fuzzy_suggest_only_without_direct_hits(spark):
     a = make(spark, [("customer", "table", "mysql", "x", 1, 1), ("orders", "view", "mysql", "x", 1, 2)])
     assert [tuple(r) for r in Q.fuzzy_suggest(a, "custmer").collect()] == [("customer", 1)]
