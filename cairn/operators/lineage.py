@@ -6,12 +6,14 @@ scored against classes of assets, and only the members that the levels need come
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn import rules
 from cairn.functions.expr import ColumnLike, col, first_case, has_any, lits, low, text
-from cairn.session import cut_lineage
+from cairn.session import cut_lineage, scratch_path
 
 PER_LEVEL = 3
 
@@ -482,15 +484,67 @@ def lineage_graph(
     return nodes.withColumn("label", label), edges
 
 
+#: Links of one node that stand together in the stored adjacency; a node with more is spread over several buckets.
+HUB = 10_000
+
+
+def _adjacency(pairs: DataFrame, seed: DataFrame) -> tuple[str, DataFrame]:
+    """Links (id, next) written once as (id, slice, next, slices), bucketed by id and slice: the name of
+    the table, and the seed with its slices.
+
+    A node with many links has them in several slices; `slices` is the number that the links of `next` have,
+    so that a hop knows where to look without asking again.
+    """
+    spark = pairs.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # at most one row for each HUB links: the nodes that have more than that
+    hubs = cut_lineage(
+        pairs.groupBy("id")
+        .agg(F.ceil(F.count(F.lit(1)) / F.lit(HUB)).cast("int").alias("slices"))
+        .filter("slices > 1")
+    )
+
+    def with_slices(df: DataFrame, of: str, name: str) -> DataFrame:
+        joined = df.join(hubs.select(F.col("id").alias(of), F.col("slices").alias(name)), of, "left")
+        return joined.withColumn(name, F.coalesce(name, F.lit(1)))
+
+    links = with_slices(with_slices(pairs, "id", "own"), "next", "slices").select(
+        "id", F.pmod(F.hash("next"), F.col("own")).alias("slice"), "next", "slices"
+    )
+    table = f"cairn_links_{uuid.uuid4().hex}"
+    (
+        links.repartition(buckets, "id", "slice")
+        .write.bucketBy(buckets, "id", "slice")
+        .sortBy("id", "slice")
+        .option("path", scratch_path(spark, "links"))
+        .saveAsTable(table)
+    )
+    return table, with_slices(seed, "id", "slices")
+
+
+def _hop(frontier: DataFrame, links: DataFrame) -> DataFrame:
+    """(root_id, id, slices) one link further; only the frontier is moved, links stay in their buckets."""
+    spread = frontier.select(
+        "root_id", "id", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice")
+    )
+    met = spread.join(links, ["id", "slice"]).select("root_id", F.col("next").alias("id"), links["slices"])
+    return met.distinct()
+
+
 def trace(
     rel: DataFrame, start: DataFrame, direction: str = "both", depth: int = 3
 ) -> DataFrame:
     """Nodes within `depth` declared hops of each start id, with the shortest level.
 
-    Upstream levels are negative.  One join per hop; each frontier is written to the shared
-    checkpoint folder, so the plan stays short and a lost executor re-reads it.
+    Upstream levels are negative.  Links are written once for each side, bucketed by node, and a hop joins
+    the frontier with them where they lie; each frontier is written to the shared checkpoint
+    folder, so the plan stays short and a lost executor re-reads it.  Cycles, repeated links and links
+    of a node to itself add nothing; null ids are met by nothing.
     """
-    pairs = rel.select("source_asset", "target_asset").filter("source_asset != target_asset").distinct()
+    spark = rel.sparkSession
+    pairs = cut_lineage(
+        rel.select("source_asset", "target_asset").filter("source_asset != target_asset").distinct()
+    )
     roots = start.select(F.col("id").alias("root_id")).distinct()
     seed = roots.select("root_id", F.col("root_id").alias("id"), F.lit(0).alias("level"))
     out = seed
@@ -502,19 +556,20 @@ def trace(
         if direction not in ("both", side):
             continue
         sign = -1 if side == "upstream" else 1
-        seen, frontier = seed, seed
+        table, frontier = _adjacency(hops, seed.drop("level"))
+        seen = seed
         for step in range(1, depth + 1):
             reached = (
-                frontier.join(hops, "id")
-                .select("root_id", F.col("next").alias("id"))
-                .distinct()
+                _hop(frontier, spark.table(table))
                 .join(seen.select("root_id", "id"), ["root_id", "id"], "left_anti")
                 .withColumn("level", F.lit(sign * step))
             )
             frontier = cut_lineage(reached)
             if frontier.isEmpty():
                 break
-            seen = seen.unionByName(frontier)
+            seen = seen.unionByName(frontier.drop("slices"))
+        # all that is returned has been written; the files of the links stay in the scratch folder
+        spark.sql(f"drop table {table}")
         out = out.unionByName(seen.filter("level != 0"))
     return out
 

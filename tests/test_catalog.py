@@ -346,6 +346,51 @@ def test_trace_survives_cycles_and_diamonds(spark):
     assert up == {("a", 0), ("c", -1), ("b", -2)}
 
 
+def test_trace_over_hubs_equals_search_by_hand(spark, monkeypatch):
+    monkeypatch.setattr(L, "HUB", 20)
+    rnd = random.Random(5)
+    # one node holds a third of all links, some repeat, some have no node at one end
+    links = [("hub", f"n{rnd.randrange(300)}") for _ in range(300)] + [(f"n{rnd.randrange(300)}", "hub2") for _ in range(150)]
+    links += [(f"n{rnd.randrange(300)}", f"n{rnd.randrange(300)}") for _ in range(450)] + [(None, "n1"), ("n2", None), ("hub", "hub")]
+    rel = spark.createDataFrame(links, "source_asset string, target_asset string")
+    roots = ["hub", "n1", "n5", "nowhere"]
+    got = {tuple(r) for r in L.trace(rel, spark.createDataFrame([(r,) for r in [*roots, "n1"]], "id string")).collect()}
+    want = set()
+    for sign, pairs in ((1, links), (-1, [(b, a) for a, b in links])):
+        for root in roots:
+            level, edge = {root: 0}, {root}
+            for step in (1, 2, 3):
+                edge = {b for a, b in pairs if a in edge and None not in (a, b) and b not in level}
+                level |= dict.fromkeys(edge, sign * step)
+            want |= {(root, k, v) for k, v in level.items()}
+    assert got == want
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("cairn_links")]
+
+
+def test_a_hop_moves_the_frontier_and_not_the_links(spark, monkeypatch):
+    monkeypatch.setattr(L, "HUB", 50)
+    pairs = spark.range(2000).select(
+        F.when(F.col("id") % 3 == 0, "hub").otherwise(F.concat(F.lit("n"), F.col("id") % 40)).alias("id"),
+        F.concat(F.lit("m"), "id").alias("next"),
+    )
+    seed = spark.createDataFrame([("r", "hub"), ("r", "n1")], "root_id string, id string")
+    table, seed = L._adjacency(pairs, seed)
+    seed = cut_lineage(seed)
+    assert {r["id"]: r["slices"] for r in seed.collect()} == {"hub": 14, "n1": 1}
+    biggest = spark.table(table).groupBy("id", "slice").count().agg(F.max("count")).first()[0]
+    assert biggest < 4 * 50
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = L._hop(seed, spark.table(table))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql(f"drop table {table}")
+    scan = next(x for x in plan.splitlines() if "cairn_links" in x)
+    assert "Bucketed: true" in scan
+    # one exchange for the frontier's side, one for distinct; the side of the links has none
+    assert plan.count("Exchange hashpartitioning(id") == 1
+
+
 def hub(spark, n):
     """A graph whose one target has n upstream nodes."""
     nodes = [("t", "t", "agg_total", "v", 0)] + [("t", f"u{i:03d}", f"up{i:03d}", "table", -1) for i in range(n)]
