@@ -13,6 +13,9 @@ from cairn.sources import files as S
 from cairn.streaming import ingest as I
 from cairn.streaming import seen
 
+#: Batches that a table of any size comes in: every batch reads the keys so far, so they grow in rows, not in number.
+BATCHES = 70
+
 
 def event_stream(i):
     """The events table as a stream."""
@@ -152,9 +155,11 @@ def _(i):
     ["changes"],
 )
 def _(i):
-    # many small batches: each asset is told once, in whichever of them it comes first
+    # many batches: each asset is told once, in whichever of them it comes first
     root, schema = scratch_path(i.spark, "seen"), i.table("events").schema
-    files = i.spark.readStream.schema(schema).option("maxFilesPerTrigger", 3).parquet(event_files(i, "seen_events"))
+    path = event_files(i, "seen_events", files=3 * BATCHES)
+    at_once = max(3, -(-len(i.spark.read.schema(schema).parquet(path).inputFiles()) // BATCHES))
+    files = i.spark.readStream.schema(schema).option("maxFilesPerTrigger", at_once).parquet(path)
     changes = _changes(files)
     seen.stream_first_seen(changes, root, ["asset_fingerprint"], ["change_date", "event_id"]).awaitTermination()
     rows = seen.first_seen(i.spark, root, changes.select("asset_fingerprint", "event_id", "change_type", "change_date").schema)

@@ -3,6 +3,7 @@
     <root>/keys/upto=<n>      keys of all batches up to n, merged
     <root>/keys/batch=<n>     keys that batch n saw first
     <root>/rows/batch=<n>     their rows
+    <root>/heads/batch=<n>    the first row of each key of batch n, while it is under way
 """
 
 from __future__ import annotations
@@ -65,25 +66,27 @@ def first_seen_batch(batch: DataFrame, number: int, root: str, key: list[str], o
     which the batch is the small side, broadcast where Spark measures it as small.
     """
     spark, keys = batch.sparkSession, f"{root}/keys"
-    first = batch.groupBy(*key).agg(
-        F.min_by(F.struct(*[F.col(c) for c in batch.columns if c not in key]), F.struct(*order)).alias("_rest")
-    )
+    rest = [c for c in batch.columns if c not in key]
+    first = batch.groupBy(*key).agg(F.min_by(F.struct(*[F.col(c) for c in rest]), F.struct(*order)).alias("_rest"))
+    first = first.select(*key, "_rest.*")
     schema = first.select(*key).schema
     _merge(spark, keys, number, schema)
     known = _known(spark, keys, number, schema)
+    heads, rows = f"{root}/heads/batch={number}", f"{root}/rows/batch={number}"
     if known is not None:
-        first = first.persist()
+        # read three times; as files it has the partitions and the measured size of a batch, where a cached
+        # table keeps a task for each shuffle partition
+        first.write.mode("overwrite").parquet(heads)
+        first = spark.read.schema(first.schema).parquet(heads)
         same = [F.col(f"b.{c}").eqNullSafe(F.col(f"k.{c}")) for c in key]
         again = known.alias("k").join(first.select(*key).alias("b"), same, "left_semi")
         met = [F.col(f"f.{c}").eqNullSafe(F.col(f"k.{c}")) for c in key]
-        first_new = first.alias("f").join(again.alias("k"), met, "left_anti")
-    else:
-        first_new = first
-    rows = f"{root}/rows/batch={number}"
-    first_new.select(*key, "_rest.*").write.mode("overwrite").parquet(rows)
-    spark.read.parquet(rows).select(*key).write.mode("overwrite").parquet(f"{keys}/batch={number}")
+        first = first.alias("f").join(again.alias("k"), met, "left_anti")
+    first.write.mode("overwrite").parquet(rows)
+    spark.read.schema(first.schema).parquet(rows).select(*key).write.mode("overwrite").parquet(f"{keys}/batch={number}")
     if known is not None:
-        first.unpersist()
+        fs, Path = _fs(spark, heads)
+        fs.delete(Path(heads), True)
 
 
 def first_seen(spark: SparkSession, root: str, schema) -> DataFrame:

@@ -151,3 +151,22 @@ def test_a_stream_started_again_tells_nothing_twice(spark, tmp_path):
     got = [r["k"] for r in seen.first_seen(spark, root, schema).collect()]
     assert sorted(got) == [f"k{j}" for j in range(5)]
 
+
+
+def test_a_small_batch_stays_few_files(spark, tmp_path):
+    root = str(tmp_path / "few")
+    for n in range(2):  # a batch that meets known keys is not dealt out to a task for each shuffle partition
+        seen.first_seen_batch(_rows(spark, [(f"k{j}", n, "x") for j in range(40 * n, 40 * n + 50)]).repartition(3), n, root, ["k"], ["at"])
+    assert len([f for f in os.listdir(f"{root}/rows/batch=1") if f.startswith("part-")]) == 1
+    assert os.listdir(f"{root}/heads") == []
+    assert seen.first_seen(spark, root, "k string, at int, v string").count() == 90
+
+
+def test_a_larger_table_comes_in_as_many_files(spark, tmp_path):
+    from cairn.plans.fixtures import Inputs
+    from cairn.plans.sources import event_files
+
+    kind = F.element_at(F.array(F.lit("click"), F.lit("view")), (F.col("id") % 2 + 1).cast("int"))
+    spark.range(0, 6000, 1, 1).select(F.col("id").alias("event_id"), kind.alias("event_type")).write.parquet(str(tmp_path / "events.parquet"))
+    files = spark.read.parquet(event_files(Inputs(spark, str(tmp_path)), "many", files=4))
+    assert len(files.inputFiles()) == 4 and files.count() == 6000
