@@ -147,11 +147,15 @@ def read_parts(
 
 
 def _write_parts(rows: DataFrame, root: str, manifest: Manifest, touched: list[int]) -> dict[str, str | None]:
-    """Part to the write that holds it now, None for a part that has no rows left."""
+    """Part to the write that holds it now, None for a part that has no rows left.
+
+    Rows come together by part, small parts in one task; a part larger than Spark's advisory size of a
+    partition is dealt out to several tasks, each of which writes a sorted file of it.
+    """
     spark, write = rows.sparkSession, uuid.uuid4().hex
     (
         rows.withColumn(_PART, part_of(manifest))
-        .repartition(max(1, len(touched)), _PART)
+        .hint("rebalance", _PART)
         .sortWithinPartitions(_PART, *manifest.key)
         .write.partitionBy(_PART)
         .parquet(f"{root}/data/{write}")

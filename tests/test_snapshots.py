@@ -174,3 +174,25 @@ def test_a_batch_of_a_stream_touches_its_parts_only(spark, tmp_path):
     assert I.stream_history(spark, root).count() == 101
     I.upsert_batch(events([], 2), 2, root, "seq", NOW)
     assert P.load_manifest(spark, f"{root}/assets").done == {"main": 2} and I.stream_history(spark, root).count() == 101
+
+
+def test_a_large_part_is_written_by_several_tasks(spark, tmp_path):
+    root, key = str(tmp_path / "wide"), "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "20k")
+    try:
+        rows = spark.range(0, 20000, 1, 6).select(F.md5(F.col("id").cast("string")).alias("fingerprint"), "id")
+        P.write_snapshot(rows, root, parts=2)
+        P.update_snapshot(rows, root, lambda current: current.withColumn("id", F.col("id") + 1), rows.schema)
+    finally:
+        spark.conf.set(key, old)
+    stored = P.read_snapshot(spark, root)
+    per_part = {}
+    for f in stored.inputFiles():
+        per_part.setdefault(f.split("_part=")[1].split("/")[0], []).append(f)
+    assert set(per_part) == {"0", "1"} and all(len(fs) > 1 for fs in per_part.values())
+    for f in stored.inputFiles():
+        held = [r[0] for r in spark.read.parquet(f).collect()]
+        assert held == sorted(held)
+    assert sorted(r["id"] for r in stored.collect()) == list(range(1, 20001))
+    assert P.find_in_snapshot(spark, root, rows.first()["fingerprint"]).first()["id"] == 1
