@@ -21,8 +21,10 @@ def flattened(df: DataFrame) -> DataFrame:
     )
 
 
-def export_catalog(assets: DataFrame, path: str, fmt: str = "json", limit: int | None = None) -> None:
-    """Active assets, newest first, as JSON lines or CSV with a header.
+def export_catalog(
+    assets: DataFrame, path: str, fmt: str = "json", limit: int | None = None, compression: str = "none"
+) -> None:
+    """Active assets, newest first, as JSON lines or CSV with a header, plain or packed by one of Spark's codecs.
 
     Without a limit the sort is a distributed range sort and every task writes its own file.
     """
@@ -30,9 +32,9 @@ def export_catalog(assets: DataFrame, path: str, fmt: str = "json", limit: int |
     if limit is not None:
         active = active.limit(limit)
     if fmt == "json":
-        active.write.json(path)
+        active.write.option("compression", compression).json(path)
     elif fmt == "csv":
-        flattened(active).write.option("header", True).option("escape", '"').csv(path)
+        flattened(active).write.options(header=True, escape='"', compression=compression).csv(path)
     else:
         raise ValueError("format is json or csv")
 
