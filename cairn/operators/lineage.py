@@ -389,16 +389,14 @@ def custom_edges(targets: DataFrame, assets: DataFrame, rel: DataFrame) -> DataF
     """Declared relationships of the targets whose other end the catalog knows, with that end."""
     t = targets.select(F.col("fingerprint").alias("target_id"))
     known = assets.filter("is_active").select(F.col("fingerprint").alias("id"), "name", "type", "source")
-    up = rel.join(t, F.col("target_asset") == F.col("target_id")).withColumns(
-        {"id": F.col("source_asset"), "direction": F.lit("upstream")}
-    )
-    down = (
-        rel.filter(F.col("source_asset") != F.col("target_asset"))
-        .join(t, F.col("source_asset") == F.col("target_id"))
-        .withColumns({"id": F.col("target_asset"), "direction": F.lit("downstream")})
-    )
+    source, target = F.col("source_asset"), F.col("target_asset")
+    end = lambda at, other, up: F.struct(at.alias("target_id"), other.alias("id"), F.lit(up).alias("up"))
+    ends = F.array_compact(F.array(end(target, source, True), F.when(source != target, end(source, target, False))))
+    # `rel` is read once for both directions, and a row moves without what its ends tell again
+    told = rel.select(F.explode(ends).alias("e"), "relationship_type", "confidence", "description")
     return (
-        up.unionByName(down)
+        told.select("e.*", "relationship_type", "confidence", "description")
+        .join(t, "target_id")
         .join(known, "id")
         .select(
             "target_id",
@@ -406,9 +404,9 @@ def custom_edges(targets: DataFrame, assets: DataFrame, rel: DataFrame) -> DataF
             "name",
             "type",
             "source",
-            "direction",
-            F.col("source_asset").alias("source_id"),
-            F.col("target_asset").alias("sink_id"),
+            F.when(F.col("up"), "upstream").otherwise("downstream").alias("direction"),
+            F.when(F.col("up"), F.col("id")).otherwise(F.col("target_id")).alias("source_id"),
+            F.when(F.col("up"), F.col("target_id")).otherwise(F.col("id")).alias("sink_id"),
             F.col("relationship_type").alias("relationship"),
             "confidence",
             F.coalesce("description", F.lit("")).alias("description"),
@@ -419,8 +417,11 @@ def custom_edges(targets: DataFrame, assets: DataFrame, rel: DataFrame) -> DataF
 def merge_custom(
     nodes: DataFrame, edges: DataFrame, targets: DataFrame, assets: DataFrame, rel: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
-    """Add declared relationships, one hop, to a graph; a node already present is not added again."""
-    declared = custom_edges(targets, assets, rel)
+    """Add declared relationships, one hop, to a graph; a node already present is not added again.
+
+    Those of the targets are read three times, for the nodes and for the edges, and written once.
+    """
+    declared = cut_lineage(custom_edges(targets, assets, rel))
     level = F.when(F.col("direction") == "upstream", -1).otherwise(1)
     fresh = (
         declared.filter(F.col("id") != F.col("target_id"))
@@ -453,8 +454,9 @@ def lineage_graph(
     """(nodes, edges) of the targets: guessed levels plus declared relationships.
 
     Guessed nodes of any level are linked straight to the target.  The levels, a few rows per target, are
-    read for the nodes and for the edges and written once.
+    read for the nodes and for the edges and written once; so are the targets, with what a graph shows of them.
     """
+    targets = cut_lineage(targets.select("fingerprint", "name", "type", "source", "location"))
     levels = cut_lineage(lineage_levels(leading_assets(targets, assets, direction, depth), direction, depth))
     shape = ["target_id", "id", "name", "type", "source", "level", "direction", "custom"]
     own = targets.select(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cairn import rules
 from cairn.functions.expr import compact, first_case, has_any, low, names
+from cairn.session import cut_lineage
 
 NAMES_PER_LIST = 10_000
 
@@ -81,15 +82,17 @@ def _case(cond: Column, kind: str, description: Column | str, confidence: float)
 
 def schema_transformations(nodes: DataFrame, assets: DataFrame) -> DataFrame:
     """Projection, expansion and mapping per upstream node, from column counts and names."""
-    held = assets.select("fingerprint", "columns")
-    upstream = held.select(F.col("fingerprint").alias("id"), F.col("columns").alias("u_columns"))
-    target = held.select(F.col("fingerprint").alias("target_id"), F.col("columns").alias("t_columns"))
-    # names are cut out after the joins, for the few joined rows only
+    # the assets are read once, for those that stand in a pair; pairs and names are written, so that Spark knows
+    # their size: with few of them no column of the other assets is moved
+    against = cut_lineage(_against_target(nodes))
+    needed = against.select(F.col("id").alias("fingerprint")).unionAll(against.select("target_id"))
+    found = assets.select("fingerprint", "columns").join(needed, "fingerprint", "left_semi")
+    held = cut_lineage(found.select("fingerprint", names("columns").alias("cols")))
+    upstream = held.select(F.col("fingerprint").alias("id"), F.col("cols").alias("u_cols"))
+    target = held.select(F.col("fingerprint").alias("target_id"), F.col("cols").alias("t_cols"))
     pairs = (
-        _against_target(nodes)
-        .join(upstream, "id")
+        against.join(upstream, "id")
         .join(target, "target_id")
-        .withColumns({"u_cols": names("u_columns"), "t_cols": names("t_columns")})
         .withColumns(
             {
                 "u": F.size("u_cols"),
