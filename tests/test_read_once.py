@@ -1,14 +1,19 @@
 """What is read once, written once and packed, so that large catalogs are not moved again and again."""
 
+import hashlib
 import os
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from cairn.functions.expr import packed, unpacked
 from cairn.operators import lineage as L
+from cairn.operators import maintenance as M
 from cairn.operators import sinks
 from cairn.operators import transformations as T
 from cairn.operators.maintenance import with_fingerprint
+from cairn.plans.fixtures import Inputs
 from cairn.schema import RELATIONSHIPS, as_assets, column_struct
 
 
@@ -62,3 +67,74 @@ def test_an_export_can_be_packed(spark, catalog, tmp_path, fmt):
     assert all(f.endswith(f".{fmt}.gz") for f in os.listdir(path) if f.startswith("part-"))
     back = spark.read.json(path) if fmt == "json" else spark.read.options(header=True, escape='"').csv(path)
     assert sorted(r["name"] for r in back.collect()) == [f"raw_{k}" for k in range(6)]
+
+
+ODD_KEYS = ["", "ab", "AB", "0AB", "abc", "\u0001ab", "nation:7", "a-b", "sixteen letters!", "\u00fc\u4e2d", "f" * 32, "F" * 32, "f" * 32 + "\n", None]
+
+
+def test_packed_keys_come_back_and_stay_apart(spark):
+    rows = spark.createDataFrame([(k,) for k in ODD_KEYS], "k string").select("k", packed("k").alias("p"))
+    got = [(r["k"], r["p"], r["back"]) for r in rows.select("*", unpacked("p").alias("back")).collect()]
+    assert [k for k, _, _ in got] == [back for _, _, back in got]
+    assert len({p for _, p, _ in got}) == len(ODD_KEYS)
+    assert {k: p for k, p, _ in got}["f" * 32] == b"\x01" + b"\xff" * 16
+
+
+@pytest.fixture
+def by_shuffle(spark):
+    """Joins by shuffle, in the plan as first made, whose nodes then hold what they did."""
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def moved_bytes(df) -> int:
+    """What the shuffles of a frame that has run have written."""
+
+    def under(node) -> int:
+        exchange = node.getClass().getSimpleName() == "ShuffleExchangeExec"
+        children = node.children()
+        own = node.metrics().apply("shuffleBytesWritten").value() if exchange else 0
+        return own + sum(under(children.apply(i)) for i in range(children.size()))
+
+    return under(df._jdf.queryExecution().executedPlan())
+
+
+def test_relationships_move_to_their_names_without_what_their_ends_tell(spark, by_shuffle):
+    key = [hashlib.md5(str(k).encode()).hexdigest() for k in range(1000)]
+    held = [(k, f"n{i}") for i, k in enumerate(key)] + [("ab", "short"), ("AB", "upper"), ("ab", "again"), (None, "none"), ("", "empty")]
+    odd = [(f"{s}-{t}-x", s, t) for s in ODD_KEYS for t in ("ab", key[0])]
+    odd += [("a-b-c-d", "a", "b-c"), ("a-b-c-d", "a-b", "c"), ("other", "ab", key[1]), ("ab-", "ab", "ab"), (None, "ab", "AB"), ("x", None, None)]
+    rel = [(f"{key[i % 1000]}-{key[i * 7 % 999]}-joins_with", key[i % 1000], key[i * 7 % 999]) for i in range(8000)] + odd
+    assets = spark.createDataFrame(held, "fingerprint string, name string")
+    found = M.relationships_named(spark.createDataFrame(rel, "id string, source_asset string, target_asset string"), assets)
+    assert found.columns == ["id", "source_asset", "target_asset", "source_name", "target_name"]
+    names: dict = {}
+    for k, name in held:
+        if k is not None:
+            names.setdefault(k, []).append(name)
+    want = Counter((i, s, t, a, b) for i, s, t in rel for a in names.get(s, [s]) for b in names.get(t, [t]))
+    assert Counter(tuple(r) for r in found.collect()) == want
+    # an id of two keys alone is 65 bytes that do not compress, and every row moves twice
+    assert 0 < moved_bytes(found) < 2 * 65 * len(rel)
+
+
+def test_other_ids_are_left_as_they_are(spark):
+    rel = spark.createDataFrame([(1, "a", "b")], "id int, source_asset string, target_asset string")
+    assets = spark.createDataFrame([("a", "A")], "fingerprint string, name string")
+    for r in (rel, rel.drop("id")):
+        found = M.relationships_named(r, assets)
+        assert found.dtypes[: len(r.columns)] == r.dtypes
+        assert [tuple(x)[-2:] for x in found.collect()] == [("A", "b")]
+
+
+def test_declared_edges_are_built_from_packed_keys(spark, by_shuffle, sf_dir):
+    i = Inputs(spark, sf_dir)
+    edges = i.asset_relationships().select("source_asset", "target_asset")
+    key = {r["row_id"]: r["fingerprint"] for r in i.catalog().select("row_id", "fingerprint").collect()}
+    want = Counter((key[k // 2], key[k]) for k in key if k > 0 and k // 2 in key)
+    assert Counter(tuple(r) for r in edges.collect()) == want
+    assert 0 < moved_bytes(edges) < 2 * 32 * len(key)  # a key is 32 bytes of hex, and every asset moves as child and as parent
