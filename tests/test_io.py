@@ -4,6 +4,8 @@ import json
 import os
 from datetime import datetime
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,6 +117,44 @@ def test_parquet_profile_reads_footers_only(spark, tmp_path):
     assert prof.count() == 2
 
 
+def test_parquet_profile_tells_the_columns_of_each_file(spark, tmp_path):
+    root = tmp_path / "a b[1]"
+    one = "id bigint, name string, at timestamp, day date, p decimal(9,2), l array<struct<x:int,y:map<string,double>>>"
+    for name, schema, rows in [("one", one, 3), ("two", "id int", 2), ("none", "id bigint, name string", 0), ("one_more", one, 1)]:
+        held = spark.range(0, rows, 1, 1).selectExpr(*[f"cast(null as {t}) as {c}" for c, t in (f.split(" ", 1) for f in schema.split(", "))])
+        held.write.parquet(str(root / f"k={name}"))
+    pq.write_table(pa.table({"t": pa.array([1, 2], pa.time64("ns")), "u": [1, 2]}), root / "untyped.parquet", use_dictionary=False)
+    pq.write_table(pa.table({"u": pa.array([1], pa.uint32()), "s": pa.array(["x"], pa.large_string())}), root / "other.parquet")
+    (root / "not.txt").write_text("x")
+    plain = str(root).replace("[", "\\[").replace("]", "\\]")
+    told = S.profile_parquet(spark, plain).withColumn("names", F.transform("columns", lambda c: F.concat_ws(" ", c["ordinal"], c["name"], c["type"])))
+    got = {r["location"].split("%5B1%5D/")[1].split("/")[0]: r for r in told.collect()}
+    one_told = [f"{k} {f}" for k, f in enumerate(one.split(", "), 1)]
+    want = {
+        "k=one": (3, 6, one_told),
+        "k=one_more": (1, 6, one_told),
+        "k=two": (2, 1, ["1 id int"]),
+        "k=none": (0, 2, ["1 id bigint", "2 name string"]),
+        "other.parquet": (1, 2, ["1 u bigint", "2 s string"]),
+        "untyped.parquet": (2, None, None),
+    }
+    assert {k: (r["num_rows"], r["num_columns"], r["names"]) for k, r in got.items()} == want
+    assert all(r["size"] > 0 for r in got.values())
+    (tmp_path / "nothing").mkdir()
+    assert S.profile_parquet(spark, str(tmp_path / "nothing"), recursive=False).count() == 0
+
+
+def test_parquet_files_that_only_spark_opens_are_told_too(spark, tmp_path, monkeypatch):
+    spark.range(3).coalesce(1).write.parquet(str(tmp_path / "t"))
+    (f,) = spark.read.parquet(str(tmp_path / "t")).inputFiles()
+    at = f.replace("file:///", "file:/")
+    assert S._schema_key(at, f) == S._schema_key(at, "x") != f
+    assert S._schema_key("viewfs://store/a", "viewfs://store/a") == "viewfs://store/a"
+    monkeypatch.setattr(S, "_with_schema_keys", lambda batches: (pa.RecordBatch.from_arrays([*b.columns, b["location"]], names=[*b.schema.names, "key"]) for b in batches))
+    (r,) = S.profile_parquet(spark, str(tmp_path / "t")).collect()
+    assert (r["num_rows"], r["num_columns"], r["columns"][0]["name"], r["columns"][0]["type"]) == (3, 1, "id", "bigint")
+
+
 LISTINGS = [
     ("kafka", {"topic": "t", "partitions": [{"replicas": [1, 2, 3]}]}, ("kafka_topic", "t", "kafka://h/t", 0)),
     ("kafka", {"topic": "empty", "partitions": []}, ("kafka_topic", "empty", "kafka://h/empty", 0)),
