@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cairn import rules
 from cairn.functions.expr import ColumnLike, col, first_case, has_any, lits, low
 from cairn.operators.lineage import is_upstream
+from cairn.session import cut_lineage
 
 
 #: Names are met by their first so many characters, which stand in any name that holds them.
@@ -76,16 +77,27 @@ def _name_pairs(mine: DataFrame, others: DataFrame) -> DataFrame:
     return inside.unionAll(around).unionAll(met(bare, bare)).unionAll(met(token, token)).distinct()
 
 
-def _of_all(mine: DataFrame, others: DataFrame) -> DataFrame:
-    """Matches with every other asset: by names alike, and of the same type by names on a topic."""
+def _scored_names(mine: DataFrame, others: DataFrame) -> DataFrame:
+    """(x, t_type, y, o_type, confidence): names with types that match, alike or of the same type and on a topic."""
     on_topic = lambda df, c: df.filter(has_any(F.col(c), rules.COLUMN_TOPIC_WORDS))
     alike = mine.join(_name_pairs(mine, others), "x").join(others, "y")
     topic = on_topic(mine, "x").filter(F.length("x") > 2).join(on_topic(others, "y"), F.col("t_type") == F.col("o_type"))
     score = match_confidence("x", "t_type", "y", "o_type")
-    both = alike.withColumn("confidence", score).unionByName(
+    return alike.withColumn("confidence", score).unionByName(
         topic.withColumn("confidence", score).filter("confidence < 0.8")
     )
-    return both.filter("target_id != other_id")
+
+
+def _of_all(mine: DataFrame, others: DataFrame) -> DataFrame:
+    """Matches with every other asset: by names alike, and of the same type by names on a topic.
+
+    Names with types are matched before any asset is.  What the targets look for is written, so that Spark
+    knows its size: where it is small, the columns of the others pass by it in their tasks and move nowhere.
+    """
+    mine = cut_lineage(mine)
+    names = cut_lineage(others.select("y", "o_type").distinct())
+    wanted = cut_lineage(mine.join(_scored_names(mine.select("x", "t_type").distinct(), names), ["x", "t_type"]))
+    return wanted.join(others, ["y", "o_type"]).filter("target_id != other_id")
 
 
 def _of_newest(mine: DataFrame, others: DataFrame, partners: DataFrame, limit: int) -> DataFrame:

@@ -5,15 +5,17 @@ import os
 from collections import Counter
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cairn.functions.expr import packed, unpacked
+from cairn.operators import column_lineage as CL
 from cairn.operators import lineage as L
 from cairn.operators import maintenance as M
 from cairn.operators import sinks
 from cairn.operators import transformations as T
 from cairn.operators.maintenance import with_fingerprint
-from cairn.plans.fixtures import Inputs
+from cairn.plans.fixtures import TABLES, Inputs
 from cairn.schema import RELATIONSHIPS, as_assets, column_struct
 
 
@@ -138,3 +140,50 @@ def test_declared_edges_are_built_from_packed_keys(spark, by_shuffle, sf_dir):
     want = Counter((key[k // 2], key[k]) for k in key if k > 0 and k // 2 in key)
     assert Counter(tuple(r) for r in edges.collect()) == want
     assert 0 < moved_bytes(edges) < 2 * 32 * len(key)  # a key is 32 bytes of hex, and every asset moves as child and as parent
+
+
+def nodes_of(plan) -> list:
+    children = plan.children()
+    return [plan] + [n for k in range(children.size()) for n in nodes_of(children.apply(k))]
+
+
+def test_columns_of_all_assets_move_nowhere_for_a_few_targets(spark, tmp_path):
+    names = F.array(F.lit("Id"), F.concat(F.lit("c"), F.col("id") % 3), F.when(F.col("id") % 2 == 0, "total_price"))
+    rows = spark.range(3000).select(
+        F.concat(F.lit("raw_"), "id").alias("name"),
+        F.lit("s").alias("source"),
+        F.concat(F.lit("/"), "id").alias("location"),
+        F.transform(F.array_compact(names), lambda c, k: column_struct(ordinal=k, name=c)).alias("columns"),
+    )
+    as_assets(with_fingerprint(as_assets(rows))).write.parquet(str(tmp_path / "assets"))
+    assets = spark.read.parquet(str(tmp_path / "assets"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "40k")  # less than the assets
+    try:
+        found = CL.column_edges(assets.filter("name = 'raw_0'"), assets)
+        got = Counter((r["column_name"], r["other_asset"], r["other_column"], r["confidence"]) for r in found.collect())
+        joins = found._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in joins and "SortMergeJoin" not in joins  # known before anything runs, so nothing is dealt out
+    want = Counter(("Id", f"raw_{k}", "Id", 0.95) for k in range(1, 3000))
+    want += Counter(("c0", f"raw_{k}", "c0", 0.95) for k in range(3, 3000, 3))
+    want += Counter(("total_price", f"raw_{k}", "total_price", 0.95) for k in range(2, 3000, 2))
+    assert got == want
+
+
+def test_targets_are_ranked_without_their_columns(spark, tmp_path):
+    held = [(k, k % 7, "O", 30000.0 + k, f"1996-01-{k % 28 + 1:02d}", "x") for k in range(60)]
+    held += [(5, 3, "O", 40000.0, "1999-01-01", "x"), (5, 4, "F", 1.0, "2000-01-01", "x"), (5, 9, "F", 50000.0, None, "y"), (None, 3, "F", 50000.0, "2001-01-01", "y")]
+    kinds = "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate string, o_orderpriority string"
+    dated = F.col("o_orderdate").cast("timestamp_ntz")
+    spark.createDataFrame(held, kinds).withColumn("o_orderdate", dated).write.parquet(str(tmp_path / "orders.parquet"))
+    i = Inputs(spark, str(tmp_path))
+    for name in set(TABLES) - {"orders"}:
+        spark.range(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+    w = Window.partitionBy("source").orderBy(F.desc("last_scanned"), "fingerprint")
+    want = i.catalog().filter("is_active").withColumn("rn", F.row_number().over(w)).filter("rn = 1").drop("rn")
+    targets = i.targets()
+    text = lambda df: Counter(r[0] for r in df.select(F.to_json(F.struct(*df.columns))).collect())
+    assert targets.columns == want.columns and text(targets) == text(want) and targets.count() == 6
+    windows = [n for n in nodes_of(targets._jdf.queryExecution().optimizedPlan()) if n.getClass().getSimpleName() == "Window"]
+    assert len(windows) == 2 and min(n.output().size() for n in windows) <= 6  # that over all assets
