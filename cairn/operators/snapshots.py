@@ -150,13 +150,14 @@ def _write_parts(rows: DataFrame, root: str, manifest: Manifest, touched: list[i
     """Part to the write that holds it now, None for a part that has no rows left.
 
     Rows come together by part, small parts in one task; a part larger than Spark's advisory size of a
-    partition is dealt out to several tasks, each of which writes a sorted file of it.
+    partition is dealt out to several tasks, each of which writes a sorted file of it.  Rows that bring
+    their part are in order already, and are written as they come.
     """
     spark, write = rows.sparkSession, uuid.uuid4().hex
+    if _PART not in rows.columns:
+        rows = rows.withColumn(_PART, part_of(manifest)).hint("rebalance", _PART)
     (
-        rows.withColumn(_PART, part_of(manifest))
-        .hint("rebalance", _PART)
-        .sortWithinPartitions(_PART, *manifest.key)
+        rows.sortWithinPartitions(_PART, *manifest.key)
         .write.partitionBy(_PART)
         .parquet(f"{root}/data/{write}")
     )
@@ -235,16 +236,19 @@ def read_snapshot(
 def update_snapshot(
     keys: DataFrame,
     root: str,
-    change: Callable[[DataFrame], DataFrame],
+    change: Callable[..., DataFrame],
     schema: T.StructType,
     tag: str = "batch",
     done: dict[str, int] | None = None,
     parts: int = PARTS,
+    in_order: bool = False,
 ) -> int:
     """A version in which the parts of `keys` (rows with `fingerprint`) hold change(their rows); the others stay.
 
     change() gets all rows of those parts and returns what they are to hold; it is asked again on the
     newer rows if another writer was faster.  Nothing is written, and the newest version returned, for no keys.
+    With in_order, change() also gets the expression of the part, and returns its rows sorted by part and key over
+    the tasks, with the part as `_part`: they move once, not first for the change and again for their parts.
     """
     spark = keys.sparkSession
     for _ in range(ATTEMPTS):
@@ -257,7 +261,11 @@ def update_snapshot(
             fresh = {}
             if touched:
                 current = read_parts(spark, root, manifest, touched, schema)
-                fresh = _write_parts(change(current).select(schema.names), root, manifest, touched)
+                if in_order:
+                    rows = change(current, part_of(manifest)).select(*schema.names, _PART)
+                else:
+                    rows = change(current).select(schema.names)
+                fresh = _write_parts(rows, root, manifest, touched)
             return _commit(spark, root, base, replace(manifest, schema=schema.json()), fresh, tag, done or {})
         except Conflict:
             continue

@@ -121,7 +121,7 @@ def _stored(i, assets, parts: int = 8) -> str:
 @query("snk3_part_upsert", _UPSERTED, ["catalog"])
 def _(i):
     root, batch = _stored(i, stood(i)), as_assets(scanned(i))
-    P.update_snapshot(batch, root, lambda current: M.upsert_assets(current, batch, AS_OF), ASSETS)
+    P.update_snapshot(batch, root, lambda current, part: M.upsert_assets(current, batch, AS_OF, part), ASSETS, in_order=True)
     return _dated(P.read_snapshot(i.spark, root))
 
 

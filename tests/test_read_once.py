@@ -7,8 +7,9 @@ from collections import Counter
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as K
 
-from cairn.functions.expr import packed, unpacked
+from cairn.functions.expr import as_json, from_text, packed, unpacked
 from cairn.operators import column_lineage as CL
 from cairn.operators import lineage as L
 from cairn.operators import maintenance as M
@@ -187,3 +188,17 @@ def test_targets_are_ranked_without_their_columns(spark, tmp_path):
     assert targets.columns == want.columns and text(targets) == text(want) and targets.count() == 6
     windows = [n for n in nodes_of(targets._jdf.queryExecution().optimizedPlan()) if n.getClass().getSimpleName() == "Window"]
     assert len(windows) == 2 and min(n.output().size() for n in windows) <= 6  # that over all assets
+
+
+def test_arrays_of_structs_come_back_from_their_text(spark):
+    kind = K.ArrayType(K.StructType([K.StructField("k", K.IntegerType()), K.StructField("b", K.BooleanType()), K.StructField("s", K.StringType())]))
+    odd = ["", " a ", "null", "NaN", '"', "\\", "\n\r\t\u0000\u001f\u2028", "\u00fc\u4e2d\U0001f600", "{}", "[1", "1e5", None, "x" * 1_100_000]
+    rows = [(None,), ([],), ([None],), ([(None, None, None), None, (1, True, "a")],)] + [([(-5, False, x), (2, None, x)],) for x in odd]
+    df = spark.createDataFrame(rows, K.StructType([K.StructField("c", kind)]))
+    broken = F.array(F.struct(F.lit(1).alias("k"), F.lit(True).alias("b"), F.expr("cast(x'61ff' as string)").alias("s")))
+    df = df.unionByName(spark.range(1).select(broken.alias("c")))
+    told, rest = as_json("c")
+    held = df.withColumns({"t": told, "r": rest}).withColumn("back", from_text("t", "r", kind))
+    assert held.filter(~F.col("back").eqNullSafe(F.col("c"))).count() == 0
+    assert held.filter("t is not null and r is not null").count() == 0
+    assert held.filter("r is not null").count() == 2  # the long text and the one that is not UTF-8

@@ -196,3 +196,52 @@ def test_a_large_part_is_written_by_several_tasks(spark, tmp_path):
         assert held == sorted(held)
     assert sorted(r["id"] for r in stored.collect()) == list(range(1, 20001))
     assert P.find_in_snapshot(spark, root, rows.first()["fingerprint"]).first()["id"] == 1
+
+
+def nodes(plan, out):
+    out.append(plan)
+    for k in range(plan.children().size()):
+        nodes(plan.children().apply(k), out)
+    return out
+
+
+def test_an_upsert_in_order_gives_the_rows_of_the_join(spark, tmp_path):
+    one = assets(spark, [f"n{k}" for k in range(60)])
+    twice = one.filter("name in ('n3', 'n4', 'n50')").withColumn("created_date", F.lit("2023-01-01").cast("timestamp"))
+    no_key = one.filter("name = 'n9'").withColumn("fingerprint", F.lit(None).cast("string"))
+    now = F.lit("2024-02-02").cast("timestamp")
+    stood = one.unionByName(twice).unionByName(no_key).withColumn("discovered_date", now).withColumn("is_active", F.col("name") != "n7")
+    stood = stood.withColumn("created_date", F.when(F.col("name") != "n5", F.col("created_date")))
+    seen = assets(spark, [f"n{k}" for k in range(40, 80)] + ["n3", "n5", "n7"], 9)
+    batch = seen.unionByName(seen.filter("name in ('n3', 'n55', 'n70')").withColumn("size", F.lit(10).cast("bigint"))).unionByName(no_key)
+    part = F.pmod(F.xxhash64("fingerprint"), F.lit(4)).cast("int")
+    ordered, joined = upsert_assets(stood, batch, NOW, part), upsert_assets(stood, batch, NOW)
+    assert ordered.columns == [*joined.columns, "_part"]
+    text = lambda df: sorted(r[0] for r in df.select(F.to_json(F.struct(*joined.columns))).collect())
+    assert text(ordered) == text(joined)
+    assert joined.filter("name = 'n3'").count() == 4 and joined.filter("fingerprint is null").count() == 2
+    root = str(tmp_path / "t")
+    P.write_snapshot(stood, root, parts=4)
+    P.update_snapshot(batch, root, lambda current, part: upsert_assets(current, batch, NOW, part), ASSETS, in_order=True)
+    stored = P.read_snapshot(spark, root)
+    assert text(stored) == text(joined)
+    for f in stored.inputFiles():
+        held = [r[0] or "" for r in spark.read.parquet(f).select("fingerprint").collect()]
+        assert held == sorted(held)
+    found = P.find_in_snapshot(spark, root, one.filter("name = 'n1'").first()["fingerprint"])
+    assert [r["name"] for r in found.collect()] == ["n1"]
+
+
+def test_an_upsert_in_order_moves_its_rows_once(spark, root, monkeypatch):
+    batch, written = assets(spark, ["n3", "fresh"], 7), []
+    write = P._write_parts
+    monkeypatch.setattr(P, "_write_parts", lambda rows, *a: write(written.append(rows) or rows, *a))
+    P.update_snapshot(batch, root, lambda current, part: upsert_assets(current, batch, NOW, part), ASSETS, in_order=True)
+    assert sizes(spark, root) == {f"n{k}": 1 for k in range(200)} | {"n3": 7, "fresh": 7}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = written[0].select("*")._jdf.queryExecution().executedPlan()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert [n.getClass().getSimpleName() for n in nodes(plan, [])].count("ShuffleExchangeExec") == 1
+    assert "_part" in written[0].columns  # so that they are not dealt again
